@@ -13,18 +13,13 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from . import text as T
-from .text import contains_all, contains_any, find, matches, strip, sub
+from .text import contains_all, contains_any, find, let, matches, strip, sub
 
 
 def _empty(kind: str = "array<string>") -> Column:
     return F.array().cast(kind)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def first_of(arr: Column) -> Column:
     """First element, NULL when there is none."""
     return F.get(arr, F.lit(0))
@@ -434,7 +429,7 @@ def destination_by_window(text: Column) -> Column:
         )
 
     both = F.concat(windows(V.COMPLETION_CAPTION_TRANSPORT), windows(V.COMPLETION_CAPTION))
-    ordered = F.array_sort(F.transform(both, lambda w: F.struct(w["at"], w["end"])))
+    ordered = F.sort_array(F.transform(both, lambda w: F.struct(w["at"], w["end"])))
 
     def address_after(w: Column) -> Column:
         tail = F.substring(text, w["end"] + 1, F.lit(V.FULL_TEXT_WINDOW))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .text import matches, strip, sub
+from .text import let, matches, strip, sub
 
 
 def chars(col: Column) -> Column:
@@ -17,7 +17,7 @@ def chars(col: Column) -> Column:
 def token_set(col: Column) -> Column:
     """Sorted distinct whitespace tokens of a lower-cased name."""
     words = F.split(F.lower(sub(col, r"\s+", " ")), " ")
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
+    return F.sort_array(F.array_distinct(F.filter(words, lambda w: w != "")))
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
@@ -29,19 +29,22 @@ def token_jaccard(a: Column, b: Column) -> Column:
     ).otherwise(0.0)
 
 
-def shared_chars(ca: Column, cb: Column) -> Column:
-    """Size of the multiset intersection of two character arrays."""
+def occurrences(ordered: Column) -> Column:
+    """Distinct (character, occurrence) marks of sorted characters.
 
-    def count(arr: Column, ch: Column) -> Column:
-        return F.size(F.filter(arr, lambda x: x == ch))
-
-    return F.aggregate(
-        F.array_distinct(ca),
-        F.lit(0),
-        lambda n, ch: n + F.least(count(ca, ch), count(cb, ch)),
+    Two multisets of characters share as many characters as their marks intersect.
+    """
+    return F.transform(
+        ordered, lambda ch, i: F.concat(ch, (i - F.array_position(ordered, ch)).cast("string"))
     )
 
 
+def shared_chars(ca: Column, cb: Column) -> Column:
+    """Size of the multiset intersection of two character arrays."""
+    marks = [let(F.sort_array(c), lambda s: occurrences(s)) for c in (ca, cb)]
+    return F.size(F.array_intersect(*marks))
+
+
 def char_ratio(a: Column, b: Column) -> Column:
     """2 * shared characters / total characters, 1 for two empty strings."""
     ca, cb = chars(a), chars(b)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +18,11 @@ def rx(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(col: Column, pattern: str) -> Column:
     return col.rlike(rx(pattern))
 
@@ -93,56 +98,71 @@ def strip_supplier_hq(
     forms: Sequence[str] = V.SUPPLIER_HQ_FORMS,
     pattern: str = V.SUPPLIER_HQ_PATTERN,
     marker: str = V.MISSING_ADDRESS,
-) -> tuple[Column, Column]:
-    """(rest of the address, was the supplier head office in it) for a normalised address."""
-    is_marker = (col == F.lit(marker)) | (col == F.lit(""))
-    found = ~is_marker & (contains_any(col, forms) | matches(col, pattern))
-    rest = F.when(is_marker, col)
-    for form in forms:
-        rest = rest.when(col.contains(form), _trim_commas(_cut_first(col, form)))
+) -> Column:
+    """struct(rest, found) of a normalised address: the rest without the supplier head office."""
     at = F.regexp_instr(col, F.lit(rx(pattern)))
     size = F.length(F.regexp_extract(col, rx(pattern), 0))
     cut = F.concat(
         F.substring(col, F.lit(1), at - 1), F.substring(col, at + size, F.length(col))
     )
-    rest = rest.when(matches(col, pattern), _trim_commas(cut)).otherwise(col)
-    return rest, found
+    for form in reversed(forms):
+        cut = F.when(col.contains(form), _cut_first(col, form)).otherwise(cut)
+    found = (col != marker) & (contains_any(col, forms) | matches(col, pattern))
+    return F.struct(
+        F.when(found, _trim_commas(cut)).otherwise(col).alias("rest"), found.alias("found")
+    )
 
 
 def branch_code(col: Column, pattern: str = V.BRANCH_CODE) -> Column:
     """Last ``#digits`` of an address once the supplier head office is removed."""
-    rest, _ = strip_supplier_hq(normalize_address(col))
-    return F.try_element_at(F.regexp_extract_all(rest, F.lit(rx(pattern)), 1), F.lit(-1))
+
+    def last_code(s: Column) -> Column:
+        rest = strip_supplier_hq(s)["rest"]
+        return F.try_element_at(F.regexp_extract_all(rest, F.lit(rx(pattern)), 1), F.lit(-1))
+
+    return let(normalize_address(col), last_code)
 
 
 def _snippet(col: Column, n: int) -> Column:
-    s = sub(strip(col), r"\s+", "_")
-    return F.when(F.length(s) > n, F.concat(F.substring(s, 1, n - 1), F.lit("…"))).otherwise(s)
+    return let(
+        sub(strip(col), r"\s+", "_"),
+        lambda s: F.when(F.length(s) > n, F.concat(F.substring(s, 1, n - 1), F.lit("…"))).otherwise(s),
+    )
 
 
 def address_snippet(col: Column, n: int = V.ADDRESS_SNIPPET) -> Column:
-    s = normalize_address(col)
-    rest, found = strip_supplier_hq(s)
-    return F.when(found & (rest == ""), F.lit(V.UNKNOWN_LOCATION)).otherwise(_snippet(rest, n))
+    def shown(address: Column) -> Column:
+        hq_only = address["found"] & (address["rest"] == "")
+        return F.when(hq_only, F.lit(V.UNKNOWN_LOCATION)).otherwise(_snippet(address["rest"], n))
+
+    return let(let(normalize_address(col), lambda s: strip_supplier_hq(s)), shown)
 
 
 def store_display_name(chain: Column, code: Column, address: Column, store_id: Column) -> Column:
     """Chain plus branch code, else plus address snippet, else plus store id."""
-    name = strip(F.coalesce(chain, F.lit("")))
-    name = F.when(name == "", F.lit(V.UNKNOWN_STORE)).otherwise(name)
-    code = blank_to_null(strip(code))
     addr = F.coalesce(address, F.lit(""))
-    snip = address_snippet(addr)
     sid = F.coalesce(store_id.cast("long"), F.lit(0)).cast("string")
     tail = F.when(strip(addr) == V.MISSING_ADDRESS, F.concat(F.lit(" · ID: "), sid)).otherwise("")
-    suffix = (
-        F.when(code.isNotNull(), F.concat(F.lit(" (#"), code, F.lit(")")))
-        .when(F.length(snip) > 0, F.concat(F.lit(" ("), snip, F.lit(")"), tail))
-        .otherwise(F.concat(F.lit(" (ID: "), sid, F.lit(")")))
+    by_address = let(
+        address_snippet(addr),
+        lambda snip: F.when(F.length(snip) > 0, F.concat(F.lit(" ("), snip, F.lit(")"))),
+    )
+    suffix = F.coalesce(
+        F.concat(F.lit(" (#"), blank_to_null(strip(code)), F.lit(")")),
+        F.concat(by_address, tail),
+        F.concat(F.lit(" (ID: "), sid, F.lit(")")),
     )
+    name = F.coalesce(blank_to_null(strip(chain)), F.lit(V.UNKNOWN_STORE))
     return F.concat(name, suffix)
 
 
+def unknown_store_name(store_id: Column) -> Column:
+    """Display name of a store id that has no store."""
+    snippet = V.MISSING_ADDRESS.replace(" ", "_")
+    sid = F.coalesce(store_id.cast("long"), F.lit(0)).cast("string")
+    return F.concat(F.lit(f"{V.UNKNOWN_STORE} ({snippet}) · ID: "), sid)
+
+
 def fix_store_name_typos(col: Column, typos: Sequence[tuple[str, str]] = V.STORE_NAME_TYPOS) -> Column:
     return reduce(
         lambda c, t: F.replace(c, F.lit(t[0]), F.lit(t[1])), typos, F.coalesce(col, F.lit(""))

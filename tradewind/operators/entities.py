@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import text
-from ..functions.matching import chars, shared_chars, token_set
+from ..functions.matching import chars, occurrences, token_set
 from .keys import assign_ids, hash_block, next_id, order_block
 
 _TOKEN_SEP = "\u0001"
@@ -15,7 +15,7 @@ _TOKEN_SEP = "\u0001"
 
 def _signature(col: Column) -> Column:
     """Sorted characters: names with the same signature have character ratio 1."""
-    return F.array_join(F.array_sort(chars(col)), "")
+    return F.array_join(F.sort_array(chars(col)), "")
 
 
 def _keyed(df: DataFrame, col: str) -> DataFrame:
@@ -57,17 +57,18 @@ def _block_keys(df: DataFrame, own: str, other: str, threshold: float) -> DataFr
 
 
 def _near_matches(names: DataFrame, stores: DataFrame, threshold: float) -> DataFrame:
-    """Best store per name signature with a character ratio in [threshold, 1)."""
-    left = _block_keys(names.select("sig").distinct(), "len_a", "len_b", threshold)
-    right = _block_keys(stores.withColumnRenamed("sig", "store_sig").withColumn("sig", F.col("store_sig")), "len_b", "len_a", threshold)
+    """Best store per distinct name signature with a character ratio in [threshold, 1)."""
+    marks = occurrences(F.split("sig", ""))
+    left = _block_keys(names.withColumn("marks", marks), "len_a", "len_b", threshold)
+    right = _block_keys(stores.withColumn("store_marks", marks), "len_b", "len_a", threshold)
     pairs = left.join(right.drop("sig"), ["len_a", "len_b", "grp", "part"])
-    shared = shared_chars(F.split("sig", ""), F.split("store_sig", ""))
+    shared = F.size(F.array_intersect("marks", "store_marks"))
     score = F.lit(2.0) * shared / (F.col("len_a") + F.col("len_b"))
     return (
         pairs.withColumn("score", score)
         .filter(F.col("score") >= threshold)
         .groupBy("sig")
-        .agg(F.max(F.struct("score", (-F.col("store_id")).alias("neg_id"), "store_name")).alias("best"))
+        .agg(F.max(F.struct("score", (-F.col("store_id")).alias("neg_id"), F.col("store_name").alias("name"))).alias("best"))
     )
 
 
@@ -86,7 +87,9 @@ def fuzzy_match_stores(
     """
     if threshold < token_weight:
         raise ValueError("threshold below token_weight: token overlap could not be blocked exactly")
-    wanted = _keyed(names.select("name").filter(F.col("name") != "").distinct(), "name")
+    wanted = _keyed(
+        names.select(F.col("name").alias("wanted")).filter(F.col("wanted") != "").distinct(), "wanted"
+    )
     known = _keyed(
         stores.filter(F.col("name").isNotNull()).select(F.col("id").alias("store_id"), F.col("name").alias("store_name")),
         "store_name",
@@ -98,30 +101,30 @@ def fuzzy_match_stores(
         )
 
     by_sig = first_store("sig")
-    same = wanted.join(by_sig, "sig").select(
-        "name", "store_id", "store_name", F.lit(1.0).alias("score")
-    )
-    rest = wanted.join(by_sig.select("sig"), "sig", "left_anti")
-    near = rest.join(_near_matches(rest, by_sig, threshold), "sig").select(
-        "name",
-        (-F.col("best.neg_id")).alias("store_id"),
-        F.col("best.store_name").alias("store_name"),
-        F.col("best.score").alias("score"),
-    )
-    found = same.unionByName(near)
-    if token_weight >= threshold:
-        by_tok = first_store("tok").filter(F.col("tok") != "")
-        tokens = rest.join(by_tok, "tok").select(
-            "name", "store_id", "store_name", F.lit(float(token_weight)).alias("score")
+    def candidate(score: Column, store_id: str, store_name: str) -> Column:
+        return F.when(
+            F.col(store_id).isNotNull(),
+            F.struct(
+                score.alias("score"), (-F.col(store_id)).alias("neg_id"), F.col(store_name).alias("name")
+            ),
         )
-        found = found.unionByName(tokens)
-    best = found.groupBy("name").agg(
-        F.max(F.struct("score", (-F.col("store_id")).alias("neg_id"), "store_name")).alias("b")
-    )
-    return wanted.select("name").join(best, "name", "left").select(
-        "name",
+
+    tagged = wanted.join(by_sig, "sig", "left")
+    open_names = tagged.filter(F.col("store_id").isNull()).select("sig").distinct()
+    near = _near_matches(open_names, by_sig, threshold)
+    joined = tagged.join(near, "sig", "left")
+    options = [
+        candidate(F.lit(1.0), "store_id", "store_name"),
+        F.col("best"),
+    ]
+    if token_weight >= threshold:
+        by_tok = first_store("tok").filter(F.col("tok") != "").toDF("tok", "tok_id", "tok_name")
+        joined = joined.join(by_tok, "tok", "left")
+        options.append(candidate(F.lit(float(token_weight)), "tok_id", "tok_name"))
+    return joined.withColumn("b", F.greatest(*options)).select(
+        F.col("wanted").alias("name"),
         (-F.col("b.neg_id")).alias("matched_store_id"),
-        F.col("b.store_name").alias("matched_store_name"),
+        F.col("b.name").alias("matched_store_name"),
         F.coalesce("b.score", F.lit(0.0)).alias("score"),
     )
 

@@ -130,7 +130,7 @@ def merged_notes(invoices: DataFrame, links: DataFrame, limit: int = V.NOTES_LIM
         "start", F.coalesce(F.sum(F.length("part") + 3).over(before), F.lit(0))
     ).filter(F.col("start") < limit)
     joined = fitting.groupBy("parent_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "part"))).alias("parts")
+        F.sort_array(F.collect_list(F.struct("rank", "part"))).alias("parts")
     )
     own = invoices.select(F.col("id").alias("parent_id"), F.nullif("notes", blank).alias("own"))
     extra = F.array_join(F.transform("parts", lambda p: p["part"]), " | ")
@@ -217,5 +217,5 @@ def skipped_appendices(
     )
     keys = waybill_keys(F.col("invoice_number"), waybill_number(F.coalesce("raw_text", F.lit(""))))
     return left.select(
-        "id", "invoice_number", F.array_join(F.slice(F.array_sort(keys), 1, 3), ", ").alias("keys")
+        "id", "invoice_number", F.array_join(F.slice(F.sort_array(keys), 1, 3), ", ").alias("keys")
     )

@@ -88,7 +88,7 @@ def addresses_without_code(stores: DataFrame, n: int = SAMPLE_ADDRESSES) -> Data
         .filter(text.branch_code(F.col("addr")).isNull())
     )
     first = bad.select(F.substring("addr", 1, 800).alias("addr")).orderBy("addr").limit(n)
-    sample = first.agg(F.array_join(F.array_sort(F.collect_list("addr")), " | ")).scalar()
+    sample = first.agg(F.array_join(F.sort_array(F.collect_list("addr")), " | ")).scalar()
     counted = bad.agg(F.count(F.lit(1)).alias("n"))
     return _row(counted, "address_without_code", F.col("n"), F.nullif(sample, F.lit("")))
 

@@ -36,9 +36,7 @@ def line_sums(lines: DataFrame) -> DataFrame:
 
 def name_stores(df: DataFrame, stores: DataFrame) -> DataFrame:
     """Replace store_id by the display name; unmatched ids get the placeholder name."""
-    unknown = text.store_display_name(
-        F.lit(""), F.lit(None).cast("string"), F.lit(V.MISSING_ADDRESS), F.col("store_id")
-    )
+    unknown = text.unknown_store_name(F.col("store_id"))
     names = stores.select("store_id", F.col("store_display_name").alias("store_name"))
     joined = df.join(names, "store_id", "left")
     return joined.withColumn("store_name", F.coalesce("store_name", unknown)).drop("store_id")

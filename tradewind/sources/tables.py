@@ -75,14 +75,11 @@ def enrich_stores(stores: DataFrame) -> DataFrame:
 
 def _with_unknown_store(invoices: DataFrame) -> DataFrame:
     """Names for invoices whose store does not exist."""
-    unknown = text.store_display_name(
-        F.lit(""), F.lit(None).cast("string"), F.lit(V.MISSING_ADDRESS), F.col("store_id")
-    )
     return invoices.withColumns(
         {
             "store_address": F.coalesce("store_address", F.lit(V.MISSING_ADDRESS)),
             "chain_store_name": F.coalesce("chain_store_name", F.lit(V.UNKNOWN_STORE)),
-            "store_display_name": F.coalesce(F.col("store_display_name"), unknown),
+            "store_display_name": F.coalesce("store_display_name", text.unknown_store_name(F.col("store_id"))),
         }
     )
 
