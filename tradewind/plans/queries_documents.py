@@ -1,0 +1,95 @@
+"""Registered queries for field extraction from document text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import documents as D
+from ..operators import documents as O
+from .catalog import query
+from .driver_tables import table, waybill_documents
+from .queries_loading import _DOCS
+
+
+@query(
+    "document_lines",
+    """WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS raw FROM documents),
+    c AS (SELECT doc_id, i, regexp_replace(trim(raw), '[ \\t]+', ' ', 'g') AS line FROM l)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS line_no, line FROM c WHERE line <> ''""",
+)
+def _(spark, sf):
+    return O.document_lines(table(spark, sf, "documents"))
+
+
+@query(
+    "text_quality",
+    """WITH t AS (SELECT doc_id, text, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS INTEGER) AS n FROM documents)
+    SELECT doc_id, n AS n_dense_chars, n < 48 OR contains(lower(text), '(cid:') AS needs_reextraction FROM t""",
+)
+def _(spark, sf):
+    return O.text_quality(table(spark, sf, "documents"))
+
+
+@query(
+    "document_dates",
+    """SELECT doc_id, nullif(regexp_extract(text, '\\b(\\d{1,2}[\\/\\.\\-]\\d{1,2}[\\/\\.\\-]\\d{2,4})\\b', 1), '') AS invoice_date FROM documents""",
+)
+def _(spark, sf):
+    return O.extract_header_fields(table(spark, sf, "documents")).select("doc_id", "invoice_date")
+
+
+@query(
+    "extract_header_fields",
+    f"WITH {_DOCS} SELECT doc_id, waybill_number, invoice_date, invoice_time FROM head",
+)
+def _(spark, sf):
+    return O.extract_header_fields(waybill_documents(spark, sf)).select(
+        "doc_id", "waybill_number", "invoice_date", "invoice_time"
+    )
+
+
+@query(
+    "extract_line_items",
+    f"WITH {_DOCS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, name, quantity, price FROM items",
+)
+def _(spark, sf):
+    return O.extract_line_items(waybill_documents(spark, sf))
+
+
+@query(
+    "extract_bundled_items",
+    f"WITH {_DOCS} SELECT i.doc_id, CAST(line_no AS INTEGER) AS line_no, name, quantity, price FROM items i JOIN src USING (doc_id) WHERE lang IN ('en', 'fr')",
+)
+def _(spark, sf):
+    return O.extract_line_items(waybill_documents(spark, sf), "bundled")
+
+
+@query(
+    "extract_parties",
+    f"""WITH {_DOCS} SELECT doc_id, store_name, origin_address, buyer_address,
+      CASE WHEN lang = 'es' THEN origin_address ELSE buyer_address END AS branch_address FROM head""",
+)
+def _(spark, sf):
+    return O.extract_parties(waybill_documents(spark, sf)).select(
+        "doc_id", "store_name", "origin_address", "buyer_address", "branch_address"
+    )
+
+
+@query(
+    "document_regions",
+    """SELECT doc_id, ' (მიმღების) დასახელება' || chr(10) || 'საიდენტიფიკაციო / პირადი ნომერი' || chr(10) || '400111222' || chr(10)
+        || 'ქუთაისი, გამზირი ' || (n_chars % 28 + 1) || ' #' || doc_id || ' ტრანსპორტირების დაწყების ადგილი' || chr(10)
+        || CASE WHEN lang = 'es' THEN 'უკან დაბრუნება' ELSE 'მიწოდება' END || chr(10)
+        || 'ტრანსპორტირების დასრულების ადგილი: თბილისი, ქუჩა ' || source || ' #' || n_chars AS header,
+      'საიდენტიფიკაციო / პირადი ნომერი' || chr(10) || '400111222' || chr(10) || 'ქუთაისი, გამზირი ' || (n_chars % 28 + 1) || ' #' || doc_id AS block,
+      'თბილისი, ქუჩა ' || source || ' #' || n_chars AS addresses
+    FROM documents""",
+)
+def _(spark, sf):
+    text = F.col("text")
+    return waybill_documents(spark, sf).select(
+        "doc_id",
+        F.concat(F.lit(" "), D.header_region(text)).alias("header"),
+        D.buyer_block(text).alias("block"),
+        D.collect_addresses(D.header_region(text)).alias("addresses"),
+    )
