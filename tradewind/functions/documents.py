@@ -6,7 +6,7 @@ searched with higher-order functions. Nothing is exploded or shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -263,16 +263,23 @@ def buyer_name(lines: Column) -> Column:
 
 # --- addresses -----------------------------------------------------------
 
+def _from_first_word(line: Column, words: Sequence[str]) -> Column:
+    """Text from the first listed word on that the line contains, NULL when it has none."""
+    present = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: line.contains(w))
+    return let(
+        first_of(present), lambda w: strip(F.substring(line, F.instr(line, w), F.length(line)))
+    )
+
+
 def trim_to_address_start(line: Column) -> Column:
     """Text from the first city or street word on, NULL when there is none."""
 
     def trimmed(t: Column) -> Column:
         by_word = strip(find(t, "(?s)^.*?(" + V.ADDRESS_START + ".*)$"))
-        hints = [
-            F.when(t.contains(h), strip(F.substring(t, F.instr(t, F.lit(h)), F.length(t))))
-            for h in V.ADDRESS_START_HINTS
-        ]
-        return F.coalesce(by_word, F.when(~matches(t, V.ADDRESS_ADMIN_PREFIX), F.coalesce(*hints)))
+        return F.coalesce(
+            by_word,
+            F.when(~matches(t, V.ADDRESS_ADMIN_PREFIX), _from_first_word(t, V.ADDRESS_START_HINTS)),
+        )
 
     return let(T.squeeze(line), trimmed)
 
@@ -310,11 +317,9 @@ def _joined(lines: Column, start: Column, n: Column) -> Column:
 
 
 def _tail_after_completion(chunk: Column) -> Column:
-    tails = []
-    for caption in (V.COMPLETION_CAPTION_TRANSPORT, V.COMPLETION_CAPTION):
-        rest = strip(find(chunk, caption + V.CAPTION_TAIL))
-        tails.append(F.when((F.length(rest) >= 8) & looks_like_address(rest), rest))
-    return F.coalesce(*tails)
+    captions = (V.COMPLETION_CAPTION_TRANSPORT, V.COMPLETION_CAPTION)
+    rests = F.array(*[strip(find(chunk, caption + V.CAPTION_TAIL)) for caption in captions])
+    return first_of(F.filter(rests, lambda r: (F.length(r) >= 8) & looks_like_address(r)))
 
 
 def completion_span(lines: Column) -> Column:
@@ -356,7 +361,6 @@ def _first_address(candidates: Column) -> Column:
 
 def destination_by_lines(lines: Column) -> Column:
     """Address of the unloading place: after its caption, else above, else below it."""
-    n = F.size(lines)
 
     def no_candidate(x: Column) -> Column:
         return (
@@ -366,10 +370,11 @@ def destination_by_lines(lines: Column) -> Column:
     def near(span: Column) -> Column:
         start = span["start"]
         width = F.least(span["span"], F.lit(2))
-        tails = [
-            _tail_after_completion(_joined(lines, start, F.least(width + extra, n - start + 1)))
-            for extra in (0, 1, 2)
-        ]
+        tails = F.transform(
+            F.array(F.lit(0), F.lit(1), F.lit(2)),
+            lambda extra: _tail_after_completion(_joined(lines, start, width + extra)),
+        )
+        tail = first_of(F.filter(tails, lambda t: t.isNotNull()))
         above = F.filter(
             F.reverse(slice_safe(lines, start - 19, start - 1)),
             lambda x: ~(
@@ -384,7 +389,7 @@ def destination_by_lines(lines: Column) -> Column:
                 | (matches(x, V.COMPLETION_CAPTION) & (F.length(x) < 120))
             ),
         )
-        found = F.coalesce(*tails, _first_address(above), _first_address(below))
+        found = F.coalesce(tail, _first_address(F.concat(above, below)))
         return F.when(span.isNotNull(), found)
 
     return let(completion_span(lines), near)
@@ -492,14 +497,10 @@ def _before_origin_caption(line: Column) -> Column:
 
 def _above_origin_caption(line: Column) -> Column:
     """Address in a line above the caption, NULL for labels, numbers and other text."""
-    tokens = [
-        F.when(line.contains(t), strip(F.substring(line, F.instr(line, F.lit(t)), F.length(line))))
-        for t in (*V.CITY_TOKENS, "#")
-    ]
     coded = matches(line, V.HASH_CODE)
     return (
         F.when(F.length(line) < 5, F.lit(None))
-        .when(matches(line, V.ORIGIN_LABEL_LINE), F.when(coded, F.coalesce(*tokens)))
+        .when(matches(line, V.ORIGIN_LABEL_LINE), F.when(coded, _from_first_word(line, (*V.CITY_TOKENS, "#"))))
         .when(matches(line, V.ORIGIN_NUMBER_LINE), F.lit(None))
         .when(coded, _drop_operation(line))
         .otherwise(
@@ -560,10 +561,10 @@ def collect_addresses(block: Column) -> Column:
     return F.when(F.size(hits) > 0, F.array_join(F.array_distinct(hits), " | "))
 
 
-def buyer_address(text: Column, lines: Column) -> Column:
+def buyer_address(text: Column, destination: Column) -> Column:
     """Destination, else addresses of the buyer block, of the header, of the whole text."""
     return F.coalesce(
-        T.blank_to_null(destination_address(text, lines)),
+        T.blank_to_null(destination),
         collect_addresses(buyer_block(text)),
         collect_addresses(header_region(text)),
         collect_addresses(text),
@@ -572,6 +573,15 @@ def buyer_address(text: Column, lines: Column) -> Column:
 
 # --- line items ----------------------------------------------------------
 
+_PART = "\u0001"
+
+
+def _parts(line: Column, pattern: str, groups: int) -> Column:
+    """Groups of a pattern that covers the whole line, from a single match; NULL without one."""
+    marked = sub(line, pattern, _PART.join(f"${g}" for g in range(1, groups + 1)))
+    return let(F.split(marked, _PART), lambda p: F.when(F.size(p) == groups, p))
+
+
 def _number(col: Column) -> Column:
     return strip(F.replace(F.translate(col, " " + T.NBSP, ""), F.lit(","), F.lit(".")))
 
@@ -585,45 +595,57 @@ def _item(name: Column, quantity: Column, price: Column) -> Column:
     return F.struct(name.alias("name"), quantity.alias("quantity"), price.alias("price"))
 
 
+def _parsed(lines: Column, pattern: str, groups: int, parse: Callable[[Column], Column]) -> Column:
+    """Items of the lines that match, in order."""
+    matched = F.filter(
+        F.transform(lines, lambda x: _parts(x, pattern, groups)), lambda p: p.isNotNull()
+    )
+    return F.filter(F.transform(matched, parse), lambda x: x.isNotNull())
+
+
 def bundled_items(text: Column) -> Column:
     """Items of lines ``name, 13-digit code, quantity, unit price, ...``."""
     lines = F.filter(
-        F.transform(raw_lines(text), T.squeeze),
-        lambda x: (F.length(x) >= V.BUNDLED_ITEM_MIN)
-        & ~contains_any(x, V.BUNDLED_HEADER_WORDS)
-        & matches(x, V.BUNDLED_ITEM),
+        F.transform(F.filter(raw_lines(text), lambda x: x.rlike(r"\d{13}")), T.squeeze),
+        lambda x: (F.length(x) >= V.BUNDLED_ITEM_MIN) & ~contains_any(x, V.BUNDLED_HEADER_WORDS),
     )
 
-    def parse(x: Column) -> Column:
-        name = strip(sub(strip(find(x, V.BUNDLED_ITEM, 1)), V.BUNDLED_ROW_NUMBER, ""))
-        tail = sub(T.squeeze(find(x, V.BUNDLED_ITEM, 3)), V.BUNDLED_UNIT, "")
+    def parse(p: Column) -> Column:
+        name = strip(sub(strip(p[0]), V.BUNDLED_ROW_NUMBER, ""))
+        tail = sub(T.squeeze(p[2]), V.BUNDLED_UNIT, "")
         decimals = F.regexp_extract_all(tail, F.lit(f"({V.TAIL_DECIMAL})"), 1)
-        price = F.coalesce(F.get(decimals, F.lit(1)), F.lit(""))
-        ok = (F.length(name) >= 2) & ~_is_header_name(name, V.BUNDLED_TOTAL_WORDS) & (F.size(decimals) > 0)
-        return F.when(ok, _item(name, F.get(decimals, F.lit(0)), price))
 
-    return F.filter(F.transform(lines, parse), lambda x: x.isNotNull())
+        def item(v: Column) -> Column:
+            n, d = v["name"], v["decimals"]
+            ok = (F.length(n) >= 2) & (F.size(d) > 0) & ~_is_header_name(n, V.BUNDLED_TOTAL_WORDS)
+            return F.when(ok, _item(n, d[0], F.coalesce(F.get(d, F.lit(1)), F.lit(""))))
+
+        return let(F.struct(name.alias("name"), decimals.alias("decimals")), item)
+
+    return _parsed(lines, "^" + V.BUNDLED_ITEM, 3, parse)
 
 
 def plain_items(text: Column) -> Column:
     """Items of lines ``name quantity price``."""
     lines = F.filter(
         F.transform(raw_lines(text), strip),
-        lambda x: (F.length(x) >= V.PLAIN_ITEM_MIN) & matches(x, V.PLAIN_ITEM),
+        lambda x: (F.length(x) >= V.PLAIN_ITEM_MIN) & matches(F.right(x, F.lit(1)), r"\d"),
     )
 
-    def parse(x: Column) -> Column:
-        name = strip(find(x, V.PLAIN_ITEM, 1))
-        return F.when(
-            ~_is_header_name(name, V.PLAIN_TOTAL_WORDS),
-            _item(name, _number(find(x, V.PLAIN_ITEM, 2)), _number(find(x, V.PLAIN_ITEM, 3))),
+    def parse(p: Column) -> Column:
+        return let(
+            strip(p[0]),
+            lambda name: F.when(
+                ~_is_header_name(name, V.PLAIN_TOTAL_WORDS), _item(name, _number(p[1]), _number(p[2]))
+            ),
         )
 
-    return F.filter(F.transform(lines, parse), lambda x: x.isNotNull())
+    return _parsed(lines, V.PLAIN_ITEM, 3, parse)
 
 
 def line_items(text: Column) -> Column:
     """Bundled items, or plain ones when there is no bundled line."""
-    bundled = bundled_items(text)
-    return F.when(F.size(bundled) > 0, bundled).otherwise(plain_items(text))
-
+    return let(
+        bundled_items(text),
+        lambda bundled: F.when(F.size(bundled) > 0, bundled).otherwise(plain_items(text)),
+    )

@@ -43,18 +43,18 @@ def extract_parties(docs: DataFrame) -> DataFrame:
             "store_name_raw": D.buyer_name(lines),
             "origin_raw": D.origin_address(lines),
             "destination_raw": D.destination_address(F.col("text"), lines),
-            "buyer_address_raw": D.buyer_address(F.col("text"), lines),
         }
     )
-    branch = D.store_branch_address(F.col("text"), F.col("origin_raw"), F.col("destination_raw"))
+    destination = F.col("destination_raw")
+    branch = D.store_branch_address(F.col("text"), F.col("origin_raw"), destination)
     return raw.withColumns(
         {
             "store_name": T.clean_store_name(F.col("store_name_raw")),
             "origin_address": T.fix_address_ocr(F.col("origin_raw")),
-            "buyer_address": T.fix_address_ocr(F.col("buyer_address_raw")),
+            "buyer_address": T.fix_address_ocr(D.buyer_address(F.col("text"), destination)),
             "branch_address": T.fix_address_ocr(branch),
         }
-    ).drop("lines", "origin_raw", "destination_raw", "buyer_address_raw")
+    ).drop("lines", "origin_raw", "destination_raw")
 
 
 def text_quality(docs: DataFrame) -> DataFrame:
