@@ -8,7 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .text import NBSP, find, strip, sub
+from .text import find, let, strip, sub
+
+
+# Year first with one separator, or day first; groups of the other form stay empty.
+DATE_TOKEN = (
+    r"^(?:(\d{4})([-/])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}))$"
+)
 
 
 def parse_date_token(col: Column) -> Column:
@@ -17,11 +23,14 @@ def parse_date_token(col: Column) -> Column:
     The token is rewritten to ISO order and cast, so calendar validity is checked
     without a formatter exception per row.
     """
-    s = strip(F.translate(col, NBSP, " "))
-    token = strip(F.substring(s, 1, 10))
-    iso = F.regexp_replace(token, r"^(\d{1,2})([/.\-])(\d{1,2})\2(\d{4})$", "$4-$3-$1")
-    iso = F.regexp_replace(iso, r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3")
-    return F.when(iso.rlike(r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"), iso.try_cast("date"))
+    token = strip(F.substring(strip(col), 1, 10))
+    return let(
+        F.regexp_replace(token, DATE_TOKEN, "=$1$8-$3$7-$4$5"),
+        lambda iso: F.when(
+            iso.startswith("=") & ~iso.startswith("=0000"),
+            F.substring(iso, 2, 10).try_cast("date"),
+        ),
+    )
 
 
 def parse_created_at(col: Column) -> Column:

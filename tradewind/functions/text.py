@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 
 NBSP = "\u00a0"
+# Everything that counts as whitespace at the ends of a text.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def rx(pattern: str) -> str:
@@ -38,7 +43,7 @@ def find(col: Column, pattern: str, group: int = 1) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim every kind of Unicode whitespace, not only spaces."""
-    return sub(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def strip_chars(col: Column, chars: str) -> Column:

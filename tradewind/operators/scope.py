@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import dates
+from ..functions.text import let
 from ..sources.tables import Star
 
 
@@ -22,11 +23,11 @@ def filter_by_date_range(df: DataFrame, col: str, start: date, end: date) -> Dat
 
 def period_mask(df: DataFrame, start: date, end: date) -> Column:
     """Effective date in range, or no effective date and the creation date in range."""
-    in_eff = dates.on_days(F.col("effective_date"), start, end)
+    effective = F.col("effective_date")
     if "created_at_raw" not in df.columns:
-        return in_eff
-    created = dates.parse_created_at(F.col("created_at_raw"))
-    return in_eff | (F.col("effective_date").isNull() & dates.on_days(created, start, end))
+        return dates.on_days(effective, start, end)
+    day = F.coalesce(effective, dates.parse_created_at(F.col("created_at_raw")))
+    return let(day, lambda d: dates.on_days(d, start, end))
 
 
 def in_period(df: DataFrame, start: date, end: date) -> DataFrame:

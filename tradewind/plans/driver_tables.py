@@ -13,6 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources.tables import Star
 
 START, END = date(1996, 1, 1), date(1998, 12, 31)
@@ -136,7 +137,7 @@ def raw_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(returned & (style >= "5"), F.concat(F.lit("ტიპი: კორექტირება "), key)).otherwise(
         F.concat(F.lit("ტიპი: მიწოდება "), key)
     )
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("id"),
         number.alias("invoice_number"),
         F.col("o_custkey").alias("store_id"),
@@ -250,7 +251,7 @@ def waybill_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("სასაქონლო ზედნადების ცხრილი"),
         items,
     )
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.concat(F.lit("/in/invoice_"), F.col("doc_id"), F.lit(".pdf")).alias("file"), text.alias("text")
     )
 

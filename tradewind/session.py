@@ -32,6 +32,17 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
+def spread(df: DataFrame, bytes_per_core: int = 128 << 20) -> DataFrame:
+    """Spread a small scan over all cores before per-row work that costs CPU.
+
+    A file of one row group is read by one task however many cores there are. Inputs
+    of more than ``bytes_per_core`` per core already fill the cores and stay put.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= cores * bytes_per_core else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
