@@ -230,6 +230,28 @@ NAME_JUNK_LINE = (
     r"ან\s+სახელი\s+და\s+გვარი|და\s+გვარი|საიდენტიფიკაციო|პირადი\s*ნომერი)($|\s)"
 )
 NAME_JUNK_FOOTER = r"გვარი\s+წომერი|გვარი\s+და\s+სახელი"
+COLUMN_HEADER_WORDS = ("გვარი", "ნომერი")
+COLUMN_HEADER_PAIR = r"გვარი.*ნომერი|ნომერი.*გვარი"
+COLUMN_HEADER_MAX = 90
+LEGAL_FORM_WORDS = ("შპს", "სს ")
+NOT_A_NAME_WORDS = ("ოპერაციის", "ტრანსპორტირების")
+NOT_A_NAME_CITY = r"თბილისი\s*,|ბათუმი\s*,|ქუთაისი\s*,"
+NOT_A_NAME_AMOUNT = r"თანხა|ლარებში|თეთრი"
+NOT_A_NAME_NUMBER = r"^\d[\d\s,/\-]*$"
+NAME_MIN_LETTERS = 12
+SCORE_LEGAL_FORMS = ("შპს", "სს ", "სს\t", "სს\n")
+SCORE_LONG_WORD = r"[ა-ჰ]{6,}"
+SCORE_LABEL_WORDS = ("დასახელება", "მყიდველ")
+SCORE_POINTS = {
+    "legal_form": 4.0,
+    "long_word": 2.0,
+    "negative_hint": -6.0,
+    "only_digits": -8.0,
+    "label": -5.0,
+    "header_junk": -10.0,
+}
+SCORE_LENGTH = 80
+ITEM_TABLE_WORDS = ("სასაქონლო", "ზედნადების", "ცხრილ")
 NAME_NEGATIVE_HINTS = (
     "გამყიდველ",
     "გამგზავნ",

@@ -100,7 +100,8 @@ def buyer_label_index(lines: Column) -> Column:
 
 def has_legal_form(line: Column) -> Column:
     s = strip(line)
-    glued = s.startswith(V.LEGAL_FORM_JSC) & (F.length(s) > 3) & (F.substring(s, 3, 1) != "ს")
+    letter = V.LEGAL_FORM_JSC[0]
+    glued = s.startswith(V.LEGAL_FORM_JSC) & (F.length(s) > 3) & (F.substring(s, 3, 1) != letter)
     return line.contains(V.LEGAL_FORM_LTD) | matches(line, V.LEGAL_FORM_JSC_TOKEN) | glued
 
 
@@ -138,25 +139,27 @@ def _count(col: Column, word: str) -> Column:
 
 def _is_column_header(line: Column) -> Column:
     t = T.squeeze(line)
-    legal = t.contains("შპს") | t.contains("სს ")
-    repeated = (_count(t, "გვარი") >= 2) | (_count(t, "ნომერი") >= 2)
-    pair = matches(t, r"გვარი.*ნომერი|ნომერი.*გვარი") & (F.length(t) < 90)
+    legal = contains_any(t, V.LEGAL_FORM_WORDS)
+    first, second = V.COLUMN_HEADER_WORDS
+    repeated = (_count(t, first) >= 2) | (_count(t, second) >= 2)
+    pair = matches(t, V.COLUMN_HEADER_PAIR) & (F.length(t) < V.COLUMN_HEADER_MAX)
     return (t == "") | (~legal & (repeated | pair))
 
 
 def looks_like_legal_entity(line: Column) -> Column:
     def test(s: Column) -> Column:
-        low = F.lower(s)
         return (
             F.when(F.length(s) < 4, False)
             .when(_is_column_header(s), False)
-            .when(matches(s, r"^\d[\d\s,/\-]*$"), False)
-            .when(s.contains("შპს") | s.contains("სს "), True)
+            .when(matches(s, V.NOT_A_NAME_NUMBER), False)
+            .when(contains_any(s, V.LEGAL_FORM_WORDS), True)
             .when(matches(s, V.HEADER_JUNK), False)
-            .when(low.contains("ოპერაციის") | low.contains("ტრანსპორტირების"), False)
-            .when(matches(s, r"თბილისი\s*,|ბათუმი\s*,|ქუთაისი\s*,") & s.contains("#"), False)
-            .when(matches(s, r"თანხა|ლარებში|თეთრი"), False)
-            .otherwise(F.length(F.regexp_replace(s, r"[^\u10a0-\u10ff]", "")) >= 12)
+            .when(contains_any(F.lower(s), V.NOT_A_NAME_WORDS), False)
+            .when(matches(s, V.NOT_A_NAME_CITY) & s.contains("#"), False)
+            .when(matches(s, V.NOT_A_NAME_AMOUNT), False)
+            .otherwise(
+                F.length(F.regexp_replace(s, r"[^\u10a0-\u10ff]", "")) >= V.NAME_MIN_LETTERS
+            )
         )
 
     return let(strip(line), test)
@@ -172,19 +175,17 @@ def name_score(line: Column) -> Column:
     """How much a line looks like a buyer's legal name."""
     low = F.lower(line)
 
-    def points(test: Column, n: float) -> Column:
-        return F.when(test, F.lit(n)).otherwise(F.lit(0.0))
-
-    legal = contains_any(line, ("შპს", "სს ", "სს\t", "სს\n"))
-    total = (
-        points(legal, 4.0)
-        + points(matches(line, r"[ა-ჰ]{6,}"), 2.0)
-        + points(contains_any(low, V.NAME_NEGATIVE_HINTS), -6.0)
-        + points(matches(strip(line), r"^\d+$"), -8.0)
-        + points(low.contains("დასახელება") & low.contains("მყიდველ"), -5.0)
-        + points(matches(line, V.HEADER_JUNK), -10.0)
-        + F.least(F.length(line), F.lit(80)).cast("double") / 80.0
-    )
+    tests = {
+        "legal_form": contains_any(line, V.SCORE_LEGAL_FORMS),
+        "long_word": matches(line, V.SCORE_LONG_WORD),
+        "negative_hint": contains_any(low, V.NAME_NEGATIVE_HINTS),
+        "only_digits": matches(strip(line), r"^\d+$"),
+        "label": contains_all(low, V.SCORE_LABEL_WORDS),
+        "header_junk": matches(line, V.HEADER_JUNK),
+    }
+    total = F.least(F.length(line), F.lit(V.SCORE_LENGTH)).cast("double") / float(V.SCORE_LENGTH)
+    for kind, test in tests.items():
+        total = total + F.when(test, F.lit(V.SCORE_POINTS[kind])).otherwise(F.lit(0.0))
     return F.when(F.length(line) < 4, F.lit(-100.0)).otherwise(total)
 
 
@@ -199,7 +200,7 @@ def _best_name(names: Column, min_score: float) -> Column:
 
 
 def _usable_name(name: Column) -> Column:
-    return ~(is_junk_name(name) & ~looks_like_legal_entity(name))
+    return ~is_junk_name(name)
 
 
 def buyer_name_above_label(lines: Column) -> Column:
@@ -228,9 +229,7 @@ def buyer_name_near_label(lines: Column) -> Column:
 
 def header_band(lines: Column) -> Column:
     """Lines above the item grid, at most 55 and at least one."""
-    caption = first_index(
-        lines, lambda x: contains_all(x, ("სასაქონლო", "ზედნადების")) & x.contains("ცხრილ")
-    )
+    caption = first_index(lines, lambda x: contains_all(x, V.ITEM_TABLE_WORDS))
     tail = slice_safe(lines, F.lit(V.HEADER_GRID_FROM + 1), F.size(lines))
     grid = first_index(
         tail, lambda x: matches(x, V.HEADER_GRID_ROW) & (F.length(x) > V.HEADER_GRID_ROW_MIN)

@@ -30,12 +30,13 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 
 def occurrences(ordered: Column) -> Column:
-    """Distinct (character, occurrence) marks of sorted characters.
+    """Distinct (character, occurrence) marks of sorted characters, as numbers.
 
     Two multisets of characters share as many characters as their marks intersect.
     """
     return F.transform(
-        ordered, lambda ch, i: F.concat(ch, (i - F.array_position(ordered, ch)).cast("string"))
+        ordered,
+        lambda ch, i: F.ascii(ch).cast("long") * 1_000_000 + (i + 1 - F.array_position(ordered, ch)),
     )
 
 

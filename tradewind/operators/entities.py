@@ -43,24 +43,44 @@ def _block_keys(df: DataFrame, own: str, other: str, threshold: float) -> DataFr
     n = F.length("sig")
     low = F.ceil(n * (threshold / (2.0 - threshold)) - 1e-9).cast("int")
     high = F.floor(n * ((2.0 - threshold) / threshold) + 1e-9).cast("int")
-    lengths = df.select(
-        "*", n.alias(own), F.explode(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1)))).alias(other)
+    reach = F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1)))
+    lengths = F.filter(
+        F.transform(
+            reach, lambda m: F.struct(m.alias("len"), (_budget(n + m, threshold) + 1).alias("groups"))
+        ),
+        lambda s: (s["groups"] > 1) & (F.abs(n - s["len"]) < s["groups"]),
     )
-    groups = lengths.withColumn("groups", _budget(F.col(own) + F.col(other), threshold) + 1).filter(
-        (F.col("groups") > 1) & (F.abs(F.col(own) - F.col(other)) < F.col("groups"))
+
+    def part(group: Column) -> Column:
+        mine = F.filter(
+            F.split("sig", ""), lambda c: F.pmod(F.ascii(c), F.col("groups")) == group
+        )
+        return F.array_join(mine, "")
+
+    # The parts depend on the number of groups only, which several lengths share.
+    by_groups = df.select("*", n.alias(own), lengths.alias("_lengths")).withColumn(
+        "groups", F.explode(F.array_distinct(F.transform("_lengths", lambda s: s["groups"])))
     )
-    each = groups.withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    part = F.filter(
-        F.split("sig", ""), lambda c: F.pmod(F.ascii(c), F.col("groups")) == F.col("grp")
+    parts = by_groups.select(
+        "*", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("groups") - 1), part)).alias("grp", "part")
+    )
+    same = F.filter("_lengths", lambda s: s["groups"] == F.col("groups"))
+    return parts.withColumn(other, F.explode(F.transform(same, lambda s: s["len"]))).drop(
+        "_lengths", "groups"
     )
-    return each.withColumn("part", F.array_join(part, "")).drop("groups")
 
 
 def _near_matches(names: DataFrame, stores: DataFrame, threshold: float) -> DataFrame:
     """Best store per distinct name signature with a character ratio in [threshold, 1)."""
     marks = occurrences(F.split("sig", ""))
-    left = _block_keys(names.withColumn("marks", marks), "len_a", "len_b", threshold)
-    right = _block_keys(stores.withColumn("store_marks", marks), "len_b", "len_a", threshold)
+    # Short rows, much work per row: keep all cores busy however few bytes there are.
+    cores = names.sparkSession.sparkContext.defaultParallelism
+    left = _block_keys(
+        names.repartition(cores).withColumn("marks", marks), "len_a", "len_b", threshold
+    )
+    right = _block_keys(
+        stores.repartition(cores).withColumn("store_marks", marks), "len_b", "len_a", threshold
+    )
     pairs = left.join(right.drop("sig"), ["len_a", "len_b", "grp", "part"])
     shared = F.size(F.array_intersect("marks", "store_marks"))
     score = F.lit(2.0) * shared / (F.col("len_a") + F.col("len_b"))

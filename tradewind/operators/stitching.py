@@ -12,6 +12,7 @@ from .. import fixed_values as V
 from ..functions.documents import waybill_number
 from ..functions.matching import waybill_keys
 from ..functions.money import as_double
+from ..session import written
 from .keys import number_rows, order_block
 
 NO_LINE = 999_999
@@ -180,7 +181,8 @@ def stitch_appendices(
     real = stores.filter(~is_placeholder).select(F.col("id").alias("store_id"))
     appendices = invoices.join(unknown, "store_id", "left_semi")
     known = invoices.join(real, "store_id", "left_semi")
-    links = find_parents(appendices, known)
+    # Two ids per appendix, read by every step below.
+    links = written(find_parents(appendices, known), "appendix-links")
 
     new_items = move_items(items, links)
     notes = merged_notes(invoices, links).withColumnRenamed("parent_id", "id")

@@ -279,7 +279,7 @@ def stitch_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         .otherwise(waybill)
     )
     raw = F.when(appendix & (style >= "3") & (style < "5"), F.concat(waybill, F.lit(" სასაქონლო ზედნადების დანართი")))
-    invoices = table(spark, sf_dir, "orders").select(
+    invoices = spread(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("id"),
         number.alias("invoice_number"),
         F.when(appendix, unknown_id).otherwise(F.col("o_custkey")).alias("store_id"),

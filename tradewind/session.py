@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,11 @@ def spread(df: DataFrame, bytes_per_core: int = 128 << 20) -> DataFrame:
     return df.repartition(cores) if size <= cores * bytes_per_core else df
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tradewind-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
@@ -52,8 +58,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="tradewind-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
