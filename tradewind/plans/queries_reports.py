@@ -384,8 +384,8 @@ def _report_sql() -> str:
 
     def block(tag: str, where: str, prefix: str, n_products: int, n_restock: int) -> str:
         return f"""p{tag} AS (SELECT * FROM period WHERE {where}),
-        k{tag} AS (SELECT CAST({S.dec('revenue_gel')} AS DOUBLE) AS rev, count(DISTINCT store_name) AS n FROM p{tag}),
-        f{tag} AS (SELECT CAST({S.dec('CASE WHEN p.is_return THEN credit ELSE 0 END')} AS DOUBLE) AS refunds
+        k{tag} AS (SELECT coalesce(CAST({S.dec('revenue_gel')} AS DOUBLE), 0) AS rev, count(DISTINCT store_name) AS n FROM p{tag}),
+        f{tag} AS (SELECT coalesce(CAST({S.dec('CASE WHEN p.is_return THEN credit ELSE 0 END')} AS DOUBLE), 0) AS refunds
           FROM priced JOIN p{tag} p USING (invoice_id)),
         r{tag} AS (SELECT store_name, CAST({S.dec('revenue_gel')} AS DOUBLE) AS r FROM p{tag} GROUP BY 1),
         a{tag} AS (SELECT store_name, {S.money('r')} AS revenue_gel, {S.money(f'r / {(END - START).days + 1}')} AS avg_d FROM r{tag}),
@@ -398,7 +398,7 @@ def _report_sql() -> str:
         out{tag} AS (
           SELECT '{prefix}kpi' AS section, 1 AS rank, 'all' AS name, 'total_revenue_gel' AS metric, {S.exact_round('rev', 2)} AS value FROM k{tag}
           UNION ALL SELECT '{prefix}kpi', 1, 'all', 'total_returns_gel', {S.exact_round('refunds', 2)} FROM f{tag}
-          UNION ALL SELECT '{prefix}kpi', 1, 'all', 'returns_pct', {S.exact_round('(refunds / rev * 100)', 2)} FROM k{tag}, f{tag}
+          UNION ALL SELECT '{prefix}kpi', 1, 'all', 'returns_pct', {S.exact_round('(CASE WHEN rev > 0 THEN refunds / rev * 100 ELSE 0 END)', 2)} FROM k{tag}, f{tag}
           UNION ALL SELECT '{prefix}kpi', 1, 'all', 'n_stores', CAST(n AS DOUBLE) FROM k{tag}
           UNION ALL SELECT '{prefix}restock', rk, store_name, 'recommended_restock_gel', rec FROM c{tag} WHERE rk <= {n_restock}
           UNION ALL SELECT '{prefix}restock', rk, store_name, 'avg_daily_revenue_gel', avg_d FROM c{tag} WHERE rk <= {n_restock}
