@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import labelled, quality, toxicity
 from .exact_dedup import exact_duplicates
 from .simhash_neardup import near_duplicates
 from .url_filters import judge_urls, rules_table
@@ -93,3 +95,29 @@ def simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
+
+
+@query("op1_toxicity")
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = labelled.hash_remainder(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "offending"
+    )
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    return quality.fit(docs, labels, labelled.hash_remainder(F.col("doc_id"), 5) != 0)
+
+
+@query("op8_quality")
+def good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    held_out = labelled.hash_remainder(F.col("doc_id"), 5) == 0
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "passage"
+    )
