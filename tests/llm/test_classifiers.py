@@ -62,7 +62,9 @@ def test_toxicity_learns_words_and_finds_the_sentence(spark, frames):
 def test_toxicity_gradient_step_raises_the_likelihood():
     bags = [[[1, 2], [3]], [[2]], [[3, 4]], [[1]], [[4]], [[5, 3]]]
     labels = np.array([1, 0, 0, 1, 0, 0])
-    model = T.fit_bags(bags, labels)
+    flat = [f for b in bags for s in b for f in s]
+    sizes = [len(s) for b in bags for s in b]
+    model = T.fit_bags(np.array(flat, np.int32), np.array(sizes), np.array([len(b) for b in bags]), labels)
     score = lambda bag: 1 - np.prod([1 - 1 / (1 + np.exp(-(model.bias + sum(model.weights[f] for f in s)))) for s in bag])
     assert all((score(b) >= 0.3) == y for b, y in zip(bags, labels))
 

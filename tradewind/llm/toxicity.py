@@ -31,7 +31,7 @@ from .labelled import training_rows
 from .shared import documents
 
 #: Labelled documents that the fit uses at most.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 #: Numbers of features; a feature's number is its hash.
 FEATURES = 1 << 18
 #: Beginnings of a word that are features beside the whole word.
@@ -40,6 +40,8 @@ PREFIXES = (3, 4, 5)
 STEPS, RATE, EVIDENCE = 400, 1.0, 0.3
 #: Steps after which features without weight are dropped from the fit.
 PRUNED = (30, 60, 120, 240)
+#: How much more common than elsewhere a feature is in toxic documents, at least, to be learned.
+LIFT = 1.5
 #: Log odds of a sentence without any evidence, before the fit.
 BIAS = -10.0
 #: Probability from which a sentence or a document counts as toxic.
@@ -88,22 +90,27 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_bags(bags: list[list[list[int]]], labels: np.ndarray) -> Model:
-    """Weights of the features; a bag is a document's sentences, a sentence its features."""
-    weights, share = np.zeros(FEATURES, np.float64), float(labels.mean()) if len(labels) else 0.5
+def fit_bags(features: np.ndarray, per_sentence: np.ndarray, per_doc: np.ndarray, labels: np.ndarray) -> Model:
+    """Weights of the features.
+
+    ``features`` holds the numbers of all sentences in a row, ``per_sentence`` how many each
+    sentence has, ``per_doc`` how many sentences each document has.
+    """
+    weights, share = np.zeros(FEATURES, np.float32), float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
-        return Model(weights.astype(np.float32), math.log((share + 1e-3) / (1 - share + 1e-3)))
-    bags = [bag or [[]] for bag in bags]
-    of_doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    lengths = [len(s) for b in bags for s in b]
-    of_sentence = np.repeat(np.arange(len(lengths)), lengths)
-    features = np.fromiter((f for b in bags for s in b for f in s), np.int64, sum(lengths))
-    # Only features of at least two documents can carry over to others.
-    first = np.unique(np.stack([of_doc[of_sentence], features]), axis=1)[1]
-    common = np.bincount(first, minlength=FEATURES) >= 2
-    used = common[features]
-    features, of_sentence = features[used], of_sentence[used]
-    names, features = np.unique(features, return_inverse=True)
+        return Model(weights, math.log((share + 1e-3) / (1 - share + 1e-3)))
+    of_doc = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
+    of_sentence = np.repeat(np.arange(len(per_sentence), dtype=np.int32), per_sentence)
+    # A weight is learned for what at least two toxic documents share and others have less often.
+    seen_in = np.unique(of_doc[of_sentence] * np.int64(FEATURES) + features)
+    toxic = labels[seen_in // FEATURES] == 1
+    inside = np.bincount(seen_in[toxic] % FEATURES, minlength=FEATURES)
+    outside = np.bincount(seen_in[~toxic] % FEATURES, minlength=FEATURES)
+    del seen_in, toxic
+    learned = (inside >= 2) & (inside * (labels == 0).sum() > LIFT * outside * (labels == 1).sum())
+    used = learned[features]
+    names, features = np.unique(features[used], return_inverse=True)
+    of_sentence = of_sentence[used]
     positive, n = labels == 1, len(labels)
     w, bias = np.zeros(len(names)), BIAS
     seen, seen_bias = np.full(len(names), 1e-12), 1e-12
@@ -113,7 +120,7 @@ def fit_bags(bags: list[list[list[int]]], labels: np.ndarray) -> Model:
             held = keep[features]
             features, of_sentence = (np.cumsum(keep) - 1)[features[held]], of_sentence[held]
             names, seen, w = names[keep], seen[keep], w[keep]
-        z = bias + np.bincount(of_sentence, w[features], minlength=len(lengths))
+        z = bias + np.bincount(of_sentence, w[features], minlength=len(per_sentence))
         p = _logistic(z)
         clean = np.bincount(of_doc, np.log1p(-p), minlength=n)
         pull = np.where(positive, np.exp(clean) / np.maximum(-np.expm1(clean), 1e-9), -1.0) / n
@@ -126,15 +133,16 @@ def fit_bags(bags: list[list[list[int]]], labels: np.ndarray) -> Model:
         seen_bias += slope.sum() ** 2
         bias += RATE * slope.sum() / math.sqrt(seen_bias)
     weights[names] = w
-    return Model(weights.astype(np.float32), float(bias))
+    return Model(weights, float(bias))
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sentences of each document as feature numbers; a document without any has an empty one."""
     known = _Memory(word_features)
     kind = pa.list_(pa.list_(pa.int32()))
     for batch in batches:
         bags = [
-            [[f for token in s.split() for f in known[token]] for s in sentences(text.as_py() or "")]
+            [[f for token in s.split() for f in known[token]] for s in sentences(text.as_py() or "")] or [[]]
             for text in batch.column("text")
         ]
         yield pa.RecordBatch.from_arrays([pa.array(bags, kind), batch.column("label")], names=["bag", "label"])
@@ -144,7 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = TRAIN_R
     """A model from ``labels.toxic`` of the documents whose ids satisfy ``usable``."""
     rows = training_rows(docs, labels, "toxic", usable, limit).select("text", "label")
     found = rows.mapInArrow(_bags, "bag array<array<int>>, label int").toArrow()
-    return fit_bags(found.column("bag").to_pylist(), found.column("label").to_numpy())
+    bags = found.column("bag").combine_chunks()
+    if isinstance(bags, pa.ChunkedArray):
+        bags = pa.concat_arrays(bags.chunks) if bags.num_chunks else pa.array([], bags.type)
+    per_doc, inner = np.diff(bags.offsets), bags.flatten()
+    return fit_bags(np.asarray(inner.flatten()), np.diff(inner.offsets), per_doc, found.column("label").to_numpy())
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
