@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, labelled, quality, toxicity
 from .exact_dedup import exact_duplicates
+from .sharding import shard_documents
 from .simhash_neardup import near_duplicates
 from .url_filters import judge_urls, rules_table
 
@@ -138,3 +139,8 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op5_sharding")
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
