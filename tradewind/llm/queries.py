@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, labelled, quality, toxicity
+from .decontamination import leaked_items
 from .exact_dedup import exact_duplicates
 from .sharding import shard_documents
 from .simhash_neardup import near_duplicates
@@ -144,3 +145,8 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_sharding")
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
