@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, labelled, quality, toxicity
+from .chat_format import format_conversations
 from .decontamination import leaked_items
 from .exact_dedup import exact_duplicates
+from .paragraph_dedup import repeated_paragraphs
 from .sharding import shard_documents
 from .simhash_neardup import near_duplicates
 from .url_filters import judge_urls, rules_table
@@ -150,3 +152,20 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_paragraph_dedup")
+def paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op10_chat_format",
+    r"""
+    SELECT conv_id, turn, 0 AS segment, role, false AS continues,
+           '<|' || role || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<\|') || chr(10) AS text
+    FROM conversations
+    """,
+)
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(table(spark, sf_dir, "conversations"))
