@@ -57,11 +57,11 @@ def frame(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string, ids string").withColumn("word", F.lit(1))
 
 
-@pytest.mark.parametrize("words,chunk,bytes_", [(1 << 19, 1_000_000, 64), (3, 2, 2)])
-def test_ids_equal_the_library(spark, vocabulary, library, monkeypatch, words, chunk, bytes_):
+@pytest.mark.parametrize("words,size,bytes_", [(1 << 19, 250, 64), (3, 2, 2)])
+def test_ids_equal_the_library(spark, vocabulary, library, monkeypatch, words, size, bytes_):
     """Also with a dictionary of three words: nearly everything is folded in its row."""
     monkeypatch.setattr(B, "DICTIONARY", words)
-    monkeypatch.setattr(B, "CHUNK", chunk)
+    monkeypatch.setattr(B, "SLICE", size)
     monkeypatch.setattr(B, "DICTIONARY_BYTES", bytes_)
     texts = TEXTS[:-1] if words == 3 else TEXTS
     got = B.decode(B.encode(frame(spark, texts), vocabulary), vocabulary).collect()

@@ -23,13 +23,13 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +40,11 @@ from .shared import documents
 DICTIONARY, DICTIONARY_BYTES, SAMPLE_ROWS = 1 << 19, 64, 50_000
 #: Bytes of a piece beyond which it is merged with a heap.
 LONG = 400
-#: Pieces that a task looks up at a time.
-CHUNK = 1_000_000
+#: Documents that a task works on at a time.
+SLICE = 250
 
-#: Buckets of the rank map, and the factor that spreads pairs over them.
-BUCKETS, SPREAD = 1 << 15, 40_503
+#: Buckets of the rank map; a pair's bucket is its checksum.
+BUCKETS = 1 << 15
 #: Marks the start of a bucket's entry; stands for "no such pair" and sorts after all tokens.
 START, NONE = "\x01", "\U0010ffff"
 #: Characters of tokens begin here and leave the surrogates out.
@@ -94,7 +94,7 @@ def fold_merges(vocabulary: Vocabulary):
     buckets = [f"..{NONE}"] * BUCKETS
     for left, right, merged in vocabulary.merges():
         a, b, c = _character(left), _character(right), _character(merged)
-        buckets[(ord(a) * SPREAD + ord(b)) % BUCKETS] += START + a + b + c
+        buckets[zlib.crc32((a + b).encode()) % BUCKETS] += START + a + b + c
     rank_map = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<string>")
     latin = "".join(map(chr, range(256)))
     first = "".join(_character(vocabulary.ranks[bytes([b])]) for b in range(256))
@@ -105,7 +105,7 @@ def fold_merges(vocabulary: Vocabulary):
         return F.get(F.transform(F.array(value), use), F.lit(0))
 
     def merged(a: Column, b: Column) -> Column:
-        slot = F.pmod(F.ascii(a) * F.lit(SPREAD).cast("long") + F.ascii(b), F.lit(BUCKETS)).cast("int")
+        slot = (F.crc32(F.concat(a, b).cast("binary")) % BUCKETS).cast("int")
         # Found at p: the token stands at p + 3. Not found (0): the third character is NONE.
         return bound(
             F.get(rank_map, slot),
@@ -216,67 +216,57 @@ def _looked_up(
 ) -> Iterator[pa.RecordBatch]:
     """Ids as 32-bit integers; -1-k stands for the document's k-th word that is to be folded."""
     find = vocabulary.splitter().findall
-    words, codes = dictionary.value
-
-    def flush(docs, pieces, sizes):
-        at = pc.index_in(pa.array(pieces, pa.string()), value_set=words)
-        missing = np.flatnonzero(np.asarray(at.is_null()))
-        found = codes.take(at)
-        offsets = np.frombuffer(found.buffers()[1], np.int32)[: len(pieces) + 1]
-        data = found.buffers()[2]
-        data = memoryview(data) if data is not None else memoryview(b"")
-        packed, rare, lo, m = [], [], 0, 0
-        for size in sizes:
-            hi = lo + size
-            parts, own, start = [], {}, offsets[lo]
-            while m < len(missing) and missing[m] < hi:
-                cut = offsets[missing[m]]
-                parts.append(data[start:cut])
-                piece = pieces[missing[m]]
-                raw = piece.encode("utf-8")
-                if len(raw) > LONG:
-                    parts.append(np.array(merge_with_heap(raw, vocabulary.ranks), "<i4").tobytes())
-                else:
-                    parts.append((-1 - own.setdefault(piece, len(own))).to_bytes(4, "little", signed=True))
-                start = cut
-                m += 1
-            parts.append(data[start : offsets[hi]])
-            packed.append(b"".join(parts))
-            rare.append(list(own))
-            lo = hi
-        return pa.RecordBatch.from_arrays(
-            [docs, pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string()))],
+    known = dictionary.value.get
+
+    def packed(pieces: list[str]) -> tuple[bytes, list[str]]:
+        codes = [known(p) for p in pieces]
+        own: dict[str, int] = {}
+        if None in codes:
+            for at, code in enumerate(codes):
+                if code is None:
+                    raw = pieces[at].encode("utf-8")
+                    if len(raw) > LONG:
+                        codes[at] = np.array(merge_with_heap(raw, vocabulary.ranks), "<i4").tobytes()
+                    else:
+                        mark = -1 - own.setdefault(pieces[at], len(own))
+                        codes[at] = mark.to_bytes(4, "little", signed=True)
+        return b"".join(codes), list(own)
+
+    for batch in _sliced(batches):
+        rows = [packed(find(text.as_py() or "")) for text in batch.column("text")]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array([r[0] for r in rows], pa.binary()),
+                pa.array([r[1] for r in rows], pa.list_(pa.string())),
+            ],
             names=["doc_id", "packed", "rare"],
         )
 
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text")
-        first, pieces, sizes = 0, [], []
-        for row, text in enumerate(texts):
-            found = find(text.as_py() or "")
-            pieces += found
-            sizes.append(len(found))
-            if len(pieces) >= CHUNK:
-                yield flush(ids[first : row + 1], pieces, sizes)
-                first, pieces, sizes = row + 1, [], []
-        if sizes:
-            yield flush(ids[first:], pieces, sizes)
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ids of each document, folded words put in."""
-    for batch in batches:
+    for batch in _sliced(batches):
         arrays = []
         for packed, folded in zip(batch.column("packed"), batch.column("folded")):
             ids = np.frombuffer(packed.as_buffer(), "<i4")
-            holes = np.flatnonzero(ids < 0)
-            if len(holes):
-                own = [_tokens(f.as_py()) for f in folded]
-                cuts = np.split(ids, holes)
-                parts = [cuts[0]]
-                for cut in cuts[1:]:
-                    parts += [own[-1 - cut[0]], cut[1:]]
-                ids = np.concatenate(parts)
+            holes = np.flatnonzero(ids < 0).tolist()
+            if holes:
+                words = folded.as_py()
+                tokens = _tokens("".join(words))
+                ends = np.cumsum([0, *map(len, words)]).tolist()
+                parts, at = [], 0
+                for hole in holes:
+                    word = -1 - ids[hole]
+                    parts += [ids[at:hole], tokens[ends[word] : ends[word + 1]]]
+                    at = hole + 1
+                ids = np.concatenate([*parts, ids[at:]])
             arrays.append(ids)
         lengths = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
         values = np.concatenate(arrays).astype(np.int32) if arrays else np.empty(0, np.int32)
@@ -286,24 +276,26 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``doc_id, ids``: the token ids of each whole text."""
+def _folded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``doc_id, packed, folded``: ids with gaps and the tokens of the words that belong there."""
     rows = documents(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
     fold = fold_merges(vocabulary)
     table = frequent_words(rows, vocabulary, fold)
-    codes = [_tokens(t.as_py()).astype("<i4").tobytes() for t in table.column("tokens")]
-    words = table.column("word").cast(pa.string()).combine_chunks()
-    words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) and words.num_chunks else words
-    if isinstance(words, pa.ChunkedArray):
-        words = pa.array([], pa.string())
-    dictionary = docs.sparkSession.sparkContext.broadcast((words, pa.array(codes, pa.binary())))
+    codes = (_tokens(t.as_py()).astype("<i4").tobytes() for t in table.column("tokens"))
+    words = dict(zip(table.column("word").to_pylist(), codes))
+    dictionary = docs.sparkSession.sparkContext.broadcast(words)
     kind = rows.schema["doc_id"].dataType.simpleString()
     looked_up = rows.mapInArrow(
         lambda batches: _looked_up(batches, vocabulary, dictionary),
         f"doc_id {kind}, packed binary, rare array<string>",
     )
-    folded = looked_up.select("doc_id", "packed", F.transform("rare", fold).alias("folded"))
-    return folded.mapInArrow(_assembled, f"doc_id {kind}, ids array<int>")
+    return looked_up.select("doc_id", "packed", F.transform("rare", fold).alias("folded"))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``doc_id, ids``: the token ids of each whole text."""
+    folded = _folded(docs, vocabulary)
+    return folded.mapInArrow(_assembled, f"doc_id {folded.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
@@ -311,7 +303,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Itera
     for piece, rank in vocabulary.ranks.items():
         table[rank] = piece
     pieces = pa.array(table, pa.binary())
-    for batch in batches:
+    for batch in _sliced(batches):
         ids = batch.column("ids")
         starts = np.asarray(ids.offsets)
         flat = ids.values[starts[0] : starts[-1]] if len(ids) else ids.values[:0]
@@ -333,3 +325,12 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The rows with ``decoded``, the bytes of the ids, and ``packed``, the ids as 32-bit integers."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(lambda batches: _decoded(batches, vocabulary), f"{columns}, decoded binary, packed binary")
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``doc_id, ids, decoded, packed``: ``decode(encode(docs))`` with one Python worker less."""
+    folded = _folded(docs, vocabulary)
+    return folded.mapInArrow(
+        lambda batches: _decoded(_assembled(batches), vocabulary),
+        f"doc_id {folded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary, packed binary",
+    )

@@ -134,8 +134,7 @@ def production_vocabulary() -> bpe.Vocabulary:
 
 @query("op6_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = production_vocabulary()
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    found = bpe.round_trip(table(spark, sf_dir, "documents"), production_vocabulary())
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
