@@ -71,8 +71,14 @@ def test_merge_rules(spark, tmp_path):
     table = M.replace_merge_rules(spark, str(tmp_path / "rules2"), rules)
     joined = M.tag_labels(df, "raw", table)
     assert [r.canonical for r in joined.orderBy("i").collect()] == want
-    many = rules + [(1, f"r{i}", f"no such {i}", None, None) for i in range(M.MAX_INLINE_RULES)]
+    many = rules + [(1, f"r{i}", f"no such {i}", None, None) for i in range(600)]
     assert [r.canonical for r in M.tag_labels(df, "raw", many).orderBy("i").collect()] == want
+    # An empty first part meets every label, as a list and as a table.
+    rest = [*rules, (0, "rest", "", None, None)]
+    whole = ["rest" if w is None else w for w in want]
+    assert [r.canonical for r in M.tag_labels(df, "raw", rest).orderBy("i").collect()] == whole
+    table = M.merge_rules_table(spark, rest)
+    assert [r.canonical for r in M.tag_labels(df, "raw", table).orderBy("i").collect()] == whole
 
 
 def test_default_rules_prefer_french_toast(spark):

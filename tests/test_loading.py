@@ -159,12 +159,13 @@ def test_items_without_a_price_have_no_total(spark):
         f"doc_id long, file string, store_id long, waybill_number string, invoice_date string, invoice_time string, "
         f"warnings array<string>, raw_text string, lines {line}",
     )
-    loaded = I.ingest_documents(
-        docs, empty(spark, "id long, store_id long, invoice_number string"), empty(spark, "id long"), empty(spark, "id long, name string")
-    )
+    known = (empty(spark, "id long, store_id long, invoice_number string"), empty(spark, "id long"), empty(spark, "id long, name string"))
+    loaded = I.ingest_documents(docs, *known)
     inv, item = loaded.invoices.first(), loaded.items.first()
     assert (inv.subtotal, inv.total, inv.raw_text) == (None, None, None)
-    assert inv.notes == "warnings: w0; w1; w2; w3; w4"
+    assert inv.notes == "warnings: w0; w1; w2; w3; w4; w5; w6"
+    cut = I.ingest_documents(docs.withColumn("raw_text", F.lit("abcdef")), *known, max_warnings=2, raw_text_limit=4)
+    assert [(r.notes, r.raw_text) for r in cut.invoices.collect()] == [("warnings: w0; w1", "abcd")]
     assert (item.quantity, item.unit_price, item.line_total) == (0.0, None, None)
 
 
@@ -219,7 +220,7 @@ def test_failed_batch_is_recorded_raised_and_retried(spark, xml, tmp_path):
     with pytest.raises(RuntimeError):
         WS.sync_batch(log, runs, broken)(batch, 3)
     run = WS.read_sync_runs(spark, runs).first()
-    assert run.status == "failed" and len(run.error_message) == 4000 and run.finished_at is not None
+    assert run.status == "failed" and len(run.error_message) == 5000 and run.finished_at is not None
     for _ in range(2):
         WS.sync_batch(log, runs)(batch, 3)
     assert WS.read_log(spark, log).count() == 7

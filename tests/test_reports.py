@@ -221,7 +221,7 @@ def test_warnings(spark, tables):
     # Text says credit but the invoice is not flagged when only the plain word is searched.
     star = load_star(invoices.filter("id <> 2"), items, stores.withColumn("address", F.lit("ქუჩა")), products)
     star = star._replace(
-        invoices=star.invoices.withColumn("raw_text_snippet", F.lit("საკრედიტო"))
+        invoices=star.invoices.withColumn("raw_text", F.lit("საკრედიტო"))
     )
     got = {r["check"]: r for r in data_warnings(star, START, END).collect()}
     assert got["credit_text_without_returns"].n == 4

@@ -19,13 +19,8 @@ DEFAULT_UNIT = "ცალი"
 DEFAULT_CURRENCY = "GEL"
 WAYBILL_SOURCE_FILE = "rs_ge_sync"
 
-# --- size limits ---------------------------------------------------------
-RAW_TEXT_SNIPPET = 5_000
-RAW_TEXT_LIMIT = 500_000
-NOTES_LIMIT = 500_000
-ERROR_LIMIT = 4_000
+# --- display ---------------------------------------------------------------
 ADDRESS_SNIPPET = 28
-MAX_WARNINGS = 5
 
 # --- period presets (label -> inclusive days) ----------------------------
 PRESET_DAYS = {
@@ -135,8 +130,6 @@ TOKEN_WEIGHT = 0.9
 # --- products ------------------------------------------------------------
 SHELF_LIFE_DAYS = (("შავი", 7), ("რუხი", 7), ("dark", 7))
 SHELF_LIFE_DEFAULT = 6
-SANDWICH = "სენდვიჩ ტოსტი (470გრ პური)"
-FRENCH_TOAST = "ფრანგული ტოსტის პური"
 # (priority, canonical name, part 1, part 2, part 3): all parts must occur.
 MERGE_RULES = (
     (102, "ფრანგული ტოსტის პური", "ფრანგული ტოსტის", None, None),
@@ -161,7 +154,6 @@ MERGE_RULES = (
     (88, "400 გრ დიეტა, ქატოს პური", "დიეტა", "ქატოს", None),
 )
 LABEL_REPLACEMENTS = (("|", " "), ("47036", "470"))
-LABEL_SPACE_PASSES = 4
 
 # --- report thresholds ---------------------------------------------------
 RISK_LOW_MAX = 10.0
@@ -273,7 +265,6 @@ COMPLETION_CAPTION_TRANSPORT = (
 )
 CAPTION_TAIL = r"\s*[:\-–—]?\s*(.+)$"
 COMPLETION_WORD = "დასრულების"
-START_CAPTION_LOOSE = r"დაწყების\s*.{0,24}?ადგილ"
 START_CAPTION_WORDS = ("დაწყების", "ადგილი")
 ORIGIN_CAPTION = r"ტრანსპორტირების\s*დაწყების\s*ადგილ"
 TRANSPORT_KIND = r"ტრანსპორტირების\s*სახე"
@@ -289,13 +280,11 @@ ITEM_SECTION_WORD = "სასაქონლო"
 BUYER_WORD = "მყიდველის"
 FULL_TEXT_WINDOW = 1_200
 BUYER_OFFSET_SLACK = 80
-REGION_LIMIT = 12_000
-PREVIEW_SCAN_LIMIT = 24_000
 BUYER_BLOCK_PATTERNS = (
-    r"მყიდველის\s*(?:\([^)]*\))?\s*დასახელება[^\n]*\n([\s\S]{0,4000}?)"
+    r"მყიდველის\s*(?:\([^)]*\))?\s*დასახელება[^\n]*\n([\s\S]*?)"
     r"(?=ტრანსპორტირების\s*დაწყების|ოპერაციის\s*შინაარსი|სასაქონლო\s*ზედნადების\s*ცხრილი|"
     r"მიწოდებული\s*საქონლის)",
-    r"ჩამბარებ(?:ელი|ლის)[^\n]*\n([\s\S]{0,2000}?)(?=ტრანსპორტირების|ოპერაციის|სასაქონლო)",
+    r"ჩამბარებ(?:ელი|ლის)[^\n]*\n([\s\S]*?)(?=ტრანსპორტირების|ოპერაციის|სასაქონლო)",
 )
 CITY_TOKENS = (
     "თბილისი",

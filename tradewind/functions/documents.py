@@ -50,13 +50,18 @@ def clean_lines(text: Column) -> Column:
 
 # --- numbers -------------------------------------------------------------
 
-def waybill_number(text: Column) -> Column:
-    """Waybill number by label, else leading digits confirmed by words close by."""
+def waybill_number(
+    text: Column, head_chars: int = V.WAYBILL_LEADING_HEAD, near_chars: int = V.WAYBILL_LEADING_WINDOW
+) -> Column:
+    """Waybill number by label anywhere in the text, else leading digits confirmed by words close by.
+
+    ``head_chars`` and ``near_chars`` say what counts as leading and as close by.
+    """
     labelled = [
         T.blank_to_null(sub(find(text, p), r"\s+", "")) for p in V.WAYBILL_PATTERNS
     ]
-    head = F.substring(sub(text, r"^\s+", ""), 1, V.WAYBILL_LEADING_HEAD)
-    near = F.substring(head, 1, V.WAYBILL_LEADING_WINDOW)
+    head = F.substring(sub(text, r"^\s+", ""), 1, head_chars)
+    near = F.substring(head, 1, near_chars)
     leading = F.when(
         matches(near, V.WAYBILL_LEADING_WORDS), find(head, V.WAYBILL_LEADING_DIGITS)
     )
@@ -75,17 +80,16 @@ def buyer_block(text: Column) -> Column:
     return F.coalesce(*[strip(find(text, p)) for p in V.BUYER_BLOCK_PATTERNS])
 
 
-def header_region(text: Column, limit: int = V.REGION_LIMIT) -> Column:
-    """Text between the buyer word and the item table, both excluded."""
-    return strip(find(text, f"{V.BUYER_WORD}([\\s\\S]{{0,{limit}}}?){V.ITEM_TABLE_CAPTION}"))
+def header_region(text: Column, limit: int | None = None) -> Column:
+    """Text between the buyer word and the item table, both excluded; at most ``limit`` long."""
+    size = "*" if limit is None else f"{{0,{limit}}}"
+    return strip(find(text, f"{V.BUYER_WORD}([\\s\\S]{size}?){V.ITEM_TABLE_CAPTION}"))
 
 
-def buyer_header_preview(text: Column, limit: int = V.REGION_LIMIT) -> Column:
-    """Text from the buyer word up to the item table, cut to the limit."""
-    span = find(
-        text, f"({V.BUYER_WORD}[\\s\\S]{{0,{V.PREVIEW_SCAN_LIMIT}}}?){V.ITEM_TABLE_CAPTION}"
-    )
-    return F.substring(span, 1, limit)
+def buyer_header_preview(text: Column, limit: int | None = None) -> Column:
+    """Text from the buyer word up to the item table, cut to ``limit`` if there is one."""
+    span = find(text, f"({V.BUYER_WORD}[\\s\\S]*?){V.ITEM_TABLE_CAPTION}")
+    return span if limit is None else F.substring(span, 1, limit)
 
 
 # --- buyer name ----------------------------------------------------------

@@ -213,14 +213,12 @@ def address_status(col: Column, fragments: Sequence[str] = V.HQ_STORE_FRAGMENTS)
 def norm_label(
     col: Column,
     replacements: Sequence[tuple[str, str]] = V.LABEL_REPLACEMENTS,
-    passes: int = V.LABEL_SPACE_PASSES,
 ) -> Column:
+    """The label with spellings replaced and every run of blanks as one blank."""
     s = F.trim(F.coalesce(col, F.lit("")))
     for old, new in replacements:
         s = F.replace(s, F.lit(old), F.lit(new))
-    for _ in range(passes):
-        s = F.replace(s, F.lit("  "), F.lit(" "))
-    return s
+    return F.regexp_replace(s, " {2,}", " ")
 
 
 def clean_product_name(col: Column) -> Column:

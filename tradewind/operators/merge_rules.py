@@ -14,8 +14,6 @@ from ..schema import table_schema
 
 Rule = tuple[int, str, str, str | None, str | None]
 
-# Above this many rules the first-match expression would be slower than a join.
-MAX_INLINE_RULES = 500
 GRAM = 3
 
 
@@ -61,7 +59,8 @@ def canonical_by_table(labels: DataFrame, rules: DataFrame, col: str = "norm_lab
     """The same result from a rule table of any size: (label, canonical).
 
     Candidates come from an equi join on the first characters of part 1, so no
-    label meets a rule it has no text in common with.
+    label meets a rule it has no text in common with. A rule with an empty part 1
+    meets every label, as in ``canonical_name``.
     """
     distinct = labels.select(F.col(col)).distinct()
     keyed = rules.withColumn("gram", F.substring("m1", 1, GRAM)).withColumn(
@@ -79,7 +78,8 @@ def canonical_by_table(labels: DataFrame, rules: DataFrame, col: str = "norm_lab
             lambda i: F.array(*[F.substring(F.col(col), i, F.lit(n)) for n in range(1, GRAM + 1)]),
         )
     )
-    candidates = distinct.select(col, F.explode(F.array_distinct(grams)).alias("gram"))
+    every = F.concat(F.array(F.lit("")), F.coalesce(grams, F.array().cast("array<string>")))
+    candidates = distinct.select(col, F.explode(F.array_distinct(every)).alias("gram"))
     label = F.col(col)
 
     def has(part: str) -> Column:
@@ -97,13 +97,13 @@ def canonical_by_table(labels: DataFrame, rules: DataFrame, col: str = "norm_lab
 def tag_labels(
     df: DataFrame, raw: str, rules: Sequence[Rule] | DataFrame = V.MERGE_RULES
 ) -> DataFrame:
-    """Add ``canonical`` to a frame with a raw label column."""
+    """Add ``canonical`` to a frame with a raw label column.
+
+    A list of rules becomes one expression, a rule table a join; the result is the same.
+    """
     normal = df.withColumn("norm_label", norm_label(F.col(raw)))
     if isinstance(rules, DataFrame):
         return normal.join(canonical_by_table(normal, rules), "norm_label", "left").drop("norm_label")
-    if len(rules) > MAX_INLINE_RULES:
-        table = merge_rules_table(df.sparkSession, rules)
-        return tag_labels(df, raw, table)
     return normal.withColumn("canonical", canonical_name(F.col("norm_label"), rules)).drop("norm_label")
 
 

@@ -12,13 +12,11 @@ from .. import fixed_values as V
 from ..functions.documents import waybill_number
 from ..functions.matching import waybill_keys
 from ..functions.money import as_double
-from ..session import written
+from ..session import kept_in
 from .keys import number_rows, order_block
 
 NO_LINE = 999_999
 LINE_BLOCK = 1 << 12
-# A note part takes at least one character and the separator of three.
-MAX_PARTS = V.NOTES_LIMIT // 4 + 1
 
 
 class Stitched(NamedTuple):
@@ -105,11 +103,11 @@ def _quoted(col: Column) -> Column:
     return F.when(col.contains("'") & plain, double).otherwise(single)
 
 
-def merged_notes(invoices: DataFrame, links: DataFrame, limit: int = V.NOTES_LIMIT) -> DataFrame:
+def merged_notes(invoices: DataFrame, links: DataFrame, limit: int | None = None) -> DataFrame:
     """(parent_id, notes) for parents whose appendices have a file name or notes.
 
-    Only as many parts are gathered as fit below the limit, however many
-    appendices a parent has.
+    Without a limit the notes are whole. With one, only as many parts are gathered as fit
+    below it, however many appendices a parent has.
     """
     blank = F.lit("")
     source = F.when(
@@ -119,25 +117,27 @@ def merged_notes(invoices: DataFrame, links: DataFrame, limit: int = V.NOTES_LIM
     note = F.when(F.coalesce("notes", blank) != "", F.concat(F.lit("appendix notes: "), "notes"))
     parts = (
         links.join(invoices.select(F.col("id").alias("appendix_id"), "source_file", "notes"), "appendix_id")
-        .select("parent_id", "appendix_id", F.substring(F.concat_ws(" | ", source, note), 1, limit).alias("part"))
+        .select("parent_id", "appendix_id", F.concat_ws(" | ", source, note).alias("part"))
         .filter(F.col("part") != "")
     )
-    ranked = number_rows(
-        parts, ["parent_id"], order_block("appendix_id"), {"a": order_block("appendix_id", 1 << 10)},
-        ["appendix_id"], "rank",
-    ).filter(F.col("rank") <= MAX_PARTS)
-    before = W.partitionBy("parent_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-    fitting = ranked.withColumn(
-        "start", F.coalesce(F.sum(F.length("part") + 3).over(before), F.lit(0))
-    ).filter(F.col("start") < limit)
-    joined = fitting.groupBy("parent_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "part"))).alias("parts")
+    if limit is not None:
+        # A part takes at least one character and the separator of three: later ones can't fit.
+        ranked = number_rows(
+            parts, ["parent_id"], order_block("appendix_id"), {"a": order_block("appendix_id", 1 << 10)},
+            ["appendix_id"], "rank",
+        ).filter(F.col("rank") <= limit // 4 + 1)
+        before = W.partitionBy("parent_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+        parts = ranked.withColumn(
+            "start", F.coalesce(F.sum(F.length("part") + 3).over(before), F.lit(0))
+        ).filter(F.col("start") < limit)
+    joined = parts.groupBy("parent_id").agg(
+        F.sort_array(F.collect_list(F.struct("appendix_id", "part"))).alias("parts")
     )
     own = invoices.select(F.col("id").alias("parent_id"), F.nullif("notes", blank).alias("own"))
     extra = F.array_join(F.transform("parts", lambda p: p["part"]), " | ")
-    return joined.join(own, "parent_id").select(
-        "parent_id", F.substring(F.concat_ws(" | ", "own", extra), 1, limit).alias("notes")
-    )
+    notes = F.concat_ws(" | ", "own", extra)
+    cut = notes if limit is None else F.substring(notes, 1, limit)
+    return joined.join(own, "parent_id").select("parent_id", cut.alias("notes"))
 
 
 def recompute_totals(invoices: DataFrame, items: DataFrame, touched: DataFrame | None = None) -> DataFrame:
@@ -173,19 +173,26 @@ def store_invoice_counts(stores: DataFrame, invoices: DataFrame) -> DataFrame:
 
 
 def stitch_appendices(
-    stores: DataFrame, invoices: DataFrame, items: DataFrame, placeholder: str = V.UNKNOWN_BUYER
+    stores: DataFrame,
+    invoices: DataFrame,
+    items: DataFrame,
+    placeholder: str = V.UNKNOWN_BUYER,
+    notes_limit: int | None = None,
+    work: str | None = None,
 ) -> Stitched:
-    """Merge appendices of the placeholder store into their parent invoices."""
+    """Merge appendices of the placeholder store into their parent invoices.
+
+    Every part reads the links; with a ``work`` folder they are written there first.
+    """
     is_placeholder = F.trim("name") == placeholder
     unknown = stores.filter(is_placeholder).select(F.col("id").alias("store_id"))
     real = stores.filter(~is_placeholder).select(F.col("id").alias("store_id"))
     appendices = invoices.join(unknown, "store_id", "left_semi")
     known = invoices.join(real, "store_id", "left_semi")
-    # Two ids per appendix, read by every step below.
-    links = written(find_parents(appendices, known), "appendix-links")
+    links = kept_in(work, "appendix-links", find_parents(appendices, known))
 
     new_items = move_items(items, links)
-    notes = merged_notes(invoices, links).withColumnRenamed("parent_id", "id")
+    notes = merged_notes(invoices, links, notes_limit).withColumnRenamed("parent_id", "id")
     kept = invoices.join(links.select(F.col("appendix_id").alias("id")), "id", "left_anti")
     noted = (
         kept.join(notes.withColumnRenamed("notes", "_notes"), "id", "left")

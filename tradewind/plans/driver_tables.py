@@ -13,7 +13,6 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
 from ..sources.tables import Star
 
 START, END = date(1996, 1, 1), date(1998, 12, 31)
@@ -82,9 +81,10 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
 
 
 def order_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(invoices, lines) for order planning."""
-    s = star(spark, sf_dir)
-    return s.invoices.withColumnRenamed("parent_invoice_is_return", "is_return"), s.lines
+    """(invoices, lines) for order planning: half of the lines have no product id, some a description."""
+    invoices = star(spark, sf_dir).invoices.withColumnRenamed("parent_invoice_is_return", "is_return")
+    lines = raw_items(spark, sf_dir).select("invoice_id", "product_id", "description", "quantity", "line_total")
+    return invoices, lines
 
 
 # --- raw tables ----------------------------------------------------------
@@ -137,7 +137,7 @@ def raw_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(returned & (style >= "5"), F.concat(F.lit("ტიპი: კორექტირება "), key)).otherwise(
         F.concat(F.lit("ტიპი: მიწოდება "), key)
     )
-    return spread(table(spark, sf_dir, "orders")).select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         number.alias("invoice_number"),
         F.col("o_custkey").alias("store_id"),
@@ -251,7 +251,8 @@ def waybill_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("სასაქონლო ზედნადების ცხრილი"),
         items,
     )
-    return spread(table(spark, sf_dir, "documents")).select(
+    # Extraction costs far more than the shuffle that deals the documents to all cores.
+    return table(spark, sf_dir, "documents").repartition("doc_id").select(
         "doc_id", F.concat(F.lit("/in/invoice_"), F.col("doc_id"), F.lit(".pdf")).alias("file"), text.alias("text")
     )
 
@@ -279,7 +280,7 @@ def stitch_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         .otherwise(waybill)
     )
     raw = F.when(appendix & (style >= "3") & (style < "5"), F.concat(waybill, F.lit(" სასაქონლო ზედნადების დანართი")))
-    invoices = spread(table(spark, sf_dir, "orders")).select(
+    invoices = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         number.alias("invoice_number"),
         F.when(appendix, unknown_id).otherwise(F.col("o_custkey")).alias("store_id"),

@@ -24,14 +24,17 @@ def order_history(
     """Sold quantities per store, product and visit day of the last ``days`` days.
 
     ``invoices`` carry ``is_return`` (the phrase rule of ``not_return_by_phrases``).
-    Quantities are summed per store, product and day, which is all the planning needs.
+    Quantities are summed per store, product and day, which is all the planning needs;
+    lines without a product id are told apart by their ``description``, where there is one.
     """
     recent = filter_by_date_range(invoices, "effective_date", as_of - timedelta(days=days), date.max - timedelta(days=1))
     sold = scope_filter(recent.filter(~F.col("is_return")), allowed)
+    text = F.col("description") if "description" in lines.columns else F.lit(None).cast("string")
     return (
         lines.filter(F.col("quantity") > 0)
+        .withColumn("description", F.when(F.col("product_id").isNull(), text))
         .join(sold.select("invoice_id", "store_id", "effective_date"), "invoice_id")
-        .groupBy("store_id", "product_id", F.to_date("effective_date").alias("visit_date"))
+        .groupBy("store_id", "product_id", "description", F.to_date("effective_date").alias("visit_date"))
         .agg(
             exact_sum(F.col("quantity")).alias("quantity"),
             exact_sum(F.col("line_total")).alias("line_total"),
@@ -70,10 +73,13 @@ def _base_confidence(n_visits: Column) -> Column:
 
 
 def product_recommendations(history: DataFrame, products: DataFrame) -> DataFrame:
-    """Recommended quantity and confidence per store and product name."""
+    """Recommended quantity and confidence per store and product name, largest quantity first.
+
+    The name is the product's, else the description of the line.
+    """
     named = history.join(products.select("product_id", "product_name"), "product_id", "left")
     per_day = (
-        named.withColumn("product", F.coalesce("product_name", F.lit("")))
+        named.withColumn("product", F.coalesce("product_name", "description", F.lit("")))
         .filter(F.length("product") >= 2)
         .groupBy("store_id", "product", "visit_date")
         .agg(F.sum("quantity").alias("quantity"))
@@ -105,7 +111,7 @@ def product_recommendations(history: DataFrame, products: DataFrame) -> DataFram
         text.shelf_life(F.col("product")).alias("shelf_life_days"),
         "n_visits",
         "visit_freq_days",
-    )
+    ).orderBy("store_id", F.desc("recommended_qty"), "product")
 
 
 def order_plan(history: DataFrame, products: DataFrame, stores: DataFrame, as_of: date) -> DataFrame:

@@ -15,15 +15,19 @@ from ..operators.scope import in_period
 from ..sources.tables import Star
 from .reports import kpi_bundle, returns_vs_sales_by_store, revenue_by_store, store_facts
 
+#: What the sample columns show; counts are always whole.
 SAMPLE_ADDRESSES = 15
 SAMPLE_TEXT = 900
+SAMPLE_ADDRESS_TEXT = 800
 
 
 def _row(df: DataFrame, check: str, n: Column, sample: Column) -> DataFrame:
     return df.select(F.lit(check).alias("check"), n.cast("long").alias("n"), sample.alias("sample"))
 
 
-def data_warnings(star: Star, start: date, end: date) -> DataFrame:
+def data_warnings(
+    star: Star, start: date, end: date, sample_text: int = SAMPLE_TEXT, sample_addresses: int = SAMPLE_ADDRESSES
+) -> DataFrame:
     """One row per check: (check, n, sample); n = 0 when there is nothing to report."""
     totals = store_facts(star, start, end).agg(
         as_double(F.coalesce(F.sum("sales"), F.lit(0).cast("decimal(28,4)"))).alias("sales"),
@@ -38,11 +42,11 @@ def data_warnings(star: Star, start: date, end: date) -> DataFrame:
     pair = F.concat_ws(" / ", sales.cast("string"), refunds.cast("string"))
     out = _row(totals, "sales_equal_returns", equal.cast("int"), F.when(equal, pair))
 
-    if "raw_text_snippet" in star.invoices.columns:
+    if "raw_text" in star.invoices.columns:
         inv = in_period(star.invoices, start, end).filter(
             ~F.coalesce("parent_invoice_is_return", F.lit(False))
         )
-        raw = F.coalesce("raw_text_snippet", F.lit(""))
+        raw = F.coalesce("raw_text", F.lit(""))
         no_returns = totals.select((refunds <= 1e-9).alias("x")).scalar()
         credit = inv.filter(raw.contains(V.CREDIT_WORD)).agg(
             F.count(F.lit(1)).alias("n"), F.min("invoice_id").alias("first")
@@ -63,7 +67,7 @@ def data_warnings(star: Star, start: date, end: date) -> DataFrame:
         )
         shown = F.concat(
             F.lit("invoice_id="), F.col("s.invoice_id").cast("string"), F.lit(" "),
-            F.substring("s.t", 1, SAMPLE_TEXT),
+            F.substring("s.t", 1, sample_text),
         )
         out = out.unionByName(
             _row(
@@ -74,11 +78,13 @@ def data_warnings(star: Star, start: date, end: date) -> DataFrame:
             )
         )
     if "store_address" in star.stores.columns:
-        out = out.unionByName(addresses_without_code(star.stores))
+        out = out.unionByName(addresses_without_code(star.stores, sample_addresses))
     return out
 
 
-def addresses_without_code(stores: DataFrame, n: int = SAMPLE_ADDRESSES) -> DataFrame:
+def addresses_without_code(
+    stores: DataFrame, n: int = SAMPLE_ADDRESSES, shown: int = SAMPLE_ADDRESS_TEXT
+) -> DataFrame:
     """Distinct addresses without a branch code: their number and the first n."""
     addr = text.normalize_address(F.col("store_address"))
     bad = (
@@ -87,7 +93,7 @@ def addresses_without_code(stores: DataFrame, n: int = SAMPLE_ADDRESSES) -> Data
         .distinct()
         .filter(text.branch_code(F.col("addr")).isNull())
     )
-    first = bad.select(F.substring("addr", 1, 800).alias("addr")).orderBy("addr").limit(n)
+    first = bad.select(F.substring("addr", 1, shown).alias("addr")).orderBy("addr").limit(n)
     sample = first.agg(F.array_join(F.sort_array(F.collect_list("addr")), " | ")).scalar()
     counted = bad.agg(F.count(F.lit(1)).alias("n"))
     return _row(counted, "address_without_code", F.col("n"), F.nullif(sample, F.lit("")))

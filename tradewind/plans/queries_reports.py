@@ -279,14 +279,14 @@ def _history(spark, sf):
     return P.order_history(invoices, lines, AS_OF, HISTORY_DAYS)
 
 
-_PLAN = f"WITH {S.INV}, {S.LINES}, {S.HISTORY}, {S.FREQ}"
+_PLAN = f"WITH {S.INV}, {S.HISTORY}, {S.FREQ}"
 
 
 @query(
     "order_history",
-    f"""WITH {S.INV}, {S.LINES} SELECT store_id, product_id, CAST(effective_date AS DATE) AS visit_date,
+    f"""WITH {S.INV}, {S.SOLD} SELECT store_id, product_id, description, CAST(effective_date AS DATE) AS visit_date,
       CAST({S.dec('quantity')} AS DOUBLE) AS quantity, CAST({S.dec('line_total')} AS DOUBLE) AS line_total, count(*) AS n_lines
-    FROM lines JOIN inv USING (invoice_id) WHERE quantity > 0 AND NOT is_return
+    FROM sold JOIN inv USING (invoice_id) WHERE quantity > 0 AND NOT is_return
       AND effective_date >= DATE '{AS_OF}' - INTERVAL {HISTORY_DAYS} DAY GROUP BY ALL""",
 )
 def _(spark, sf):

@@ -79,9 +79,14 @@ METRICS = f"""metrics AS (
   SELECT store_name, sales_gel, returns_gel,
          {arr_round('CASE WHEN sales_gel > 1e-9 THEN returns_gel / sales_gel * 100 END', 2)} AS return_rate_pct
   FROM sr)"""
-HISTORY = f"""hist AS (
-  SELECT store_id, CAST(effective_date AS DATE) AS visit_date, p_name AS product, quantity
-  FROM lines JOIN inv USING (invoice_id) JOIN part ON p_partkey = product_id
+SOLD = """sold AS (
+  SELECT l_orderkey AS invoice_id, CASE WHEN l_linestatus = 'O' THEN l_partkey END AS product_id,
+         CASE WHEN l_linestatus <> 'O' AND l_returnflag <> 'N' THEN 'item ' || l_suppkey END AS description,
+         l_quantity AS quantity, l_extendedprice AS line_total
+  FROM lineitem)"""
+HISTORY = f"""{SOLD}, hist AS (
+  SELECT store_id, CAST(effective_date AS DATE) AS visit_date, coalesce(p_name, description, '') AS product, quantity
+  FROM sold JOIN inv USING (invoice_id) LEFT JOIN part ON p_partkey = product_id
   WHERE quantity > 0 AND NOT is_return
     AND effective_date >= DATE '{AS_OF}' - INTERVAL {HISTORY_DAYS} DAY)"""
 FREQ = f"""visits AS (SELECT DISTINCT store_id, visit_date FROM hist),

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,38 +31,23 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
-def spread(df: DataFrame, bytes_per_core: int = 128 << 20) -> DataFrame:
-    """Spread a small scan over all cores before per-row work that costs CPU.
-
-    A file of one row group is read by one task however many cores there are. Inputs
-    of more than ``bytes_per_core`` per core already fill the cores and stay put.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size <= cores * bytes_per_core else df
-
-
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tradewind-")
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's ``spark.checkpoint.dir``.
+    """A fresh folder that every executor reaches.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Below ``spark.checkpoint.dir``; where that is not set, below the warehouse, which a
+    cluster shares as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = _local_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends at the files."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
+def kept_in(folder: str | None, name: str, df: DataFrame) -> DataFrame:
+    """The frame written below ``folder`` and read back, so that its lineage ends there.
+
+    Without a folder the frame is planned as it is and no job runs.
+    """
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -27,7 +27,7 @@ class Star(NamedTuple):
     """Facts and dimensions kept apart, so reports join names after aggregating.
 
     invoices: invoice_id, store_id, effective_date, revenue_gel,
-        parent_invoice_is_return (created_at_raw, raw_text_snippet optional)
+        parent_invoice_is_return (created_at_raw, raw_text optional)
     lines: invoice_id, product_id, quantity, unit_price, line_total (description optional)
     stores: store_id, store_display_name
     products: product_id, product_name
@@ -96,11 +96,7 @@ def _invoice_facts(invoices: DataFrame) -> DataFrame:
         *optional_columns(invoices, ("invoice_number", "source_file", "notes")),
     ]
     if "raw_text" in have:
-        cols.append(
-            F.substring(F.coalesce("raw_text", F.lit("")), 1, V.RAW_TEXT_SNIPPET).alias(
-                "raw_text_snippet"
-            )
-        )
+        cols.append(F.coalesce("raw_text", F.lit("")).alias("raw_text"))
     base = invoices.select(*cols, *optional_columns(invoices, INVOICE_OPTIONAL))
 
     def known(name: str) -> Column | None:
@@ -111,14 +107,17 @@ def _invoice_facts(invoices: DataFrame) -> DataFrame:
             "effective_date": dates.effective_date(F.col("invoice_date_raw"), F.col("created_at_raw")),
             "revenue_gel": money.revenue_gel(F.col("invoice_total"), F.col("invoice_subtotal")),
             "parent_invoice_is_return": returns.is_return_document(
-                known("invoice_number"), known("notes"), known("raw_text_snippet")
+                known("invoice_number"), known("notes"), known("raw_text")
             ),
         }
     )
 
 
 def load_invoices(invoices: DataFrame, stores: DataFrame) -> DataFrame:
-    """Invoices with parsed date, revenue, return flag and store names."""
+    """Invoices with parsed date, revenue, return flag and store names.
+
+    The flag reads the whole raw text; the text itself is dropped unless a query selects it.
+    """
     joined = _invoice_facts(invoices).join(enrich_stores(stores), "store_id", "left")
     out = _with_unknown_store(joined)
     return out.withColumn("store_name", F.col("store_display_name")).withColumn(
