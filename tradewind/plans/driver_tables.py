@@ -199,6 +199,45 @@ def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def waybill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An XML text per order, in three layouts; some lines have a quantity that is no number."""
+    known = F.col("l_partkey") % 97 != 0
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("place"),
+        F.concat(
+            F.lit("<name>part "), "l_partkey", F.lit(" &amp; co</name><quantity>"),
+            F.when(known, F.col("l_quantity").cast("long").cast("string")).otherwise(F.lit("many")),
+            F.lit("</quantity><price>"), F.format_string("%.2f", "l_extendedprice"), F.lit("</price>"),
+        ).alias("fields"),
+    )
+    joined = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    grouped = joined.groupBy("o_orderkey", "o_custkey", "o_orderdate").agg(
+        F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "fields")))).alias("products")
+    )
+    layout, key = F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string")
+
+    def elements(tag: str, start: int = 1, size: Column | None = None) -> Column:
+        part = F.slice("products", start, F.size("products") if size is None else size)
+        each = F.transform(part, lambda p: F.concat(F.lit(f"<{tag}>"), p.fields, F.lit(f"</{tag}>")))
+        return F.array_join(each, "")
+
+    head = F.concat(F.lit("<buyer_name>buyer "), "o_custkey", F.lit("</buyer_name><date>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</date>"))
+    text = (
+        F.when(
+            layout == 0,
+            F.concat(
+                F.lit("<s:Waybill xmlns:s='u'><s:WaybillNumber>"), key, F.lit("</s:WaybillNumber>"), head,
+                F.lit("<Products>"), elements("Product", 1, F.lit(1)), F.lit("</Products><Products/><More><Products>"),
+                elements("Product", 2), F.lit("</Products></More></s:Waybill>"),
+            ),
+        )
+        .when(layout == 1, F.concat(F.lit("<invoice><invoice_id>"), key, F.lit("</invoice_id>"), head, F.lit("<products>"), elements("product"), F.lit("</products></invoice>")))
+        .otherwise(F.concat(F.lit("<Invoice>"), head, elements("Product"), F.lit("<InvoiceId>"), key, F.lit("</InvoiceId></Invoice>")))
+    )
+    return grouped.select(F.concat(F.lit("<r>"), text, F.lit("</r>")).alias("value"))
+
+
 # --- documents -----------------------------------------------------------
 
 def waybill_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

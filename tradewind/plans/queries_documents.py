@@ -32,10 +32,18 @@ def _(spark, sf):
 
 @query(
     "document_dates",
-    """SELECT doc_id, nullif(regexp_extract(text, '\\b(\\d{1,2}[\\/\\.\\-]\\d{1,2}[\\/\\.\\-]\\d{2,4})\\b', 1), '') AS invoice_date FROM documents""",
+    """SELECT doc_id, CASE lang WHEN 'en' THEN (n_chars % 28 + 1) || '.' || (doc_id % 12 + 1) || '.2026'
+      WHEN 'de' THEN printf('2025-%02d-%02d', doc_id % 12 + 1, n_chars % 28 + 1)
+      ELSE nullif(regexp_extract(text, '\\b(\\d{1,2}[\\/\\.\\-]\\d{1,2}[\\/\\.\\-]\\d{2,4})\\b', 1), '') END AS invoice_date FROM documents""",
 )
 def _(spark, sf):
-    return O.extract_header_fields(table(spark, sf, "documents")).select("doc_id", "invoice_date")
+    """Dates under their label, in ISO form, or anywhere: the label wins, then the ISO form."""
+    day, month = F.col("n_chars") % 28 + 1, F.col("doc_id") % 12 + 1
+    iso = F.format_string("2025-%02d-%02d", month, day)
+    labelled = F.concat(iso, F.lit(" თარიღი (დღე): "), day, F.lit("."), month, F.lit(".2026"))
+    dated = F.when(F.col("lang") == "en", labelled).when(F.col("lang") == "de", F.concat(F.lit("1/2/03 "), iso))
+    texts = table(spark, sf, "documents").withColumn("text", F.concat_ws("\n", dated, "text"))
+    return O.extract_header_fields(texts).select("doc_id", "invoice_date")
 
 
 @query(

@@ -10,6 +10,7 @@ from ..operators import stitching as ST
 from ..operators.documents import extract_documents
 from ..session import shared_folder
 from ..sources.usage_log import usage_by_user_model, usage_costs
+from ..sources.waybills import bad_lines, good_lines, parse_waybills, stream_waybill_xml
 from ..streaming import waybill_stream as WS
 from . import sql as S
 from .catalog import query
@@ -24,6 +25,7 @@ from .driver_tables import (
     table,
     waybill_documents,
     waybill_lines,
+    waybill_texts,
 )
 
 # --- waybills ------------------------------------------------------------
@@ -79,6 +81,49 @@ def _(spark, sf):
     return WS.current_waybills(WS.read_log(spark, f"{folder}/log")).drop("batch_id")
 
 
+_XML = """x AS (SELECT o_orderkey, o_custkey, o_orderdate, l_partkey, l_quantity, l_extendedprice, l_orderkey IS NOT NULL AS has,
+    row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS line_no
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey),
+w AS (SELECT CAST(o_orderkey AS VARCHAR) AS invoice_id, strftime(o_orderdate, '%Y-%m-%d') AS date, '' AS seller_name, '' AS seller_address,
+    'buyer ' || o_custkey AS buyer_name, '' AS buyer_address, '' AS buyer_barcode,
+    CASE WHEN has THEN 'part ' || l_partkey || ' & co' ELSE '' END AS product_name,
+    CASE WHEN has THEN floor(l_quantity) ELSE 0 END AS quantity,
+    CASE WHEN has THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) ELSE 0 END AS price,
+    CAST(line_no AS INTEGER) AS line_no, has AND l_partkey % 97 = 0 AS bad FROM x)"""
+
+
+@query(
+    "read_waybill_xml",
+    f"""WITH {_XML} SELECT w.* EXCLUDE (bad), {S.exact_round('(quantity * price)', 2)} AS line_total FROM w WHERE NOT bad""",
+)
+def _(spark, sf):
+    return good_lines(parse_waybills(waybill_texts(spark, sf)))
+
+
+@query(
+    "waybill_xml_errors",
+    f"WITH {_XML} SELECT invoice_id, product_name, line_no, 'many' AS bad_number FROM w WHERE bad",
+)
+def _(spark, sf):
+    return bad_lines(parse_waybills(waybill_texts(spark, sf)))
+
+
+@query(
+    "waybill_xml_stream",
+    f"""WITH {_XML}, g AS (SELECT w.* EXCLUDE (bad), {S.exact_round('(quantity * price)', 2)} AS line_total,
+      row_number() OVER (PARTITION BY invoice_id, product_name ORDER BY line_no DESC) AS rn FROM w WHERE NOT bad)
+    SELECT * EXCLUDE (rn) FROM g WHERE rn = 1""",
+)
+def _(spark, sf):
+    """The same waybills as files of all layouts, loaded by the stream, compacted, and read back."""
+    folder = shared_folder(spark, "waybill-xml-stream")
+    waybill_texts(spark, sf).write.text(f"{folder}/in")
+    source = stream_waybill_xml(spark, f"{folder}/in")
+    WS.waybill_stream(source, f"{folder}/log", f"{folder}/runs", f"{folder}/checkpoint").awaitTermination()
+    WS.compact_log(spark, f"{folder}/log")
+    return WS.current_waybills(WS.read_log(spark, f"{folder}/log")).drop("batch_id", "synced_at")
+
+
 @query(
     "sync_run_counts",
     """SELECT event_type AS run, count(*) AS rows_written, count(DISTINCT user_id) AS waybills_count

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.scope import exclude_unknown_store, scope_filter, store_focus, store_search
-from ..sources.tables import load_star
+from ..sources.tables import load_invoices, load_line_items, load_star
 from . import planning as P
 from . import reports as R
 from . import sql as S
@@ -248,18 +248,22 @@ def _(spark, sf):
 
 @query(
     "return_candidates",
-    """WITH top AS (SELECT o_orderkey AS id, o_totalprice, o_orderstatus, o_orderpriority, o_custkey FROM orders
-      ORDER BY CASE WHEN o_orderstatus <> 'O' THEN o_totalprice END DESC NULLS LAST, o_orderkey LIMIT 20)
-    SELECT id, CASE WHEN o_orderstatus = 'P' AND o_orderpriority < '3' THEN 'CR-' ELSE 'CRATE-' END || id AS invoice_number,
-      CASE WHEN o_orderstatus = 'P' AND o_orderpriority >= '3' AND o_orderpriority < '5' THEN 'time=10:00:00 | უკან  დაბრუნება'
-           WHEN o_orderstatus = 'F' THEN NULL ELSE 'Creditors' END AS notes,
+    """WITH top AS (SELECT o_orderkey AS id, o_totalprice, o_orderpriority, o_custkey FROM orders
+      WHERE o_orderstatus = 'P' AND o_orderpriority < '5' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20)
+    SELECT id, CASE WHEN o_orderpriority < '3' THEN 'CR-' ELSE 'BOX-' END || id AS invoice_number,
+      CASE WHEN o_orderpriority >= '3' THEN 'time=10:00:00 | უკან დაბრუნება' ELSE 'Creditors' END AS notes,
       o_totalprice AS total,
       CASE c_mktsegment WHEN 'FURNITURE' THEN c_name ELSE replace(c_name, '#', ' ') END AS store_name, (SELECT count(*) FROM lineitem WHERE l_orderkey = id) AS items
     FROM top JOIN customer ON c_custkey = o_custkey""",
 )
 def _(spark, sf):
-    # Every number of these tables contains "CR", as the loose rule wants.
-    return R.return_candidates(raw_invoices(spark, sf), raw_items(spark, sf), raw_stores(spark, sf))
+    invoices = raw_invoices(spark, sf).withColumns(
+        {
+            "invoice_number": F.regexp_replace("invoice_number", "^CRATE", "BOX"),
+            "notes": F.regexp_replace("notes", " {2,}", " "),
+        }
+    )
+    return R.return_candidates(invoices, raw_items(spark, sf), raw_stores(spark, sf))
 
 
 @query(
@@ -435,6 +439,81 @@ def _(spark, sf):
     return data_warnings(loaded, *PERIOD)
 
 
+@query(
+    "data_warnings_without_returns",
+    f"""WITH a AS (SELECT DISTINCT 'ბათუმი, ქუჩა ' || c_nationkey AS addr FROM customer WHERE c_mktsegment = 'MACHINERY'
+      UNION SELECT 'თბილისი, თ.ერისთავის_1' FROM customer WHERE c_mktsegment = 'FURNITURE'),
+    top AS (SELECT addr FROM a ORDER BY addr LIMIT 15),
+    t AS (SELECT o_orderkey AS id, 'ტიპი: ' || CASE WHEN o_orderstatus = 'P' AND o_orderpriority >= '5' THEN 'კორექტირება ' ELSE 'მიწოდება ' END
+        || o_orderkey || repeat(' ', 6000) || CASE WHEN o_orderkey % 5 = 0 THEN 'საკრედიტო' ELSE '' END AS text
+      FROM orders WHERE o_orderdate >= DATE '{START}' AND o_orderdate < DATE '{END}' + INTERVAL 1 DAY)
+    SELECT 'sales_equal_returns' AS "check", 0::BIGINT AS n, NULL::VARCHAR AS sample
+    UNION ALL SELECT 'credit_text_without_returns', count(*), 'invoice_id=' || min(id) FROM t WHERE id % 5 = 0
+    UNION ALL SELECT 'no_returns_sample', 1, (SELECT 'invoice_id=' || id || ' ' || left(text, 900) FROM t ORDER BY id LIMIT 1)
+    UNION ALL SELECT 'address_without_code', (SELECT count(*) FROM a), (SELECT string_agg(addr, ' | ' ORDER BY addr) FROM top)""",
+)
+def _(spark, sf):
+    """No invoice counts as a return although texts name credits, far behind their beginning."""
+    loaded = load_star(raw_invoices(spark, sf), raw_items(spark, sf), raw_stores(spark, sf), raw_products(spark, sf))
+    credit = F.when(F.col("invoice_id") % 5 == 0, F.lit("საკრედიტო")).otherwise(F.lit(""))
+    invoices = loaded.invoices.withColumns(
+        {
+            "parent_invoice_is_return": F.lit(False),
+            "raw_text": F.concat("raw_text", F.lit(" " * 6000), credit),
+        }
+    )
+    return data_warnings(loaded._replace(invoices=invoices), *PERIOD)
+
+
+@query(
+    "returns_in_long_texts",
+    """SELECT doc_id AS invoice_id, n_chars AS revenue_gel, lang = 'es' AS parent_invoice_is_return FROM documents""",
+)
+def _(spark, sf):
+    """Documents as invoices whose return phrase stands thousands of characters behind the text."""
+    phrase = F.when(F.col("lang") == "es", F.lit("უკან  დაბრუნება")).otherwise(F.lit("მიწოდება"))
+    invoices = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.lit(1).cast("long").alias("store_id"),
+        F.lit("2026-01-01").alias("invoice_date"),
+        F.lit(None).cast("double").alias("subtotal"),
+        F.col("n_chars").cast("double").alias("total"),
+        F.lit("2026-01-01").alias("created_at"),
+        F.concat(F.lit("N-"), F.col("doc_id")).alias("invoice_number"),
+        F.lit(None).cast("string").alias("notes"),
+        F.concat("text", F.lit(" ." * 3000), phrase).alias("raw_text"),
+    )
+    loaded = load_star(invoices, raw_items(spark, sf), raw_stores(spark, sf), raw_products(spark, sf))
+    return loaded.invoices.select("invoice_id", "revenue_gel", "parent_invoice_is_return")
+
+
+@query(
+    "optional_columns",
+    """SELECT l_orderkey AS invoice_id, CASE WHEN l_linestatus = 'O' THEN p_name WHEN l_returnflag <> 'N' THEN 'item ' || l_suppkey ELSE '' END AS product_label,
+      l_returnflag = 'R' AS is_return, o_orderstatus AS kind
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey""",
+)
+def _(spark, sf):
+    """Tables with columns that only some versions have: they are carried through."""
+    kinds = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("kind"))
+    invoices = raw_invoices(spark, sf).join(kinds, "id")
+    flags = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("invoice_id"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_partkey")).alias("product_id"),
+        F.when(F.col("l_returnflag") != "N", F.concat(F.lit("item "), F.col("l_suppkey"))).alias("description"),
+        F.monotonically_increasing_id().alias("id"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_extendedprice").alias("unit_price"),
+        F.col("l_extendedprice").alias("line_total"),
+        (F.col("l_returnflag") == "R").alias("is_return"),
+    )
+    lines = load_line_items(flags, raw_products(spark, sf), invoices)
+    loaded = load_invoices(invoices, raw_stores(spark, sf))
+    return lines.join(loaded.select("invoice_id", "kind"), "invoice_id").select(
+        "invoice_id", "product_label", "is_return", "kind"
+    )
+
+
 @query(
     "parity_check",
     f"""{S.BASE}, {S.SALES_RETURNS}, {_KPI_SQL},
@@ -449,10 +528,13 @@ def _(spark, sf):
       UNION ALL SELECT 'returns_pct', {S.exact_round('(a_ret / a_rev * 100)', 2)}, 0 FROM rep
       UNION ALL SELECT 'n_stores', a_n, b_n FROM rep
       UNION ALL SELECT 'revenue_by_store_sum', {S.exact_round('a_rev', 2)}, {S.exact_round('b_rev', 2)} FROM rep
-      UNION ALL SELECT 'returns_vs_sales_returns', (SELECT CAST({S.dec('returns_gel')} AS DOUBLE) FROM sr), 0)
+      UNION ALL SELECT 'returns_vs_sales_returns', (SELECT CAST({S.dec('returns_gel')} AS DOUBLE) FROM sr), 0
+      UNION ALL SELECT 'invoices_column:kind', 0, 1 UNION ALL SELECT 'lines_column:note', 1, 0)
     WHERE abs("left" - "right") > CASE WHEN metric IN ('invoice_rows', 'n_stores') THEN 0 ELSE 0.01 END""",
 )
 def _(spark, sf):
     full = star(spark, sf)
-    partial = full._replace(invoices=full.invoices.filter(~F.col("parent_invoice_is_return")))
-    return parity_check(full, partial, *PERIOD)
+    kept = full.invoices.filter(~F.col("parent_invoice_is_return")).withColumn("kind", F.lit("x"))
+    partial = full._replace(invoices=kept)
+    noted = full._replace(lines=full.lines.withColumn("note", F.lit("x")))
+    return parity_check(noted, partial, *PERIOD)

@@ -116,13 +116,17 @@ def _(spark, sf):
 
 @query(
     "exclude_returns",
-    """SELECT o_orderkey AS id FROM orders""",
+    """SELECT o_orderkey AS id FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority >= '3' AND o_orderpriority < '5')
+      AND NOT (o_orderstatus = 'F' AND o_orderkey % 7 = 0)""",
 )
 def _(spark, sf):
-    # Two spaces in the note: the phrase rule of the order history does not fold them.
-    return raw_invoices(spark, sf).filter(
-        not_return_by_phrases(F.col("notes"), F.col("invoice_number"))
-    ).select("id")
+    # One blank in the note: the phrase rule of the order history does not fold them.
+    invoices = raw_invoices(spark, sf)
+    number = F.when(F.col("total").isNotNull() & F.col("notes").isNull() & (F.col("id") % 7 == 0), F.lit("Credit 1"))
+    shown = invoices.withColumn("notes", F.regexp_replace("notes", " {2,}", " ")).withColumn(
+        "invoice_number", F.coalesce(number, "invoice_number")
+    )
+    return shown.filter(not_return_by_phrases(F.col("notes"), F.col("invoice_number"))).select("id")
 
 
 @query(
@@ -305,29 +309,35 @@ _CHARS = """chars(name, ch, n) AS (
   SELECT name, ch, count(*) FROM (SELECT name, unnest(string_split(lower(name), '')) AS ch FROM names) GROUP BY ALL)"""
 
 
+_SCANNED = """CASE p_type WHEN 'PROMO' THEN p_name || ' ' || p_brand || ' LTD'
+        WHEN 'SMALL' THEN regexp_replace('Ltd ' || p_brand || ' ' || p_name, '[aeo]', '', 'g')
+        WHEN 'MEDIUM' THEN 'Lted ' || p_brand || ' ' || p_name
+        WHEN 'ECONOMY' THEN replace('Ltd ' || p_brand || ' ' || p_name, 'n', 'nn')
+        ELSE 'Ltd ' || p_brand || ' ' || p_name END"""
+
+
 @query(
     "name_similarity",
-    """WITH n AS (SELECT s_suppkey AS id, lower(s_name) AS a, lower(c_name) AS b
-      FROM supplier JOIN customer ON c_custkey = s_suppkey),
+    f"""WITH n AS (SELECT p_partkey AS id, lower('Ltd ' || p_brand || ' ' || p_name) AS a, lower({_SCANNED}) AS b FROM part),
     ca AS (SELECT id, ch, count(*) AS k FROM (SELECT id, unnest(string_split(a, '')) AS ch FROM n) GROUP BY ALL),
     cb AS (SELECT id, ch, count(*) AS k FROM (SELECT id, unnest(string_split(b, '')) AS ch FROM n) GROUP BY ALL),
     m AS (SELECT id, sum(least(ca.k, cb.k)) AS shared FROM ca JOIN cb USING (id, ch) GROUP BY id)
     SELECT id, round(2.0::DOUBLE * shared / (length(a) + length(b)), 9) AS ratio,
-      CAST(a = b AS DOUBLE) AS jaccard FROM n JOIN m USING (id)""",
+      len(list_intersect(string_split(a, ' '), string_split(b, ' ')))::DOUBLE
+        / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) AS jaccard FROM n JOIN m USING (id)""",
 )
 def _(spark, sf):
-    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
-    pairs = s.join(c, F.col("s_suppkey") == F.col("c_custkey"))
-    a, b = F.col("s_name"), F.col("c_name")
-    return pairs.select(
-        F.col("s_suppkey").alias("id"),
-        F.round(char_ratio(a, b), 9).alias("ratio"),
-        token_jaccard(a, b).alias("jaccard"),
+    """Every part's name against its scan."""
+    full, scanned = _full_and_scanned()
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.round(char_ratio(full, scanned), 9).alias("ratio"),
+        token_jaccard(full, scanned).alias("jaccard"),
     )
 
 
-def _scanned_names(spark, sf):
-    """Part names as scans give them: doubled letters, a lost letter, words turned round."""
+def _full_and_scanned():
+    """A part's full name, and as scans give it: doubled letters, a lost letter, words turned round."""
     name, brand = F.col("p_name"), F.col("p_brand")
     full = F.concat(F.lit("Ltd "), brand, F.lit(" "), name)
     scanned = (
@@ -337,18 +347,18 @@ def _scanned_names(spark, sf):
         .when(F.col("p_type") == "ECONOMY", F.regexp_replace(full, "n", "nn"))
         .otherwise(full)
     )
-    return table(spark, sf, "part").select(scanned.alias("name"))
+    return full, scanned
+
+
+def _scanned_names(spark, sf):
+    return table(spark, sf, "part").select(_full_and_scanned()[1].alias("name"))
 
 
 @query(
     "fuzzy_match_stores",
     f"""WITH st AS (SELECT p_partkey AS id, 'Ltd ' || p_brand || ' ' || p_name AS sname FROM part),
     st1 AS (SELECT min(id) AS id, sname FROM st GROUP BY sname),
-    names AS (SELECT DISTINCT CASE p_type WHEN 'PROMO' THEN p_name || ' ' || p_brand || ' LTD'
-        WHEN 'SMALL' THEN regexp_replace('Ltd ' || p_brand || ' ' || p_name, '[aeo]', '', 'g')
-        WHEN 'MEDIUM' THEN 'Lted ' || p_brand || ' ' || p_name
-        WHEN 'ECONOMY' THEN replace('Ltd ' || p_brand || ' ' || p_name, 'n', 'nn')
-        ELSE 'Ltd ' || p_brand || ' ' || p_name END AS name FROM part),
+    names AS (SELECT DISTINCT {_SCANNED} AS name FROM part),
     {_CHARS},
     schars AS (SELECT id, ch, count(*) AS n FROM (SELECT id, unnest(string_split(lower(sname), '')) AS ch FROM st1) GROUP BY ALL),
     shared AS (SELECT name, id, sum(least(c.n, s.n)) AS m FROM chars c JOIN schars s USING (ch) GROUP BY ALL),
