@@ -101,10 +101,10 @@ def test_hot_key_upsert_is_an_aggregate(spark):
 @pytest.mark.parametrize("size", [7, 1 << 20])
 def test_ids_are_dense_and_ordered(spark, size):
     df = spark.range(1000).select((F.col("id") * 3).alias("k")).repartition(5)
-    got = assign_ids(df, order_block("k", size), ["k"], F.lit(100)).orderBy("k").collect()
+    got = assign_ids(df, [order_block("k", size)], ["k"], F.lit(100)).orderBy("k").collect()
     assert [r.id for r in got] == list(range(101, 1101))
     names = spark.range(1000).select(F.concat(F.lit("n"), "id").alias("name"))
-    ids = [r.id for r in assign_ids(names, hash_block("name"), ["name"], F.lit(0)).collect()]
+    ids = [r.id for r in assign_ids(names, [hash_block("name")], ["name"], F.lit(0)).collect()]
     assert sorted(ids) == list(range(1, 1001))
 
 

@@ -195,7 +195,7 @@ def resolve_stores(documents: DataFrame, stores: DataFrame) -> tuple[DataFrame,
     is_new = F.col("outcome").isin("new_branch", "new_store")
     fresh = assign_ids(
         decided.filter(is_new).select("name", "addr").distinct(),
-        hash_block("name", "addr"),
+        [hash_block("name", "addr")],
         ["name", "addr"],
         next_id(stores),
     )
@@ -228,7 +228,7 @@ def new_products(items: DataFrame, products: DataFrame) -> DataFrame:
         F.col("first.line_no").alias("first_line"),
     )
     return assign_ids(
-        missing, order_block("first_doc"), ["first_doc", "first_line", "name"], next_id(products)
+        missing, [order_block("first_doc")], ["first_doc", "first_line", "name"], next_id(products)
     ).select("id", "name", "unit", "default_unit_price")
 
 

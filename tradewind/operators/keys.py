@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
+BLOCKS_PER_RUN = 1 << 12
 
 
 def next_id(df: DataFrame, col: str = "id") -> Column:
@@ -17,8 +18,8 @@ def next_id(df: DataFrame, col: str = "id") -> Column:
 
 
 def hash_block(*cols: str) -> Column:
-    """One of 4,096 blocks by hash of a text key, for keys without a natural order."""
-    head = F.substring(F.md5(F.concat_ws("|", *cols).cast("binary")), 1, 3)
+    """One of about a million blocks by hash of a text key, for keys without a natural order."""
+    head = F.substring(F.md5(F.concat_ws("|", *cols).cast("binary")), 1, 5)
     return F.conv(head, 16, 10).cast("long")
 
 
@@ -66,16 +67,25 @@ def number_rows(
 
 
 def assign_ids(
-    df: DataFrame, block: Column, order: Sequence[str], after: Column, name: str = "id"
+    df: DataFrame, blocks: Sequence[Column], order: Sequence[str], after: Column, name: str = "id"
 ) -> DataFrame:
-    """Add ids ``after + 1 ...`` ordered by (block, order); ``order`` must be unique."""
-    blocked = df.withColumn("_block", block)
-    sizes = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = _offsets(sizes, [], ["_block"], "_off").drop("_size")
-    within = F.row_number().over(W.partitionBy("_block").orderBy(*order))
+    """Add ids ``after + 1 ...`` ordered by (blocks, order); ``order`` must be unique.
+
+    ``blocks`` are whole numbers that follow the wanted order. Rows are numbered inside their
+    block; block sizes are added up inside runs of ``BLOCKS_PER_RUN`` blocks, and only one row
+    per run in a single task.
+    """
+    keys = [f"_block{i}" for i in range(len(blocks))]
+    blocked = df.withColumns(dict(zip(keys, blocks)))
+    run = F.floor(F.col(keys[0]) / BLOCKS_PER_RUN).alias("_run")
+    sizes = blocked.groupBy(run, *keys).agg(F.count(F.lit(1)).alias("_size"))
+    runs = sizes.groupBy("_run").agg(F.sum("_size").alias("_size"))
+    starts = _offsets(sizes, ["_run"], keys, "_off").drop("_size")
+    run_starts = _offsets(runs, [], ["_run"], "_run_off").drop("_size")
+    within = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return (
         blocked.withColumn("_n", within)
-        .join(offsets, "_block")
-        .withColumn(name, (after + F.col("_off") + F.col("_n")).cast("long"))
-        .drop("_block", "_n", "_off")
+        .join(starts.join(run_starts, "_run"), keys)
+        .withColumn(name, (after + F.col("_run_off") + F.col("_off") + F.col("_n")).cast("long"))
+        .drop(*keys, "_run", "_n", "_off", "_run_off")
     )

@@ -175,11 +175,11 @@ _IMPORT = f"""WITH l AS (SELECT printf('%010d', o_orderkey) AS num, o_orderkey,
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
 ns AS (SELECT c_name AS name, 'ქუჩა ' || min(c_nationkey) AS address FROM l WHERE c_mktsegment <> 'BUILDING' GROUP BY 1),
 stores_new AS (SELECT (SELECT max(c_custkey) FROM customer WHERE c_mktsegment = 'BUILDING')
-    + row_number() OVER (ORDER BY left(md5(name), 3), name) AS id, name, address FROM ns),
+    + row_number() OVER (ORDER BY left(md5(name), 5), name) AS id, name, address FROM ns),
 ids AS (SELECT id, name FROM stores_new UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'),
 ni AS (SELECT num, c_name, min(o_orderdate) AS d, CAST({S.dec('l_extendedprice')} AS DOUBLE) AS total FROM l WHERE o_orderstatus <> 'F' GROUP BY 1, 2),
 inv_new AS (SELECT (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F')
-    + row_number() OVER (ORDER BY left(md5(num), 3), num) AS id, ids.id AS store_id, num AS invoice_number,
+    + row_number() OVER (ORDER BY left(md5(num), 5), num) AS id, ids.id AS store_id, num AS invoice_number,
     strftime(d, '%Y-%m-%dT%H:%M:%S') AS invoice_date, total, total AS subtotal, 'rs_ge_sync' AS source_file
   FROM ni JOIN ids ON ids.name = ni.c_name)"""
 

@@ -430,7 +430,7 @@ o AS (SELECT *, CASE WHEN s = 'O' OR y >= '5' THEN 'new_store' WHEN s = 'P' THEN
          WHEN y < '4' THEN 'მყიდველი' ELSE '' END AS addr FROM d),
 fresh AS (SELECT DISTINCT name, addr FROM o WHERE outcome IN ('new_store', 'new_branch')),
 ids AS (SELECT *, (SELECT max(c_custkey) FROM customer) + row_number() OVER (
-    ORDER BY left(md5(name || '|' || addr), 3), name, addr) AS id FROM fresh)"""
+    ORDER BY left(md5(name || '|' || addr), 5), name, addr) AS id FROM fresh)"""
 
 
 @query(
