@@ -23,10 +23,11 @@ def merge_rules_table(spark: SparkSession, rules: Sequence[Rule] = V.MERGE_RULES
 
 
 def replace_merge_rules(
-    spark: SparkSession, path: str, rules: Sequence[Rule] = V.MERGE_RULES
+    spark: SparkSession, path: str, rules: Sequence[Rule] | DataFrame = V.MERGE_RULES
 ) -> DataFrame:
-    """Overwrite the whole rule table."""
-    merge_rules_table(spark, rules).write.mode("overwrite").parquet(path)
+    """Overwrite the whole rule table with a list of rules or a frame of the table's columns."""
+    table = rules if isinstance(rules, DataFrame) else merge_rules_table(spark, rules)
+    table.write.mode("overwrite").parquet(path)
     return spark.read.schema(table_schema("product_merge_rules")).parquet(path)
 
 

@@ -124,6 +124,31 @@ def _(spark, sf):
     return WS.current_waybills(WS.read_log(spark, f"{folder}/log")).drop("batch_id", "synced_at")
 
 
+@query(
+    "failed_sync_runs",
+    """SELECT 1 AS run_id, 'failed' AS status, 0 AS rows_written, 0 AS waybills_count, 'no such layout' AS error_message
+    UNION ALL SELECT 2, 'success', (SELECT count(*) FROM lineitem), (SELECT count(DISTINCT l_orderkey) FROM lineitem), NULL
+    UNION ALL SELECT 3, 'success', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R'),
+      (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag = 'R'), NULL""",
+)
+def _(spark, sf):
+    """A batch that fails for good, one that is loaded twice, and one that succeeds on retry."""
+    folder = shared_folder(spark, "failed-sync")
+    log, runs = f"{folder}/log", f"{folder}/runs"
+    lines = waybill_lines(spark, sf)
+    returned = lines.filter("buyer_barcode = 'R'")
+
+    def broken(_batch):
+        raise ValueError("no such layout")
+
+    for batch, number, prepare in ((lines, 1, broken), (lines, 2, None), (lines, 2, None), (returned, 3, broken), (returned, 3, None)):
+        try:
+            (WS.sync_batch(log, runs, prepare) if prepare else WS.sync_batch(log, runs))(batch, number)
+        except ValueError:
+            continue
+    return WS.read_sync_runs(spark, runs).select("run_id", "status", "rows_written", "waybills_count", "error_message")
+
+
 @query(
     "sync_run_counts",
     """SELECT event_type AS run, count(*) AS rows_written, count(DISTINCT user_id) AS waybills_count

@@ -10,6 +10,7 @@ from ..functions.returns import is_return_document, not_return_by_phrases
 from ..operators import entities as E
 from ..operators import merge_rules as M
 from ..operators.scope import filter_by_date_range, in_period
+from ..session import shared_folder
 from ..sources.tables import enrich_stores, load_frames, load_invoices
 from . import sql as S
 from .catalog import query
@@ -407,6 +408,7 @@ def _found_stores(spark, sf):
         F.col("o_orderkey").alias("doc_id"),
         F.when(style < "5", F.col("c_name")).alias("store_name"),
         F.when(status == "P", F.concat(F.lit(" ქუჩა "), "c_nationkey"))
+        .when((status == "F") & (style < "2"), F.lit("ფილიალი"))
         .when((status == "F") & (style < "3"), F.lit("ახალი ქუჩა"))
         .alias("branch_address"),
         F.when(style < "4", F.lit("მყიდველი")).alias("buyer_address"),
@@ -415,27 +417,34 @@ def _found_stores(spark, sf):
 
 
 def _street_stores(spark, sf):
-    return table(spark, sf, "customer").select(
+    """Every store twice: its main address and a branch of the same name."""
+    customers = table(spark, sf, "customer")
+    main = customers.select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
         F.concat(F.lit("ქუჩა "), "c_nationkey").alias("address"),
     )
+    branch = customers.select(
+        (F.col("c_custkey") + 1_000_000_000).alias("id"), F.col("c_name").alias("name"), F.lit("ფილიალი").alias("address")
+    )
+    return main.unionByName(branch)
 
 
 _RESOLVE = """WITH d AS (SELECT o_orderkey AS doc_id, o_custkey, o_orderstatus AS s, o_orderpriority AS y,
     CASE WHEN o_orderpriority < '5' THEN c_name ELSE '(უცნობი მყიდველი)' END AS name, c_nationkey
   FROM orders JOIN customer ON c_custkey = o_custkey),
 o AS (SELECT *, CASE WHEN s = 'O' OR y >= '5' THEN 'new_store' WHEN s = 'P' THEN 'same_id_address'
-      WHEN y < '3' THEN 'new_branch' ELSE 'matched_name' END AS outcome,
+      WHEN y < '2' THEN 'same_name_address' WHEN y < '3' THEN 'new_branch' ELSE 'matched_name' END AS outcome,
     CASE WHEN s = 'P' THEN 'ქუჩა ' || c_nationkey WHEN s = 'F' AND y < '3' THEN 'ახალი ქუჩა'
          WHEN y < '4' THEN 'მყიდველი' ELSE '' END AS addr FROM d),
 fresh AS (SELECT DISTINCT name, addr FROM o WHERE outcome IN ('new_store', 'new_branch')),
-ids AS (SELECT *, (SELECT max(c_custkey) FROM customer) + row_number() OVER (
+ids AS (SELECT *, (SELECT max(c_custkey) + 1000000000 FROM customer) + row_number() OVER (
     ORDER BY left(md5(name || '|' || addr), 5), name, addr) AS id FROM fresh)"""
 
 
 @query(
     "resolve_stores",
-    f"""{_RESOLVE} SELECT doc_id, CASE WHEN outcome LIKE 'new%' THEN id ELSE o_custkey END AS store_id, outcome
+    f"""{_RESOLVE} SELECT doc_id, CASE WHEN outcome LIKE 'new%' THEN id
+      WHEN outcome = 'same_name_address' THEN o_custkey + 1000000000 ELSE o_custkey END AS store_id, outcome
     FROM o LEFT JOIN ids USING (name, addr)""",
 )
 def _(spark, sf):
@@ -483,3 +492,21 @@ def _(spark, sf):
         .otherwise(F.concat(F.lit(" სახლი "), "o_orderkey")).alias("branch_address"),
     )
     return E.fill_store_addresses(stores, docs)
+
+
+@query(
+    "replace_merge_rules",
+    """SELECT p_partkey AS id, p_size AS priority, 'fam ' || p_brand AS canonical_name, lower(p_name) AS m1, p_type AS m2,
+      NULL::VARCHAR AS m3, NULL::VARCHAR AS notes FROM part""",
+)
+def _(spark, sf):
+    """The rule table overwritten with a rule per part, and read back."""
+    path = shared_folder(spark, "merge-rules")
+    none = F.lit(None).cast("string")
+    rules = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_size").alias("priority"),
+        F.concat(F.lit("fam "), "p_brand").alias("canonical_name"), F.lower("p_name").alias("m1"),
+        F.col("p_type").alias("m2"), none.alias("m3"), none.alias("notes"),
+    )
+    M.replace_merge_rules(spark, path)
+    return M.replace_merge_rules(spark, path, rules)
