@@ -27,63 +27,49 @@ def _keyed(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def _budget(total: Column, threshold: float) -> Column:
-    """Most characters two names may differ by; it has the parity of their total length."""
-    most = F.floor(total * (1.0 - threshold) + 1e-9).cast("int")
-    return most - F.pmod(most - total, F.lit(2))
+def _ranked_marks(df: DataFrame, frequency: DataFrame) -> DataFrame:
+    """``sig`` and its marks, the rarest of both sides first, by one order for all."""
+    marked = df.select("sig", F.explode("marks").alias("mark")).join(frequency, "mark")
+    ordered = F.sort_array(F.collect_list(F.struct("n", "mark")))
+    return marked.groupBy("sig").agg(F.transform(ordered, lambda m: m["mark"]).alias("marks"))
 
 
-def _block_keys(df: DataFrame, own: str, other: str, threshold: float) -> DataFrame:
-    """Blocking keys of one side of the similarity join.
+def _prefix(threshold: float) -> Column:
+    """The rarest marks of a name; two names with a ratio of the threshold share one of them.
 
-    Names that differ by at most d characters agree exactly on at least one of
-    d+1 disjoint groups of characters. The key is that group's sorted characters,
-    together with both lengths.
+    A partner has at least threshold / (2 - threshold) as many characters, so the two share
+    at least threshold / 2 of that sum; a name can miss no more than the rest of its own.
     """
-    n = F.length("sig")
-    low = F.ceil(n * (threshold / (2.0 - threshold)) - 1e-9).cast("int")
-    high = F.floor(n * ((2.0 - threshold) / threshold) + 1e-9).cast("int")
-    reach = F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1)))
-    lengths = F.filter(
-        F.transform(
-            reach, lambda m: F.struct(m.alias("len"), (_budget(n + m, threshold) + 1).alias("groups"))
-        ),
-        lambda s: (s["groups"] > 1) & (F.abs(n - s["len"]) < s["groups"]),
-    )
-
-    def part(group: Column) -> Column:
-        mine = F.filter(
-            F.split("sig", ""), lambda c: F.pmod(F.ascii(c), F.col("groups")) == group
-        )
-        return F.array_join(mine, "")
-
-    # The parts depend on the number of groups only, which several lengths share.
-    by_groups = df.select("*", n.alias(own), lengths.alias("_lengths")).withColumn(
-        "groups", F.explode(F.array_distinct(F.transform("_lengths", lambda s: s["groups"])))
-    )
-    parts = by_groups.select(
-        "*", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("groups") - 1), part)).alias("grp", "part")
-    )
-    same = F.filter("_lengths", lambda s: s["groups"] == F.col("groups"))
-    return parts.withColumn(other, F.explode(F.transform(same, lambda s: s["len"]))).drop(
-        "_lengths", "groups"
-    )
+    n = F.size("marks")
+    least = F.ceil(n * (threshold / (2.0 - threshold)) - 1e-9)
+    shared = F.ceil((n + least) * (threshold / 2.0) - 1e-9)
+    return F.slice("marks", F.lit(1), F.greatest(n - shared + 1, F.lit(1)).cast("int"))
 
 
 def _near_matches(names: DataFrame, stores: DataFrame, threshold: float) -> DataFrame:
-    """Best store per distinct name signature with a character ratio in [threshold, 1)."""
-    marks = occurrences(F.split("sig", ""))
-    # Short rows, much work per row: keep all cores busy however few bytes there are.
-    cores = names.sparkSession.sparkContext.defaultParallelism
-    left = _block_keys(
-        names.repartition(cores).withColumn("marks", marks), "len_a", "len_b", threshold
-    )
-    right = _block_keys(
-        stores.repartition(cores).withColumn("store_marks", marks), "len_b", "len_a", threshold
-    )
-    pairs = left.join(right.drop("sig"), ["len_a", "len_b", "grp", "part"])
-    shared = F.size(F.array_intersect("marks", "store_marks"))
-    score = F.lit(2.0) * shared / (F.col("len_a") + F.col("len_b"))
+    """Best store per distinct name signature with a character ratio in [threshold, 1).
+
+    Candidates share one of their rarest characters and have lengths that allow the ratio;
+    a pair that shares several is taken at the first of them only.
+    """
+    marks = occurrences(F.split("sig", "")).alias("marks")
+    left, right = names.select("sig", marks), stores.select("sig", marks)
+    frequency = left.unionByName(right).select(F.explode("marks").alias("mark")).groupBy("mark").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    wanted = _ranked_marks(left, frequency).withColumn("prefix", _prefix(threshold))
+    known = _ranked_marks(right, frequency).withColumn("prefix", _prefix(threshold)).join(stores, "sig")
+    keyed = wanted.withColumn("key", F.explode("prefix"))
+    other = known.select(
+        F.col("marks").alias("store_marks"), F.col("prefix").alias("store_prefix"), "store_id", "store_name",
+        F.explode("prefix").alias("key"),
+    )
+    la, lb = F.size("marks"), F.size("store_marks")
+    reach = 2.0 * F.least(la, lb) >= threshold * (la + lb) - 1e-9
+    pairs = keyed.join(other, "key").filter(
+        reach & (F.get(F.array_intersect("prefix", "store_prefix"), F.lit(0)) == F.col("key"))
+    )
+    score = F.lit(2.0) * F.size(F.array_intersect("marks", "store_marks")) / (la + lb)
     return (
         pairs.withColumn("score", score)
         .filter(F.col("score") >= threshold)

@@ -127,10 +127,16 @@ def load_invoices(invoices: DataFrame, stores: DataFrame) -> DataFrame:
 
 def load_line_items(items: DataFrame, products: DataFrame, invoices: DataFrame) -> DataFrame:
     """Lines of existing invoices with product name, else description, else ''."""
+    return _lines_of(items, products, invoices.select(F.col("id").alias("invoice_key")))
+
+
+def _lines_of(items: DataFrame, products: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Lines with the columns of their invoice (key ``invoice_key``), joined once."""
     extra = optional_columns(items, ITEM_OPTIONAL, "ii.")
+    carried = [c for c in invoices.columns if c != "invoice_key"]
     return (
         items.alias("ii")
-        .join(invoices.select(F.col("id").alias("invoice_key")), F.col("ii.invoice_id") == F.col("invoice_key"))
+        .join(invoices, F.col("ii.invoice_id") == F.col("invoice_key"))
         .join(
             products.select(F.col("id").alias("product_key"), F.col("name").alias("product_name")),
             F.col("ii.product_id") == F.col("product_key"),
@@ -145,6 +151,7 @@ def load_line_items(items: DataFrame, products: DataFrame, invoices: DataFrame)
             F.col("ii.unit_price").alias("unit_price"),
             F.col("ii.line_total").alias("line_total"),
             *extra,
+            *carried,
         )
     )
 
@@ -154,8 +161,8 @@ def load_frames(
 ) -> tuple[DataFrame, DataFrame]:
     """(invoices, lines): the enriched invoices, and lines with their invoice's meta data."""
     inv = load_invoices(invoices, stores)
-    meta = inv.select(*META).dropDuplicates(["invoice_id"])
-    lines = load_line_items(items, products, invoices).join(meta, "invoice_id", "left")
+    meta = inv.select(*META).withColumnRenamed("invoice_id", "invoice_key")
+    lines = _lines_of(items, products, meta)
     flag = F.coalesce("parent_invoice_is_return", F.lit(False))
     return inv, lines.withColumn("parent_invoice_is_return", flag)
 
