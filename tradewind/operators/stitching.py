@@ -70,7 +70,9 @@ def _line_blocks(line: Column, row_id: Column) -> dict[str, Column]:
 
 def move_items(items: DataFrame, links: DataFrame) -> DataFrame:
     """Items of appendices under their parent, numbered after the parent's last line."""
-    moved = items.join(links.withColumnRenamed("appendix_id", "invoice_id"), "invoice_id")
+    # One join tells both parts apart, so items and links are shuffled once for them.
+    linked = items.join(links.withColumnRenamed("appendix_id", "invoice_id"), "invoice_id", "left")
+    moved = linked.filter(F.col("parent_id").isNotNull())
     line = F.coalesce(F.col("line_no").cast("long"), F.lit(NO_LINE))
     keyed = moved.withColumn("_line", line)
     numbered = number_rows(
@@ -90,8 +92,7 @@ def move_items(items: DataFrame, links: DataFrame) -> DataFrame:
         .withColumn("invoice_id", F.col("parent_id"))
         .select(*items.columns)
     )
-    kept = items.join(links.select(F.col("appendix_id").alias("invoice_id")), "invoice_id", "left_anti")
-    return kept.select(*items.columns).unionByName(placed)
+    return linked.filter(F.col("parent_id").isNull()).select(*items.columns).unionByName(placed)
 
 
 def _quoted(col: Column) -> Column:
