@@ -91,6 +91,16 @@ def test_fold_of_random_words(spark, vocabulary, library):
         assert B._tokens(r.t).tolist() == library._encode_single_piece(r.word.encode()), r.word
 
 
+def test_pieces_of_ascii_texts(vocabulary, library):
+    """The short form of the pattern on every ASCII character, in all neighbourhoods of two."""
+    assert B._ascii_pattern(r"\p{Lu}+") is None
+    text = "".join(chr(a) + chr(b) for a in range(128) for b in range(128)) + " x's  9 \n\n 'LL'll"
+    assert "".join(vocabulary.splitter()(text)) == text
+    unicode_pieces = vocabulary.splitter()(text + "é")
+    assert vocabulary.splitter()(text)[:-3] == unicode_pieces[: len(vocabulary.splitter()(text)) - 3]
+    assert [i for p in vocabulary.splitter()(text) for i in library._encode_single_piece(p.encode())] == want(library, text)
+
+
 def test_empty_table(spark, vocabulary):
     assert B.decode(B.encode(frame(spark, []), vocabulary), vocabulary).count() == 0
 

@@ -23,9 +23,10 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,6 +62,18 @@ def _tokens(folded: str) -> np.ndarray:
     return np.where(points < SURROGATES, points, points - GAP) - FIRST
 
 
+def _ascii_pattern(pattern: str) -> str | None:
+    """The pattern with letters and digits spelled out, if it has no other property."""
+    out, inside = [], False
+    for token in re.findall(r"\\[pP]\{[^}]*\}|\\.|.", pattern, re.DOTALL):
+        spelled = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}.get(token)
+        if spelled is None and token[:2] in (r"\p", r"\P"):
+            return None
+        inside = token == "[" or (inside and token != "]")
+        out.append(token if spelled is None else spelled if inside else f"[{spelled}]")
+    return "".join(out)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Ranks of byte strings, which are their token ids too, and the pattern of pieces."""
@@ -75,10 +88,17 @@ class Vocabulary:
             entries = (line.split() for line in lines)
             return cls({base64.b64decode(e[0]): int(e[1]) for e in entries if e}, pattern)
 
-    def splitter(self) -> regex.Pattern:
+    def splitter(self) -> Callable[[str], list[str]]:
+        """A function from a text to its pieces."""
         # The pattern's white space is Unicode's property, which this module's \s is not.
         unicode_space = self.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-        return regex.compile(unicode_space)
+        everywhere = regex.compile(unicode_space).findall
+        plain = _ascii_pattern(self.pattern)
+        if plain is None:
+            return everywhere
+        # Texts of ASCII characters alone have a simpler and faster form of the same pattern.
+        in_ascii = re.compile(plain, re.ASCII).findall
+        return lambda text: in_ascii(text) if text.isascii() else everywhere(text)
 
     def merges(self) -> Iterator[tuple[int, int, int]]:
         """Left token, right token and the token that they merge to."""
@@ -182,7 +202,7 @@ def merge_with_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    find = vocabulary.splitter().findall
+    find = vocabulary.splitter()
     for batch in batches:
         counts = Counter()
         for text in batch.column("text"):
@@ -193,8 +213,17 @@ def _counted(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Itera
         )
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of folded words as 32-bit integers."""
+    for batch in batches:
+        codes = [_tokens(t.as_py()).astype("<i4").tobytes() for t in batch.column("tokens")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("word"), pa.array(codes, pa.binary())], names=["word", "code"]
+        )
+
+
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, fold) -> pa.Table:
-    """The dictionary: words of the sample and their tokens, the most frequent first."""
+    """The dictionary: the most frequent words of the sample and their packed ids."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     total = texts.count()
     kept = 1_000_000 * SAMPLE_ROWS // max(total, SAMPLE_ROWS)
@@ -208,15 +237,19 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, fold) -> pa.Table:
     )
     # A shuffle spreads the folds over all tasks again.
     spread = words.select("word").repartition("word")
-    return spread.select("word", fold(F.col("word")).alias("tokens")).toArrow()
+    folded = spread.select("word", fold(F.col("word")).alias("tokens"))
+    return folded.mapInArrow(_packed, "word string, code binary").toArrow()
 
 
 def _looked_up(
     batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, dictionary
 ) -> Iterator[pa.RecordBatch]:
     """Ids as 32-bit integers; -1-k stands for the document's k-th word that is to be folded."""
-    find = vocabulary.splitter().findall
-    known = dictionary.value.get
+    find = vocabulary.splitter()
+    # A worker builds the hash table once and keeps it with the broadcast for its next tasks.
+    if not hasattr(dictionary, "table"):
+        dictionary.table = {w: c for part in dictionary.value for w, c in zip(*(a.to_pylist() for a in part))}
+    known = dictionary.table.get
 
     def packed(pieces: list[str]) -> tuple[bytes, list[str]]:
         codes = [known(p) for p in pieces]
@@ -281,9 +314,9 @@ def _folded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     rows = documents(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
     fold = fold_merges(vocabulary)
     table = frequent_words(rows, vocabulary, fold)
-    codes = (_tokens(t.as_py()).astype("<i4").tobytes() for t in table.column("tokens"))
-    words = dict(zip(table.column("word").to_pylist(), codes))
-    dictionary = docs.sparkSession.sparkContext.broadcast(words)
+    # Sent as Arrow arrays: the driver never holds the words as objects.
+    parts = [(b.column("word"), b.column("code")) for b in table.to_batches()]
+    dictionary = docs.sparkSession.sparkContext.broadcast(parts)
     kind = rows.schema["doc_id"].dataType.simpleString()
     looked_up = rows.mapInArrow(
         lambda batches: _looked_up(batches, vocabulary, dictionary),
