@@ -12,8 +12,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that one block of a two-level numbering holds on average.
-ROWS_PER_BLOCK = 100_000
+#: Rows that one block of a two-level numbering holds on average, and the least number of blocks.
+ROWS_PER_BLOCK, LEAST_BLOCKS = 100_000, 512
 
 
 @cache
@@ -50,7 +50,7 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def blocks_for(rows: int) -> int:
-    return max(1, -(-rows // ROWS_PER_BLOCK))
+    return max(LEAST_BLOCKS, -(-rows // ROWS_PER_BLOCK))
 
 
 def running_total(
