@@ -344,8 +344,9 @@ def completion_span(lines: Column) -> Column:
     starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(
         _empty("array<int>")
     )
-    # A caption needs its words: skip positions whose four-line window lacks the stem.
-    near = F.filter(starts, lambda i: _joined(lines, i, F.lit(4)).contains("დასრ"))
+    # A caption needs its words: only starts up to three lines above a line with the stem count.
+    stem = F.transform(lines, lambda x: x.contains("დასრ"))
+    near = let(stem, lambda hit: F.filter(starts, lambda i: F.array_contains(slice_safe(hit, i, i + 3), True)))
     spans = F.filter(
         F.transform(near, lambda i: F.struct(i.alias("start"), widest(i).alias("span"))),
         lambda s: s["span"] > 0,
