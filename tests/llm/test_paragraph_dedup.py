@@ -112,12 +112,15 @@ def test_equals_brute_force(spark, monkeypatch, seed):
     assert got == want and len(want) > 50
 
 
-def test_rounds_reach_every_pair_of_a_crowded_bucket(spark):
-    """All classes in one bucket: several groups that only later pivots find."""
+@pytest.mark.parametrize("growth", [4, 1024])
+def test_rounds_reach_every_pair_of_a_crowded_bucket(spark, monkeypatch, growth):
+    """All classes in one bucket: several groups that only later pivots find, with and without the bound."""
+    monkeypatch.setattr(D, "GROWTH", growth)
     texts = [" ".join(f"g{g}x{i if i != k else 'new'}" for i in range(40)) for g in range(9) for k in range(60, 20, -8)]
     contents = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "cid long, content binary")
-    members = contents.select(F.lit(7).cast("long").alias("key"), "cid")
-    links = D._links(members, contents, 0.7)
+    members = contents.select(F.lit(7).cast("long").alias("key"), "cid", F.lit(len(texts)).alias("n"))
+    bands = members.select("cid", F.array("key").alias("bands"))
+    links = D._links(members, contents, bands, 0.7)
     roots = {r.node: r.root for r in D.components(links, "u", "v").collect()}
     sets = [D.shingles(t.encode()) for t in texts]
     label = list(range(len(texts)))

@@ -2,7 +2,8 @@
 
 Each round points every node's larger neighbours at the smallest node it knows, then its
 smaller ones; only per-node minima are gathered, so a node with any number of links costs
-one row per task before the shuffle. Each round ends in a table in the shared folder.
+one row per task before the shuffle. Each round ends in a table in the shared folder; the
+rounds end when the links are stars, which one aggregate tells.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
-def _state(edges: DataFrame):
-    # Decimals: a sum of 64-bit hashes must not overflow.
-    return edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    ).first()
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node points at one other at most, and at none if others point at it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("hub")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("hub"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("hub").alias("hub"))
+    return nodes.filter("out + hub > 1").isEmpty()
 
 
 def components(links: DataFrame, u: str, v: str) -> DataFrame:
@@ -31,22 +34,15 @@ def components(links: DataFrame, u: str, v: str) -> DataFrame:
         .distinct(),
         "edges",
     )
-    before = _state(edges)
-    while before[0]:
+    while not _only_stars(edges):
         # Large star: every larger neighbour of a node to the smallest of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large, "edges")
         # Small star: every smaller neighbour of a node, and the node, to the smallest one.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -10,9 +10,13 @@ paragraph stays, the others are removals.
 A band's bucket may hold any number of classes, so pairs are never spelled out: in each
 round every bucket compares a few pivots with all its members, drops the pivots, and is done
 when all members left are in one component. Members that are connected already need no
-comparison, so a group of near copies costs one row per member; buckets that stay apart get
-four times the pivots in each round, until every pair that matters has been compared. No
-bucket is capped.
+comparison, so a group of close copies costs one row per member; buckets that stay apart get
+``GROWTH`` times the pivots in each round, until every pair that matters has been compared. Within
+buckets of more than ``SMALL`` classes, pairs that can't be similar are left out by two exact
+bounds on their intersection: shingles that no other class of such buckets has are in none,
+and of the first pivot's shingles (64 of them, as bits) those that either of the two lacks
+aren't either. So few of the many loose copies of one text are ever compared. No bucket is
+capped.
 
 Defined results: words are compared without case and punctuation; shorter paragraphs are
 never repeats; repeats within one document only are not reported; null texts count as empty;
@@ -41,6 +45,12 @@ SIMILARITY = 0.8
 MIN_WORDS = 20
 #: Share of the pairs at the threshold that must meet in a band, and hashes per band.
 RECALL, BAND_ROWS = 0.995, 4
+#: Classes in a bucket up to which all pairs are compared.
+SMALL = 8
+#: How many times the pivots of a bucket grow from round to round.
+GROWTH = 1024
+#: Shingles of a pivot that the others' bit patterns tell about.
+BITS = 64
 #: Bytes of text that a task looks at together.
 CHUNK = 1 << 21
 
@@ -176,59 +186,154 @@ def jaccard(a: set, b: set) -> float:
     return common / (len(a) + len(b) - common) if a or b else 1.0
 
 
-def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def _bits(own: set, pivot: list) -> int:
+    """Which of the pivot's first shingles a paragraph has, as a signed 64-bit number."""
+    value = sum(1 << i for i, shingle in enumerate(pivot[:BITS]) if shingle in own)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Each pair's verdict, the size of its intersection, and either side's bits as seen by the other."""
     for batch in batches:
-        keep, last = [], (None, None)
-        for row, (u, a, b) in enumerate(zip(batch.column("u"), batch.column("a"), batch.column("b"))):
+        columns, last = ([], [], [], []), (None, None, None)
+        for u, a, b in zip(batch.column("u"), batch.column("a"), batch.column("b")):
             if last[0] != u.as_py():
-                last = (u.as_py(), shingles(a.as_py()))
-            if jaccard(last[1], shingles(b.as_py())) >= similarity:
-                keep.append(row)
-        take = pa.array(keep, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("u", "v")], names=["u", "v"])
+                own = shingles(a.as_py())
+                last = (u.as_py(), own, sorted(own))
+            other = shingles(b.as_py())
+            values = (
+                jaccard(last[1], other) >= similarity,
+                len(last[1] & other),
+                _bits(last[1], sorted(other)),
+                _bits(other, last[2]),
+            )
+            for column, value in zip(columns, values):
+                column.append(value)
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("u", "v", "ru", "rv")), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+            names=["u", "v", "ru", "rv", "similar", "common", "u_bits", "v_bits"],
+        )
 
 
-def _links(members: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
+def _shingle_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, found = [], []
+        for row, content in enumerate(batch.column("content")):
+            _, _, hashes = words(np.frombuffer(content.as_buffer(), np.uint8))
+            own = np.unique(runs(hashes, SHINGLE_WORDS))
+            rows.append(np.full(len(own), row, np.int32))
+            found.append(own)
+        take = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32))
+        h = np.concatenate(found) if found else np.empty(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("cid").take(take), pa.array(h.view(np.int64))], names=["cid", "h"])
+
+
+def _sizes(contents: DataFrame) -> DataFrame:
+    """``cid, size, alone``: shingles of a class, and how many of them no other class here has.
+
+    Two shingles with the same hash only ever look shared.
+    """
+    pieces = contents.mapInArrow(_shingle_hashes, "cid long, h long")
+    by_hash = pieces.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid"))
+    alone = by_hash.filter("n = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = pieces.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.join(alone, "cid", "left").select("cid", "size", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def _links(members: DataFrame, contents: DataFrame, bands: DataFrame, similarity: float) -> DataFrame:
     """Links that connect exactly what all similar pairs within the buckets connect.
 
-    ``members`` has ``key, cid``; ``contents`` has ``cid, content``.
+    ``members`` has ``key, cid, n``, the size of the bucket; ``contents`` has ``cid, content``,
+    ``bands`` has ``cid, bands``, all its keys.
     """
     spark = members.sparkSession
     links = spark.createDataFrame([], "u long, v long")
     compared = links
-    members = members.withColumn("root", F.col("cid"))
+    members = members.withColumn("root", F.col("cid")).withColumn("crowded", F.col("n") > SMALL).drop("n")
+    sizes = _sizes(contents.join(members.filter("crowded").select("cid").distinct(), "cid", "left_semi"))
+    members = members.join(sizes, "cid", "left")
+    # A class whose shared shingles are too few for any partner: the partner is at least as large as they are.
+    hopeless = F.col("crowded") & (F.col("size") - F.col("alone") < similarity * F.col("size") - 1e-9)
+    members = members.filter(~F.coalesce(hopeless, F.lit(False)))
+    # What the first pivot tells: its size, the member's bits, and its other shingles that are shared.
+    unknown = F.lit(None).cast("long")
+    no_bands = F.lit(None).cast("array<bigint>")
+    members = members.withColumns({"first_size": unknown, "bits": unknown, "rest": unknown, "bands": no_bands})
+    carried = ("cid", "root", "size", "alone", "first_size", "bits", "rest", "bands")
     pivots_per_bucket = 1
     while True:
         # A bucket whose members are all connected is done.
         span = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        members = written(members.join(span.select("key", "low"), "key"), "members")
+        members = written(members.drop("low").join(span.select("key", "low"), "key"), "members")
         if members.isEmpty():
             return links
-        salt = F.pmod(F.xxhash64("cid"), F.lit(pivots_per_bucket))
-        # The first pivot gathers most of its bucket; later ones come from what it left out.
+        salt = F.when(F.col("crowded"), F.pmod(F.xxhash64("cid"), F.lit(pivots_per_bucket))).otherwise(F.col("cid"))
+        # The first pivot has the fewest shingles of its own: it is close to most of its bucket.
+        # Later ones come from what it left out.
         choice = members if pivots_per_bucket == 1 else members.filter("root <> low")
         pivots = written(
-            choice.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("cid", "root")).alias("p"))
-            .select("key", F.col("p.cid").alias("pivot"), F.col("p.root").alias("pivot_root")),
+            choice.groupBy("key", salt.alias("salt"))
+            .agg(F.min(F.struct("alone", *[c for c in carried if c != "alone"])).alias("p"))
+            .select("key", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in carried]),
             "pivots",
         )
-        met = members.join(pivots, "key").filter("root <> pivot_root")
-        pairs = met.select(F.least("cid", "pivot").alias("u"), F.greatest("cid", "pivot").alias("v")).distinct()
+        # J >= t needs an intersection of t / (1 + t) of both sizes together.
+        together = F.least(F.col("size") - F.col("alone"), F.col("pivot_size") - F.col("pivot_alone"))
+        needed = similarity / (1 + similarity) * (F.col("size") + F.col("pivot_size")) - 1e-9
+        missed = F.least("first_size", F.lit(BITS)) - F.bit_count(F.col("bits").bitwiseAND(F.col("pivot_bits")))
+        within = F.col("first_size") - missed + F.least("rest", "pivot_rest")
+        # After the first round a pair that shares several buckets is taken in the least of them.
+        first_shared = F.array_min(F.array_intersect("bands", "pivot_bands")) == F.col("key")
+        met = members.join(
+            pivots.withColumnRenamed("key", "pivot_key"),
+            (F.col("key") == F.col("pivot_key"))
+            & F.coalesce(first_shared, F.lit(True))
+            & (F.col("root") != F.col("pivot_root"))
+            & (~F.col("crowded") | ((together >= needed) & F.coalesce(within >= needed, F.lit(True)))),
+        )
+        ends = [(F.col("cid"), F.col("root")), (F.col("pivot_cid"), F.col("pivot_root"))]
+        low, high = (f(*[F.struct(c.alias("cid"), r.alias("root")) for c, r in ends]) for f in (F.least, F.greatest))
+        pairs = met.select(low.alias("low"), high.alias("high")).distinct().select(
+            F.col("low.cid").alias("u"), F.col("high.cid").alias("v"), F.col("low.root").alias("ru"), F.col("high.root").alias("rv")
+        )
         pairs = written(pairs.join(compared, ["u", "v"], "left_anti"), "pairs")
-        compared = compared.unionByName(pairs)
+        compared = compared.unionByName(pairs.select("u", "v"))
         sides = pairs.join(contents.select(F.col("cid").alias("v"), F.col("content").alias("b")), "v").join(
             contents.select(F.col("cid").alias("u"), F.col("content").alias("a")), "u"
         )
-        found = sides.select("u", "v", "a", "b").mapInArrow(lambda b: _similar(b, similarity), "u long, v long")
-        links = written(links.unionByName(found), "links")
-        roots = components(links, "u", "v").withColumnRenamed("node", "cid")
-        members = (
-            members.select("key", "cid")
-            .join(pivots.select("key", F.col("pivot").alias("cid")), ["key", "cid"], "left_anti")
-            .join(roots, "cid", "left")
-            .select("key", "cid", F.coalesce("root", "cid").alias("root"))
+        verdicts = written(
+            sides.select("u", "v", "ru", "rv", "a", "b").mapInArrow(
+                lambda b: _compared(b, similarity),
+                "u long, v long, ru long, rv long, similar boolean, common long, u_bits long, v_bits long",
+            ),
+            "verdicts",
         )
-        pivots_per_bucket *= 4
+        found = verdicts.filter("similar").select("u", "v", "ru", "rv")
+        links = links.unionByName(found.select("u", "v"))
+        done = pivots.select("key", F.col("pivot_cid").alias("cid"))
+        members = members.join(done, ["key", "cid"], "left_anti")
+        if pivots_per_bucket == 1:
+            seen = verdicts.select(F.col("u").alias("cid"), F.col("v").alias("pivot_cid"), "common", F.col("u_bits").alias("bits"))
+            seen = seen.unionByName(
+                verdicts.select(F.col("v").alias("cid"), F.col("u").alias("pivot_cid"), "common", F.col("v_bits").alias("bits"))
+            )
+            rest = F.greatest(F.col("size") - F.col("common") - F.col("alone"), F.lit(0))
+            members = (
+                members.drop("first_size", "bits", "rest", "bands")
+                .join(bands, "cid")
+                .join(pivots.filter(F.col("pivot_size").isNotNull()).select("key", "pivot_cid", F.col("pivot_size").alias("first_size")), "key", "left")
+                .join(seen, ["cid", "pivot_cid"], "left")
+                .withColumn("rest", rest)
+                .drop("pivot_cid", "common")
+            )
+        members = written(members, "members")
+        if members.isEmpty():
+            return links
+        if not found.isEmpty():
+            roots = components(found, "ru", "rv").select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+            members = members.join(roots, "root", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
+        pivots_per_bucket *= GROWTH
 
 
 def _clusters(docs: DataFrame, min_words: int, similarity: float, recall: float) -> DataFrame:
@@ -248,9 +353,9 @@ def _clusters(docs: DataFrame, min_words: int, similarity: float, recall: float)
     classes = units.groupBy("c1", "c2").agg(F.first("bands").alias("bands"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("cid", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = written(buckets.join(shared, "key").select("key", "cid"), "members")
-    wanted = classes.select("c1", "c2", "cid").join(members.select("cid").distinct(), "cid", "left_semi")
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = written(buckets.join(shared, "key").select("key", "cid", "n"), "members")
+    wanted = classes.select("c1", "c2", "cid").join(members.select("cid"), "cid", "left_semi")
     contents = texts.select("text").mapInArrow(
         lambda batches: _contents(batches, least), "c1 long, c2 long, content binary"
     )
@@ -258,7 +363,8 @@ def _clusters(docs: DataFrame, min_words: int, similarity: float, recall: float)
     contents = written(
         contents.join(wanted, ["c1", "c2"]).groupBy("cid").agg(F.min("content").alias("content")), "contents"
     )
-    roots = components(_links(members, contents, similarity), "u", "v").withColumnRenamed("node", "cid")
+    links = _links(members, contents, classes.select("cid", "bands"), similarity)
+    roots = components(links, "u", "v").withColumnRenamed("node", "cid")
     placed = classes.select("c1", "c2", "cid").join(roots, "cid", "left").select(
         "c1", "c2", F.coalesce("root", "cid").alias("component")
     )
