@@ -124,24 +124,24 @@ def fold_merges(vocabulary: Vocabulary):
         """``use(value)`` with the value computed once."""
         return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def merged(a: Column, b: Column) -> Column:
+    def merged(ranks: Column, a: Column, b: Column) -> Column:
         slot = (F.crc32(F.concat(a, b).cast("binary")) % BUCKETS).cast("int")
         # Found at p: the token stands at p + 3. Not found (0): the third character is NONE.
         return bound(
-            F.get(rank_map, slot),
+            F.get(ranks, slot),
             lambda bucket: F.substring(bucket, F.position(F.concat(F.lit(START), a, b), bucket) + 3, one),
         )
 
-    def step(state: Column, _: Column) -> Column:
+    def step(ranks: Column, state: Column) -> Column:
         """The state has the tokens and the merged token of each adjacent pair."""
         tokens, pairs = F.get(state, F.lit(0)), F.get(state, F.lit(1))
 
         def merge(least: Column) -> Column:
             def at(p: Column) -> Column:
-                before = F.when(p > 1, merged(F.substring(tokens, p - 1, one), least)).otherwise(empty)
+                before = F.when(p > 1, merged(ranks, F.substring(tokens, p - 1, one), least)).otherwise(empty)
                 after = bound(
                     F.substring(tokens, p + 2, one),
-                    lambda c: F.when(c == "", empty).otherwise(merged(least, c)),
+                    lambda c: F.when(c == "", empty).otherwise(merged(ranks, least, c)),
                 )
                 return F.array(
                     F.concat(F.substring(tokens, one, p - 1), least, F.substring(tokens, p + 2, rest)),
@@ -154,18 +154,22 @@ def fold_merges(vocabulary: Vocabulary):
         # Characters sort by rank: the least pair is the next to merge, the first of equals.
         return F.when(pairs == "", state).otherwise(bound(F.array_min(F.split(pairs, "")), merge))
 
-    def folded(tokens: Column) -> Column:
+    def folded(ranks: Column, tokens: Column) -> Column:
         size = F.char_length(tokens)
         pairs = F.transform(
-            F.sequence(one, size - 1), lambda i: merged(F.substring(tokens, i, one), F.substring(tokens, i + 1, one))
+            F.sequence(one, size - 1),
+            lambda i: merged(ranks, F.substring(tokens, i, one), F.substring(tokens, i + 1, one)),
         )
         start = F.array(tokens, F.array_join(pairs, ""))
-        last = F.aggregate(F.sequence(one, size - 1), start, step, lambda s: F.get(s, F.lit(0)))
+        last = F.aggregate(
+            F.sequence(one, size - 1), start, lambda state, _: step(ranks, state), lambda s: F.get(s, F.lit(0))
+        )
         return F.when(size < 2, tokens).otherwise(last)
 
     def fold(word: Column) -> Column:
         single = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), latin, first)
-        return bound(single, folded)
+        # The literal stands in the plan once.
+        return bound(rank_map, lambda ranks: bound(single, lambda tokens: folded(ranks, tokens)))
 
     return fold
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .labelled import training_rows
 from .shared import documents
 
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 PASSAGE_WORDS = 100
 HIDDEN, ATTENTION = 16, 8
 STEPS, RATE, DECAY = 400, 0.02, 1e-4
