@@ -13,6 +13,7 @@ from .chat_format import format_conversations
 from .decontamination import leaked_items
 from .exact_dedup import exact_duplicates
 from .paragraph_dedup import repeated_paragraphs
+from .passage_dedup import repeated_passages
 from .sharding import shard_documents
 from .simhash_neardup import near_duplicates
 from .url_filters import judge_urls, rules_table
@@ -158,6 +159,12 @@ def paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
+@query("op9_passage_dedup")
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that stand inside longer lines or over line breaks."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op10_chat_format",
     r"""
