@@ -147,3 +147,51 @@ def test_query(spark):
     found = queries.QUERIES["op10_chat_format"](spark, SF).collect()
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     assert sorted((r.conv_id, r.turn, r.role) for r in found) == sorted((r.conv_id, r.turn, r.role) for r in rows)
+
+
+def wordings(seed):
+    """Conversations whose speakers differ by wording, one of them long; and the true roles."""
+    rng = random.Random(seed)
+    asks = ["How does {} work?", "Please explain {}\nwhat about {}?", "can you write {} for me?"]
+    says = ["Sure, here is {}.", "Certainly. The {} is simple", "Of course: {}"]
+    rows = []
+    for c in range(120):
+        for t in range(200 if c == 7 else 6):
+            text = rng.choice(asks if t % 2 == 0 else says).replace("{}", rng.choice(["rain", "a tree", "bread"]))
+            rows.append((c, t, ("Human", " AI ")[t % 2] if c % 5 else ("user", "assistant")[t % 2], text))
+    return rows, {(r[0], r[1]): ("user", "assistant")[r[1] % 2] for r in rows}
+
+
+def test_roles_are_recovered_from_raw_transcripts(spark, monkeypatch):
+    rows, truth = wordings(4)
+    monkeypatch.setattr(C, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(C, "SHIFT", 2)
+    found = C.recovered_roles(frame(spark, rows), F.col("conv_id") % 4 == 0).collect()
+    assert sorted((r.conv_id, r.turn) for r in found) == sorted(truth)
+    assert all(r.given_role == truth[r.conv_id, r.turn] for r in found)
+    bare = [r for r in found if not r.marked]
+    assert 0.15 * len(found) < len(bare) < 0.35 * len(found)
+    for part in (bare, [r for r in found if r.marked], [r for r in bare if r.held_out]):
+        assert sum(r.role == truth[r.conv_id, r.turn] and r.begins for r in part) >= 0.9 * len(part) > 0
+
+
+def test_transcripts_hold_every_line_and_no_role(spark):
+    raw, turns = C.transcripts_of(C.blocks_of(frame(spark)))
+    assert all(r.roles == [None] and len(r.texts) == 1 for r in raw.collect())
+    lines = {r.place: r.texts[0].split("\n") for r in raw.collect()}
+    texts = Counter(t or "" for *_, t in ROWS)
+    for r in turns.collect():
+        line = lines[r.place][r.line]
+        line = C.marker_of(line)[1] if r.marked else line
+        assert any(t.split("\n")[0] in (line, line.lstrip()) for t in texts)
+    assert turns.count() == len(ROWS)
+    assert C.recovered_roles(frame(spark, []), F.lit(False)).count() == 0
+
+
+def test_roles_query(spark):
+    found = queries.QUERIES["op10_transcript_roles"](spark, SF).collect()
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    assert sorted((r.conv_id, r.turn, r.given_role) for r in found) == sorted((r.conv_id, r.turn, r.role) for r in rows)
+    marked = [r for r in found if r.marked]
+    assert 0 < len(marked) < len(found)
+    assert sum(r.role == r.given_role for r in marked) >= 0.98 * len(marked)

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import documents, written
@@ -99,6 +99,16 @@ def feature_of(line: str) -> int:
     return ((cue * 2 + asks) * 4 + size) * 2 + listed
 
 
+#: Markers that transcripts are written with; so many of 8 turns go without.
+SPELLINGS = {
+    "system": ("System: ", "### Instructions: ", "<|im_start|>system ", "[SYSTEM] ", "**Context**: ", "sys: "),
+    "user": ("User: ", "### Human: ", "<|im_start|>user ", "[USER] ", "**Customer**: ", "Q: "),
+    "assistant": ("Assistant: ", "### AI: ", "<|im_start|>assistant ", "[BOT] ", "**Model**: ", "A: "),
+    "tool": ("Tool: ", "### Function: ", "<|im_start|>tool ", "[TOOL] ", "**Observation**: ", "function: "),
+}
+UNMARKED = 2
+
+
 class Model:
     """Log chances of the start, of steps between states, and of what is seen in a state."""
 
@@ -398,3 +408,67 @@ def parse_transcripts(transcripts: DataFrame, conversations: DataFrame) -> DataF
         "conv_id", F.lit(0).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), "text"
     )
     return _formatted(blocks_of(rows), fit(blocks_of(conversations)))
+
+
+# Transcripts whose roles are known
+
+
+def transcripts_of(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw transcripts of conversations, and where their turns stand in them.
+
+    The first frame has the blocks with their turns put together to one text each, without
+    roles; turns begin with a marker in one of several spellings or, for a share of them, none.
+    The second has ``place, line, conv, conv_id, turn, given_role, marked``: the first line of each
+    turn in the text of its block.
+    """
+    known = F.create_map(*[F.lit(x) for name, role in ALIASES.items() for x in (name, role)])
+    spelled = F.create_map(*[x for role, marks in SPELLINGS.items() for x in (F.lit(role), F.array(*map(F.lit, marks)))])
+    each = blocks.select("conv", "conv_id", "place", F.posexplode(F.arrays_zip("turns", "roles", "texts")).alias("at", "row"))
+    each = each.select(
+        "conv", "conv_id", "place", "at",
+        F.col("row.turns").alias("turn"), F.col("row.roles").alias("name"), F.col("row.texts").alias("text"),
+    )
+    given = F.try_element_at(known, F.regexp_replace(F.lower("name"), r"^[\s<|>\[\]#*:]+|[\s<|>\[\]#*:]+$", ""))
+    pick = F.pmod(F.xxhash64("conv", "turn", "at", "text"), F.lit(8)).cast("int")
+    each = each.withColumn("given_role", given).withColumn(
+        "mark", F.coalesce(F.get(F.try_element_at(spelled, F.col("given_role")), pick - UNMARKED), F.lit(""))
+    )
+    before = Window.partitionBy("place").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    lines = F.size(F.split("text", "\n", -1))
+    turns = each.select(
+        "place", F.coalesce(F.sum(lines).over(before), F.lit(0)).cast("int").alias("line"),
+        "conv", "conv_id", "turn", "given_role", (F.col("mark") != "").alias("marked"), "at", "mark", "text",
+    )
+    turns = written(turns, "turns")
+    texts = turns.groupBy("conv", "place").agg(
+        F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("at", F.concat("mark", "text").alias("x")))).alias("all")
+    )
+    raw = texts.select(
+        "conv", "conv_id", "place", F.array("place").alias("turns"), F.array(F.lit(None).cast("string")).alias("roles"),
+        F.array(F.array_join("all.x", "\n")).alias("texts"),
+    )
+    return written(raw, "transcripts"), turns.drop("at", "mark", "text")
+
+
+def recovered_roles(conversations: DataFrame, held_out: Column) -> DataFrame:
+    """Each turn's role as it is read from raw transcripts of all conversations.
+
+    ``conv_id, turn, held_out, marked, given_role, role, begins``: the role that the table
+    gives and the one that the best path recovers without it, and whether a turn begins there.
+    The model is counted over the conversations that aren't held out; ``held_out`` is a
+    condition on ``conv_id``.
+    """
+    apart = F.coalesce(held_out, F.lit(False))
+    blocks = blocks_of(conversations)
+    raw, turns = transcripts_of(blocks)
+    found = _formatted(raw, fit(blocks.filter(~apart))).withColumnRenamed("turn", "place")
+    # Lines of a segment: its line breaks, without that of its header.
+    count = F.size(F.split("text", "\n", -1)) - 1 - (~F.col("continues")).cast("int")
+    upto = F.sum("n").over(Window.partitionBy("place").orderBy("segment"))
+    segments = found.select("place", "segment", "role", "continues", count.alias("n")).withColumn("lo", upto - F.col("n"))
+    lines = segments.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select(
+        "place", (F.col("lo") + F.col("k")).cast("int").alias("line"), "role", ((F.col("k") == 0) & ~F.col("continues")).alias("begins")
+    )
+    return turns.join(lines, ["place", "line"]).select(
+        "conv_id", "turn", apart.alias("held_out"), "marked", "given_role", "role", "begins"
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, labelled, quality, toxicity
-from .chat_format import format_conversations
+from .chat_format import format_conversations, recovered_roles
 from .decontamination import leaked_items
 from .exact_dedup import exact_duplicates
 from .paragraph_dedup import repeated_paragraphs
@@ -175,3 +175,9 @@ def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op10_transcript_roles")
+def transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles recovered from raw transcripts of all conversations; the model sees three quarters of them."""
+    return recovered_roles(table(spark, sf_dir, "conversations"), labelled.hash_remainder(F.col("conv_id"), 4) == 0)
