@@ -99,3 +99,12 @@ def test_query(spark):
     check_law(rows, docs, 16)
     kept, all_pairs = together(rows, docs)
     assert kept == all_pairs
+
+
+def test_the_last_few_moves_are_made(spark, monkeypatch):
+    """One move among 2,002 linked documents."""
+    parts = spark.createDataFrame([(b"a", 0, 2000), (b"b", 0, 1), (b"b", 1, 1)], "g binary, shard int, c long")
+    monkeypatch.setattr(S, "_spread", lambda *_: parts)
+    state, sizes = S.propagate(parts.groupBy("g").agg(F.sum("c").alias("n")), 2002, [2010, 2010])
+    assert sorted((bytes(r.g), r.shard, r.c) for r in state.collect()) == [(b"a", 0, 2000), (b"b", 1, 2)]
+    assert sizes == [2000, 2]

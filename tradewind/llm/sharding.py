@@ -20,6 +20,8 @@ empty if there are fewer rows than shards.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +29,6 @@ from pyspark.sql import functions as F
 from .shared import blocks_for, documents, running_total, with_row_id, written
 
 SHARDS = 16
-#: Rounds of propagation at most, and the share of linked documents below which they end.
-ROUNDS, SETTLED = 12, 0.001
 #: Share of its quota that a shard must have free to be a target while others have room.
 ROOM = 0.01
 
@@ -60,8 +60,8 @@ def _spread(groups: DataFrame, shards: int, blocks: int) -> DataFrame:
     dealt = running_total(groups, [], ["g"], F.col("n"), "before", blocks)
     each = dealt.withColumn("shard", F.explode(F.array(*[F.lit(s) for s in range(shards)])))
     turn = F.pmod(F.col("shard") - F.col("before"), F.lit(shards))
-    count = F.expr(f"n div {shards}") + (turn < F.col("n") % shards).cast("long")
-    return each.select("g", "shard", count.alias("c")).filter("c > 0")
+    members = F.expr(f"n div {shards}") + (turn < F.col("n") % shards).cast("long")
+    return each.select("g", "shard", members.alias("c")).filter("c > 0")
 
 
 def _requests(state: DataFrame, open_shards: list[int]) -> DataFrame:
@@ -79,13 +79,17 @@ def _requests(state: DataFrame, open_shards: list[int]) -> DataFrame:
 
 
 def propagate(
-    groups: DataFrame, members: int, quota: list[int], rounds: int = ROUNDS
+    groups: DataFrame, members: int, quota: list[int], rounds: int | None = None
 ) -> tuple[DataFrame, list[int]]:
-    """Members of each group by shard (``g, shard, c``), and of each shard."""
+    """Members of each group by shard (``g, shard, c``), and of each shard.
+
+    Goes on until nothing is granted, or for so many ``rounds``. It ends: every move adds to
+    the sum of squares of a group's counts, since it goes to the group's largest part.
+    """
     spark, shards = groups.sparkSession, len(quota)
     blocks = blocks_for(members)
     state = written(_spread(groups, shards, blocks), "state")
-    for done in range(rounds + 1):
+    for done in count():
         sizes = np.zeros(shards, np.int64)
         for r in state.groupBy("shard").agg(F.sum("c").alias("c")).collect():
             sizes[r.shard] = r.c
@@ -98,7 +102,7 @@ def propagate(
         for r in requests.groupBy("shard", "target").agg(F.sum("c").alias("c")).collect():
             wants[r.shard, r.target] = r.c
         given = grants(wants, free)
-        if given.sum() <= SETTLED * members:
+        if not given.any():
             break
         # One row per pair of shards.
         quota_of = spark.createDataFrame(
@@ -117,7 +121,7 @@ def propagate(
     return state, [int(s) for s in sizes]
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``."""
     text = F.col("text").cast("string")
     rows = written(
