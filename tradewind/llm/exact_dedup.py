@@ -43,7 +43,7 @@ def _route(block: Column, width: int) -> Column:
 
 
 def _named(distinct: DataFrame, order: list[str]) -> DataFrame:
-    """Integer names in sorted order: unique, and equal only for equal rows."""
+    """Integer names, unique and equal only for equal rows; sorted within partitions, not over the corpus."""
     return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
 
 
