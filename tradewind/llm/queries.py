@@ -14,6 +14,7 @@ from .decontamination import leaked_items
 from .exact_dedup import exact_duplicates
 from .paragraph_dedup import repeated_paragraphs
 from .passage_dedup import repeated_passages
+from .run_detection import periodic_runs, repeated_tails, run_report
 from .sharding import shard_documents
 from .simhash_neardup import near_duplicates
 from .url_filters import judge_urls, rules_table
@@ -181,3 +182,8 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles recovered from raw transcripts of all conversations; the model sees three quarters of them."""
     return recovered_roles(table(spark, sf_dir, "conversations"), labelled.hash_remainder(F.col("conv_id"), 4) == 0)
+
+
+@query("op12_periodic_runs")
+def periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(periodic_runs(repeated_tails(table(spark, sf_dir, "documents"))))
