@@ -14,6 +14,7 @@ from .decontamination import leaked_items
 from .exact_dedup import exact_duplicates
 from .paragraph_dedup import repeated_paragraphs
 from .passage_dedup import repeated_passages
+from .ranked_search import ranked_search
 from .run_detection import periodic_runs, repeated_tails, run_report
 from .sharding import shard_documents
 from .simhash_neardup import near_duplicates
@@ -187,3 +188,43 @@ def transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_periodic_runs")
 def periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(periodic_runs(repeated_tails(table(spark, sf_dir, "documents"))))
+
+
+@query(
+    "op11_ranked_search",
+    r"""
+    WITH words AS (
+        SELECT row_number() OVER () AS row_id, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents
+    ), sizes AS (
+        SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM words
+    ), items AS (
+        SELECT item_id,
+               unnest(list_distinct(regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+        FROM benchmark
+    ), postings AS (
+        SELECT row_id, doc_id, len(terms) AS n, term, count(*) AS tf
+        FROM (SELECT row_id, doc_id, terms, unnest(terms) AS term FROM words)
+        WHERE term IN (SELECT term FROM items)
+        GROUP BY ALL
+    ), weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM postings, sizes GROUP BY term
+    ), scores AS (
+        SELECT item_id, row_id, doc_id,
+               sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))))::BIGINT AS score
+        FROM items JOIN postings USING (term) JOIN weights USING (term), sizes
+        GROUP BY item_id, row_id, doc_id
+    )
+    SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score
+    FROM scores WHERE score > 0
+    WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)
+    QUALIFY row_number() OVER best <= 50
+    """,
+)
+def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
