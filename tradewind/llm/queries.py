@@ -12,6 +12,7 @@ from . import bpe, labelled, quality, toxicity
 from .chat_format import format_conversations, recovered_roles
 from .decontamination import leaked_items
 from .exact_dedup import exact_duplicates
+from .html_extraction import main_texts
 from .paragraph_dedup import repeated_paragraphs
 from .passage_dedup import repeated_passages
 from .ranked_search import ranked_search
@@ -228,3 +229,8 @@ def periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
