@@ -200,13 +200,20 @@ def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def waybill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An XML text per order, in three layouts; some lines have a quantity that is no number."""
+    """An XML text per order, in three layouts; some lines have a quantity that is no number.
+
+    The first layout nests containers of one name, and the names of its products are CDATA
+    that holds a closing tag.
+    """
     known = F.col("l_partkey") % 97 != 0
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("place"),
         F.concat(
-            F.lit("<name>part "), "l_partkey", F.lit(" &amp; co</name><quantity>"),
+            F.lit("<name>"),
+            F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("<![CDATA[part "), "l_partkey", F.lit(" </Product> & co]]>")))
+            .otherwise(F.concat(F.lit("part "), "l_partkey", F.lit(" &amp; co"))),
+            F.lit("</name><quantity>"),
             F.when(known, F.col("l_quantity").cast("long").cast("string")).otherwise(F.lit("many")),
             F.lit("</quantity><price>"), F.format_string("%.2f", "l_extendedprice"), F.lit("</price>"),
         ).alias("fields"),
@@ -228,8 +235,8 @@ def waybill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             layout == 0,
             F.concat(
                 F.lit("<s:Waybill xmlns:s='u'><s:WaybillNumber>"), key, F.lit("</s:WaybillNumber>"), head,
-                F.lit("<Products>"), elements("Product", 1, F.lit(1)), F.lit("</Products><Products/><More><Products>"),
-                elements("Product", 2), F.lit("</Products></More></s:Waybill>"),
+                F.lit("<Products/><More><Products><Products>"), elements("Product", 2),
+                F.lit("</Products>"), elements("Product", 1, F.lit(1)), F.lit("</Products></More></s:Waybill>"),
             ),
         )
         .when(layout == 1, F.concat(F.lit("<invoice><invoice_id>"), key, F.lit("</invoice_id>"), head, F.lit("<products>"), elements("product"), F.lit("</products></invoice>")))

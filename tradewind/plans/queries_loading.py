@@ -10,7 +10,7 @@ from ..operators import stitching as ST
 from ..operators.documents import extract_documents
 from ..session import shared_folder
 from ..sources.usage_log import usage_by_user_model, usage_costs
-from ..sources.waybills import bad_lines, good_lines, parse_waybills, stream_waybill_xml
+from ..sources.waybills import bad_lines, good_lines, parse_waybills, read_waybill_records, stream_waybill_xml
 from ..streaming import waybill_stream as WS
 from . import sql as S
 from .catalog import query
@@ -86,7 +86,7 @@ _XML = """x AS (SELECT o_orderkey, o_custkey, o_orderdate, l_partkey, l_quantity
   FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey),
 w AS (SELECT CAST(o_orderkey AS VARCHAR) AS invoice_id, strftime(o_orderdate, '%Y-%m-%d') AS date, '' AS seller_name, '' AS seller_address,
     'buyer ' || o_custkey AS buyer_name, '' AS buyer_address, '' AS buyer_barcode,
-    CASE WHEN has THEN 'part ' || l_partkey || ' & co' ELSE '' END AS product_name,
+    CASE WHEN has THEN 'part ' || l_partkey || CASE WHEN o_orderkey % 3 = 0 THEN ' </Product>' ELSE '' END || ' & co' ELSE '' END AS product_name,
     CASE WHEN has THEN floor(l_quantity) ELSE 0 END AS quantity,
     CASE WHEN has THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) ELSE 0 END AS price,
     CAST(line_no AS INTEGER) AS line_no, has AND l_partkey % 97 = 0 AS bad FROM x)"""
@@ -108,6 +108,18 @@ def _(spark, sf):
     return bad_lines(parse_waybills(waybill_texts(spark, sf)))
 
 
+@query(
+    "waybill_xml_records",
+    f"""WITH {_XML} SELECT w.* EXCLUDE (bad), {S.exact_round('(quantity * price)', 2)} AS line_total
+    FROM w WHERE NOT bad AND CAST(invoice_id AS BIGINT) % 3 = 0""",
+)
+def _(spark, sf):
+    """Files of many waybills of one layout, cut into input splits by their closing tags."""
+    folder = shared_folder(spark, "waybill-records")
+    waybill_texts(spark, sf).write.text(f"{folder}/in")
+    return read_waybill_records(spark, f"{folder}/in", "Waybill", "s")
+
+
 @query(
     "waybill_xml_stream",
     f"""WITH {_XML}, g AS (SELECT w.* EXCLUDE (bad), {S.exact_round('(quantity * price)', 2)} AS line_total,
