@@ -197,7 +197,7 @@ def resolve_stores(documents: DataFrame, stores: DataFrame) -> tuple[DataFrame,
     return linked, rows
 
 
-def new_products(items: DataFrame, products: DataFrame) -> DataFrame:
+def new_products(items: DataFrame, products: DataFrame, work: str | None = None) -> DataFrame:
     """Products to create: one per new trimmed name, first price as default.
 
     items: doc_id, line_no, name, unit_price. Ids follow the first appearance.
@@ -214,7 +214,7 @@ def new_products(items: DataFrame, products: DataFrame) -> DataFrame:
         F.col("first.line_no").alias("first_line"),
     )
     return assign_ids(
-        missing, [order_block("first_doc")], ["first_doc", "first_line", "name"], next_id(products)
+        missing, [order_block("first_doc")], ["first_doc", "first_line", "name"], next_id(products), work=work
     ).select("id", "name", "unit", "default_unit_price")
 
 

@@ -1,4 +1,10 @@
-"""Numbering of rows and surrogate ids, without passing a whole group through one task."""
+"""Numbering of rows and surrogate ids, without passing a whole group through one task.
+
+Two ways with one result. Planned: blocks are numbered by windows and their sizes added up, no
+job runs. Through a ledger: rows are sorted once over all partitions and written with their
+place in their partition; the ledger holds one count per partition, and its running sums turn
+places into numbers when the rows are read.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import kept_in
+
 BLOCK = 1 << 20
 BLOCKS_PER_RUN = 1 << 12
 
@@ -66,15 +74,59 @@ def number_rows(
     )
 
 
+def ledger_numbers(df: DataFrame, order: Sequence[str | Column], work: str, name: str) -> DataFrame:
+    """Add the place 1, 2, ... of each row in the order over all rows, through a ledger.
+
+    Rows are range-partitioned once, by bounds that Spark samples, and written; what they are
+    read from is best a written table too, as sampling reads it once more. Equal rows have any
+    order. A lost executor costs the partitions it held, numbers do not change: they are read
+    from files.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = kept_in(work, "numbered", ranged.withColumns({"_part": F.spark_partition_id(), "_place": place}))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ledger = (
+        rows.groupBy("_part")
+        .agg((F.max("_place") + 1).alias("_size"))
+        .select(F.col("_part").alias("_part"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    )
+    # One row per partition that was written.
+    return (
+        rows.join(F.broadcast(ledger), "_part")
+        .withColumn(name, F.col("_before") + F.col("_place") + 1)
+        .drop("_part", "_place", "_before")
+    )
+
+
+def ledger_ranks(df: DataFrame, group: Sequence[str], order: Sequence[str], work: str, name: str) -> DataFrame:
+    """Number rows 1.. within each group, of any size: places over all rows, less the group's first."""
+    placed = kept_in(work, "ranked", ledger_numbers(df, [*group, *order], work, "_at"))
+    first = placed.groupBy(*group).agg(F.min("_at").alias("_first"))
+    return (
+        placed.join(first.select(*[F.col(g).alias(g) for g in group], "_first"), list(group))
+        .withColumn(name, F.col("_at") - F.col("_first") + 1)
+        .drop("_at", "_first")
+    )
+
+
 def assign_ids(
-    df: DataFrame, blocks: Sequence[Column], order: Sequence[str], after: Column, name: str = "id"
+    df: DataFrame,
+    blocks: Sequence[Column],
+    order: Sequence[str],
+    after: Column,
+    name: str = "id",
+    work: str | None = None,
 ) -> DataFrame:
     """Add ids ``after + 1 ...`` ordered by (blocks, order); ``order`` must be unique.
 
-    ``blocks`` are whole numbers that follow the wanted order. Rows are numbered inside their
-    block; block sizes are added up inside runs of ``BLOCKS_PER_RUN`` blocks, and only one row
-    per run in a single task.
+    ``blocks`` are whole numbers that follow the wanted order. With a ``work`` folder ids are
+    given through a ledger. Without one, rows are numbered inside their block; block sizes are
+    added up inside runs of ``BLOCKS_PER_RUN`` blocks, and only one row per run in a single task.
     """
+    if work is not None:
+        placed = ledger_numbers(df, [*blocks, *order], work, "_at")
+        return placed.withColumn(name, (after + F.col("_at")).cast("long")).drop("_at")
     keys = [f"_block{i}" for i in range(len(blocks))]
     blocked = df.withColumns(dict(zip(keys, blocks)))
     run = F.floor(F.col(keys[0]) / BLOCKS_PER_RUN).alias("_run")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,19 +10,16 @@ from .. import fixed_values as V
 from ..functions.documents import waybill_number
 from ..functions.matching import waybill_keys
 from ..functions.money import as_double
-from ..session import kept_in
-from .keys import number_rows, order_block
+from ..session import kept_in, kept_in_buckets
+from .keys import ledger_ranks, number_rows, order_block
+from .results import Tables
 
 NO_LINE = 999_999
 LINE_BLOCK = 1 << 12
 
 
-class Stitched(NamedTuple):
-    stores: DataFrame
-    invoices: DataFrame
-    items: DataFrame
-    links: DataFrame
-    summary: DataFrame
+class Stitched(Tables):
+    """Tables after the merge: stores, invoices, items; and links, summary."""
 
 
 def invoice_keys(invoices: DataFrame) -> DataFrame:
@@ -68,21 +63,29 @@ def _line_blocks(line: Column, row_id: Column) -> dict[str, Column]:
     }
 
 
-def move_items(items: DataFrame, links: DataFrame) -> DataFrame:
-    """Items of appendices under their parent, numbered after the parent's last line."""
+def move_items(items: DataFrame, links: DataFrame, work: str | None = None) -> DataFrame:
+    """Items of appendices under their parent, numbered after the parent's last line.
+
+    With a ``work`` folder moved items are numbered through a ledger; items and links that are
+    bucketed by invoice and appendix are not shuffled to meet.
+    """
     # One join tells both parts apart, so items and links are shuffled once for them.
     linked = items.join(links.withColumnRenamed("appendix_id", "invoice_id"), "invoice_id", "left")
     moved = linked.filter(F.col("parent_id").isNotNull())
     line = F.coalesce(F.col("line_no").cast("long"), F.lit(NO_LINE))
     keyed = moved.withColumn("_line", line)
-    numbered = number_rows(
-        keyed,
-        ["parent_id"],
-        order_block("invoice_id"),
-        {"appendix": F.col("invoice_id"), **_line_blocks(F.col("_line"), F.col("id"))},
-        ["_line", "id"],
-        "_rank",
-    )
+    if work is not None:
+        moved_rows = kept_in(work, "moved-items", keyed)
+        numbered = ledger_ranks(moved_rows, ["parent_id"], ["invoice_id", "_line", "id"], work, "_rank")
+    else:
+        numbered = number_rows(
+            keyed,
+            ["parent_id"],
+            order_block("invoice_id"),
+            {"appendix": F.col("invoice_id"), **_line_blocks(F.col("_line"), F.col("id"))},
+            ["_line", "id"],
+            "_rank",
+        )
     last = items.groupBy(F.col("invoice_id").alias("parent_id")).agg(
         F.max(F.coalesce("line_no", F.lit(0))).alias("_last")
     )
@@ -183,38 +186,51 @@ def stitch_appendices(
 ) -> Stitched:
     """Merge appendices of the placeholder store into their parent invoices.
 
-    Every part reads the links; with a ``work`` folder they are written there first.
+    Every part reads the links. With a ``work`` folder links, headers and items are written
+    there, bucketed by invoice, so that each is shuffled once however many parts read it.
     """
     is_placeholder = F.trim("name") == placeholder
     unknown = stores.filter(is_placeholder).select(F.col("id").alias("store_id"))
     real = stores.filter(~is_placeholder).select(F.col("id").alias("store_id"))
+    invoices = kept_in_buckets(work, "headers", invoices, "id")
     appendices = invoices.join(unknown, "store_id", "left_semi")
     known = invoices.join(real, "store_id", "left_semi")
-    links = kept_in(work, "appendix-links", find_parents(appendices, known))
-
-    new_items = move_items(items, links)
-    notes = merged_notes(invoices, links, notes_limit).withColumnRenamed("parent_id", "id")
+    links = kept_in_buckets(work, "appendix_links", find_parents(appendices, known), "appendix_id")
     kept = invoices.join(links.select(F.col("appendix_id").alias("id")), "id", "left_anti")
-    noted = (
-        kept.join(notes.withColumnRenamed("notes", "_notes"), "id", "left")
-        .withColumn("notes", F.coalesce("_notes", "notes"))
-        .select(*invoices.columns)
-    )
-    new_invoices = recompute_totals(noted, new_items, links.select(F.col("parent_id").alias("id")))
     orphan = unknown.join(kept.select("store_id"), "store_id", "left_anti")
-    new_stores = stores.join(orphan.select(F.col("store_id").alias("id")), "id", "left_anti").select(*stores.columns)
-
-    one = F.count(F.lit(1))
-    seen = appendices.agg(one.alias("seen"))
-    stitched = links.agg(one).scalar()
-    summary = seen.select(
-        "seen",
-        stitched.alias("stitched"),
-        (F.col("seen") - stitched).alias("skipped"),
-        orphan.agg(one).scalar().alias("orphan_stores_deleted"),
-        (F.col("seen") - stitched).alias("remaining_unknown"),
+
+    def new_items() -> DataFrame:
+        dealt = kept_in_buckets(work, "items", items, "invoice_id")
+        return kept_in_buckets(work, "stitched_items", move_items(dealt, links, work), "invoice_id")
+
+    def new_invoices() -> DataFrame:
+        notes = merged_notes(invoices, links, notes_limit).withColumnRenamed("parent_id", "id")
+        noted = (
+            kept.join(notes.withColumnRenamed("notes", "_notes"), "id", "left")
+            .withColumn("notes", F.coalesce("_notes", "notes"))
+            .select(*invoices.columns)
+        )
+        return recompute_totals(noted, stitched.items, links.select(F.col("parent_id").alias("id")))
+
+    def summary() -> DataFrame:
+        one = F.count(F.lit(1))
+        merged = links.agg(one).scalar()
+        return appendices.agg(one.alias("seen")).select(
+            "seen",
+            merged.alias("stitched"),
+            (F.col("seen") - merged).alias("skipped"),
+            orphan.agg(one).scalar().alias("orphan_stores_deleted"),
+            (F.col("seen") - merged).alias("remaining_unknown"),
+        )
+
+    stitched = Stitched(
+        stores=lambda: stores.join(orphan.select(F.col("store_id").alias("id")), "id", "left_anti").select(*stores.columns),
+        invoices=new_invoices,
+        items=new_items,
+        links=lambda: links,
+        summary=summary,
     )
-    return Stitched(new_stores, new_invoices, new_items, links, summary)
+    return stitched
 
 
 def skipped_appendices(

@@ -204,7 +204,8 @@ def _import(spark, sf):
         F.format_string("%010d", "o_orderkey").alias("invoice_number"),
     )
     known_items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"))
-    return I.import_waybills(import_lines(spark, sf), known_stores, known_invoices, known_items)
+    work = shared_folder(spark, "import")
+    return I.import_waybills(import_lines(spark, sf), known_stores, known_invoices, known_items, work)
 
 
 _IMPORT = f"""WITH l AS (SELECT printf('%010d', o_orderkey) AS num, o_orderkey, o_orderstatus, o_orderdate, c_name, c_custkey, c_mktsegment,
@@ -298,7 +299,8 @@ def _ingest(spark, sf):
         F.format_string("%010d", "o_orderkey").alias("invoice_number"),
     )
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"))
-    return I.ingest_documents(docs, known, items, raw_products(spark, sf))
+    work = shared_folder(spark, "ingest")
+    return I.ingest_documents(docs, known, items, raw_products(spark, sf), work=work)
 
 
 _INGEST = f"""WITH {_DOCS},
@@ -513,7 +515,7 @@ inv_after AS (SELECT o_orderkey AS id, CASE WHEN apx THEN (SELECT max(c_custkey)
 
 
 def _stitched(spark, sf):
-    return ST.stitch_appendices(*stitch_tables(spark, sf))
+    return ST.stitch_appendices(*stitch_tables(spark, sf), work=shared_folder(spark, "stitch"))
 
 
 @query("stitch_links", f"{_STITCH} SELECT * FROM links")

@@ -51,3 +51,21 @@ def kept_in(folder: str | None, name: str, df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept_in_buckets(folder: str | None, name: str, df: DataFrame, *keys: str) -> DataFrame:
+    """The frame as a table of the session's catalog, bucketed and sorted by the keys.
+
+    Joins and sums on the keys read it without another shuffle. The number of buckets is that
+    of shuffle partitions, so tables that meet have as many. Without a folder the frame is
+    planned as it is and no job runs.
+    """
+    if folder is None:
+        return df
+    spark, label = df.sparkSession, f"{name}-{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = label.replace("-", "_")
+    # One task per bucket, so that a bucket is one file.
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{folder.rstrip('/')}/{label}").saveAsTable(table)
+    return spark.table(table)
