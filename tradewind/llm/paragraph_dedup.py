@@ -18,6 +18,15 @@ and of the first pivot's shingles (64 of them, as bits) those that either of the
 aren't either. So few of the many loose copies of one text are ever compared. No bucket is
 capped.
 
+Passages that stand inside longer lines, or run over line breaks, are paragraphs of their own:
+:func:`repeated_pieces` cuts each text at points that its words choose. Of every ``PIECE_STARTS``
+pieces of ``PIECE_WORDS`` words that begin one word after the other, the one with the least hash
+is a paragraph. The choice depends on the words alone, so any run of ``PIECE_STARTS`` +
+``PIECE_WORDS`` - 1 words (50) holds a piece that is chosen wherever the run stands. Pieces have
+one band, their words; 96 bits of hashes decide that they are equal. Neighbours in step with the
+same first place are joined to the passage that they cover, so a group of any number of copies
+costs a row per copy and piece.
+
 Defined results: words are compared without case and punctuation; shorter paragraphs are
 never repeats; repeats within one document only are not reported; null texts count as empty;
 the first paragraph is that of the smallest id (nulls last), then of the row read first, then
@@ -32,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -51,6 +60,8 @@ SMALL = 8
 GROWTH = 1024
 #: Shingles of a pivot that the others' bit patterns tell about.
 BITS = 64
+#: Words of a piece that a text is cut into, and neighbouring pieces of which one is chosen.
+PIECE_WORDS, PIECE_STARTS = 25, 26
 #: Bytes of text that a task looks at together.
 CHUNK = 1 << 21
 
@@ -97,8 +108,9 @@ def _class_hashes(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> t
     out = []
     with np.errstate(over="ignore"):
         for base, seed in ((BASE, np.uint64(0)), (STEP, np.uint64(0x5851F42D4C957F2D))):
-            powers = np.cumprod(np.full(count.max(), base, np.uint64))
-            total = np.add.reduceat(mixed(own ^ seed) * powers[place], skip)
+            # Each word is mixed with its place: sums of products would agree on some long sequences.
+            keys = np.cumprod(np.full(count.max(), base, np.uint64))
+            total = np.add.reduceat(mixed((own ^ seed) + keys[place]), skip)
             out.append(mixed(total + count.astype(np.uint64)))
     return out[0], out[1]
 
@@ -157,6 +169,50 @@ def _units(batches: Iterator[pa.RecordBatch], least: int, bands: int, rows: int)
             )
 
 
+def _extreme(values: np.ndarray, size: int, pick) -> np.ndarray:
+    """``pick`` (np.minimum or np.maximum) of every ``size`` neighbours."""
+    span = 1
+    while 2 * span <= size:
+        values = pick(values[:-span], values[span:])
+        span *= 2
+    rest = size - span
+    return pick(values[:-rest], values[rest:]) if rest else values
+
+
+def _chosen(hashes: np.ndarray, doc: np.ndarray, size: int, starts: int) -> np.ndarray:
+    """First words of the chosen pieces; ``doc`` tells the document of each word."""
+    length = size + starts - 1
+    if len(hashes) < length:
+        return np.empty(0, np.int64)
+    own = runs(hashes, size)
+    least = _extreme(own, starts, np.minimum)
+    # A stretch that runs over two documents chooses nothing.
+    inside = doc[: len(least)] == doc[length - 1 :]
+    least = np.where(inside, least, np.uint64(0))
+    padding = np.zeros(starts - 1, np.uint64)
+    greatest = _extreme(np.concatenate([padding, least, padding]), starts, np.maximum)
+    return np.flatnonzero((greatest == own) & (own != 0))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], size: int, starts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, _, part, offsets in _chunks(batch.column("text")):
+            begins, _, hashes = words(part)
+            doc = np.searchsorted(offsets, begins, "right") - 1
+            first = _chosen(hashes, doc, size, starts)
+            c1, c2 = _class_hashes(hashes, first, np.full(len(first), size))
+            before = np.searchsorted(begins, offsets)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row_id").take(pa.array(doc[first] + lo, pa.int64())),
+                    pa.array((first - before[doc[first]]).astype(np.int32)),
+                    pa.array(c1.view(np.int64)),
+                    pa.array((c2 >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                ],
+                names=["row_id", "word", "c1", "c2"],
+            )
+
+
 def _contents(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """The words of each paragraph, joined by blanks, under its class."""
     for batch in batches:
@@ -409,6 +465,77 @@ def repeated_paragraphs(
     )
 
 
+def repeated_pieces(docs: DataFrame, size: int = PIECE_WORDS, starts: int = PIECE_STARTS) -> DataFrame:
+    """One row per passage of ``size`` words or more that stands in several documents.
+
+    ``doc_id, first_word, n_words, first_doc, source_word, group_size, kept``: words count from
+    0 in the document, (``first_doc``, ``source_word``) is the first place of the passage, which
+    stays; ``group_size`` counts the places of its most frequent piece. Every run of
+    ``size + starts - 1`` words that stands in several documents is met; of shorter ones some.
+    """
+    rows = written(with_row_id(documents(docs, "doc_id", "text")), "docs")
+    lowered = F.concat(F.lower(text_of()), F.lit("\n")).cast("binary")
+    pieces = written(
+        rows.select("row_id", lowered.alias("text")).mapInArrow(
+            lambda batches: _pieces(batches, size, starts), "row_id long, word int, c1 long, c2 int"
+        ),
+        "pieces",
+    )
+    several = pieces.groupBy("c1").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high")).filter("low < high")
+    shared = written(
+        pieces.join(several.select(F.col("c1").alias("c1")), "c1").join(
+            rows.select("row_id", F.col("doc_id").isNull().alias("no_id"), "doc_id"), "row_id"
+        ),
+        "shared",
+    )
+    at = F.struct("no_id", "doc_id", "row_id", "word")
+    groups = (
+        shared.groupBy("c1", "c2")
+        .agg(
+            F.min(at).alias("first"),
+            F.count(F.lit(1)).alias("places"),
+            F.min("row_id").alias("low"),
+            F.max("row_id").alias("high"),
+        )
+        .filter("low < high")
+        .select("c1", "c2", "first", "places")
+    )
+    # Pieces in step with their first places, and not more than a choice apart, are one passage.
+    step = F.col("word") - F.col("first.word")
+    along = Window.partitionBy("row_id", "first.row_id", "step").orderBy("word")
+    gap = F.col("word") > F.lag("word", 1, -1 - starts).over(along) + starts
+    found = (
+        shared.join(groups, ["c1", "c2"])
+        .withColumn("step", step)
+        .withColumn("gap", gap.cast("int"))
+        .withColumn("run", F.sum("gap").over(along))
+    )
+    passages = found.groupBy("row_id", "doc_id", F.col("first.row_id").alias("source"), "step", "run").agg(
+        F.min("word").alias("first_word"),
+        (F.max("word") - F.min("word") + size).alias("n_words"),
+        F.min("first").alias("first"),
+        F.max("places").alias("group_size"),
+    )
+    return passages.select(
+        "doc_id",
+        "first_word",
+        "n_words",
+        F.col("first.doc_id").alias("first_doc"),
+        F.col("first.word").alias("source_word"),
+        "group_size",
+        ((F.col("row_id") == F.col("source")) & (F.col("step") == 0)).alias("kept"),
+    )
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """Repeated lines and repeated pieces in one table.
+
+    Rows of lines have ``line, first_line``, rows of pieces ``first_word, source_word``.
+    """
+    lines = repeated_paragraphs(docs)
+    return lines.unionByName(repeated_pieces(docs), allowMissingColumns=True)
+
+
 def remove_repeats(
     docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, recall: float = RECALL
 ) -> DataFrame:

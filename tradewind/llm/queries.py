@@ -13,7 +13,7 @@ from .chat_format import format_conversations, recovered_roles
 from .decontamination import leaked_items
 from .exact_dedup import exact_duplicates
 from .html_extraction import main_texts
-from .paragraph_dedup import repeated_paragraphs
+from .paragraph_dedup import repeats
 from .passage_dedup import repeated_passages
 from .ranked_search import ranked_search
 from .run_detection import periodic_runs, repeated_tails, run_report
@@ -159,7 +159,7 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_paragraph_dedup")
 def paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return repeats(table(spark, sf_dir, "documents"))
 
 
 @query("op9_passage_dedup")
