@@ -3,14 +3,14 @@
 A text is split into pieces by the vocabulary's pattern, and each piece is encoded by itself:
 a fold starts from its bytes and merges, step by step, the adjacent pair of the lowest rank.
 The fold is one higher-order expression over the bytes of a word. It looks pairs up in a
-literal rank map: an array of buckets, each a short string of (left, right, merged) entries,
+literal rank map, a table of one row: an array of buckets, each a short string of (left, right, merged) entries,
 with one character per token.
 
 Most pieces repeat all the time, so the distinct words of a bounded sample are folded once
 and the most frequent of them serve as a dictionary. It has at most ``DICTIONARY`` words of
 ``DICTIONARY_BYTES`` bytes, whatever the size of the corpus, and spares work only: a piece
-that it lacks is folded in its document's own row, once per document. Nothing is shuffled but
-the words of the sample. Pieces beyond ``LONG`` bytes are merged with a heap, as a fold takes
+that it lacks is folded where its document is read, once for each ``SLICE`` documents. Nothing
+is shuffled but the words of the sample. Pieces beyond ``LONG`` bytes are merged with a heap, as a fold takes
 time quadratic in the length. Decoding concatenates the binary pieces of the ids.
 
 Defined results: null and empty texts have no ids and decode to nothing; rows with repeated
@@ -32,10 +32,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, written
 
 #: Words of the dictionary, their length, and the documents whose words are counted for it.
 DICTIONARY, DICTIONARY_BYTES, SAMPLE_ROWS = 1 << 19, 64, 50_000
@@ -109,13 +109,32 @@ class Vocabulary:
                     yield left, right, rank
 
 
-def fold_merges(vocabulary: Vocabulary):
-    """A function from a word column to its tokens, one character each."""
+def _buckets(vocabulary: Vocabulary) -> str:
+    """The rank map: a JSON array of buckets."""
     buckets = [f"..{NONE}"] * BUCKETS
     for left, right, merged in vocabulary.merges():
         a, b, c = _character(left), _character(right), _character(merged)
         buckets[zlib.crc32((a + b).encode()) % BUCKETS] += START + a + b + c
-    rank_map = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<string>")
+    return json.dumps(buckets, ensure_ascii=False)
+
+
+def rank_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    """The rank map as a table of one row, ``ranks, one``: about a megabyte.
+
+    Plans name it and hold none of it, however often the driver keeps their text.
+    """
+    text = spark.createDataFrame([(_buckets(vocabulary),)], "text string")
+    ranks = text.select(F.from_json("text", "array<string>").alias("ranks"), F.lit(1).alias("one"))
+    return written(ranks.coalesce(1), "ranks")
+
+
+def fold_merges(vocabulary: Vocabulary, rank_map: Column | None = None):
+    """A function from a word column to its tokens, one character each.
+
+    ``rank_map`` is a column of the array of :func:`rank_table`; else the map is a literal.
+    """
+    if rank_map is None:
+        rank_map = F.from_json(F.lit(_buckets(vocabulary)), "array<string>")
     latin = "".join(map(chr, range(256)))
     first = "".join(_character(vocabulary.ranks[bytes([b])]) for b in range(256))
     empty, one, rest = F.lit(""), F.lit(1), F.lit(1 << 30)
@@ -168,7 +187,7 @@ def fold_merges(vocabulary: Vocabulary):
 
     def fold(word: Column) -> Column:
         single = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), latin, first)
-        # The literal stands in the plan once.
+        # The map is looked up once per expression, not once per pair.
         return bound(rank_map, lambda ranks: bound(single, lambda tokens: folded(ranks, tokens)))
 
     return fold
@@ -217,21 +236,33 @@ def _counted(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Itera
         )
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of folded words as 32-bit integers."""
+def _packed(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Ids of folded words as 32-bit integers; a word that is a token is that token."""
     for batch in batches:
-        codes = [_tokens(t.as_py()).astype("<i4").tobytes() for t in batch.column("tokens")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("word"), pa.array(codes, pa.binary())], names=["word", "code"]
-        )
+        words = batch.column("words").flatten()
+        codes = []
+        for word, tokens in zip(words, batch.column("tokens").flatten()):
+            whole = vocabulary.ranks.get(word.as_py().encode("utf-8"))
+            codes.append(_tokens(tokens.as_py()).astype("<i4").tobytes() if whole is None else whole.to_bytes(4, "little"))
+        yield pa.RecordBatch.from_arrays([words, pa.array(codes, pa.binary())], names=["word", "code"])
+
 
+def _folded_lists(lists: DataFrame, column: str, name: str, vocabulary: Vocabulary, ranks: DataFrame) -> DataFrame:
+    """The rows with ``name``, the tokens of each word of an array column.
 
-def frequent_words(docs: DataFrame, vocabulary: Vocabulary, fold) -> pa.Table:
+    Each row meets the one row of the rank map; rows hold many words, so it is read rarely.
+    """
+    fold = fold_merges(vocabulary, F.col("ranks"))
+    met = lists.withColumn("one", F.lit(1)).join(F.broadcast(ranks), "one")
+    return met.select(*[F.col(c) for c in lists.columns], F.transform(column, fold).alias(name))
+
+
+def frequent_words(docs: DataFrame, vocabulary: Vocabulary, ranks: DataFrame) -> pa.Table:
     """The dictionary: the most frequent words of the sample and their packed ids."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    total = texts.count()
-    kept = 1_000_000 * SAMPLE_ROWS // max(total, SAMPLE_ROWS)
-    sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < kept)
+    share = SAMPLE_ROWS / max(texts.count(), SAMPLE_ROWS)
+    # The hash as a number from 0 to 1: any share of any number of documents can be told.
+    sample = texts.filter(F.xxhash64("text") / F.lit(2.0**64) + F.lit(0.5) <= F.lit(share))
     words = (
         sample.mapInArrow(lambda batches: _counted(batches, vocabulary), "word string, n long")
         .groupBy("word")
@@ -239,45 +270,53 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, fold) -> pa.Table:
         .orderBy(F.desc("n"), "word")
         .limit(DICTIONARY)
     )
-    # A shuffle spreads the folds over all tasks again.
-    spread = words.select("word").repartition("word")
-    folded = spread.select("word", fold(F.col("word")).alias("tokens"))
-    return folded.mapInArrow(_packed, "word string, code binary").toArrow()
+    # Lists of about a thousand words, dealt over all tasks.
+    lists = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(max(1, DICTIONARY >> 10))).alias("list"))
+    lists = lists.agg(F.collect_list("word").alias("words")).select("words")
+    folded = _folded_lists(lists, "words", "tokens", vocabulary, ranks)
+    return folded.mapInArrow(lambda batches: _packed(batches, vocabulary), "word string, code binary").toArrow()
 
 
 def _looked_up(
     batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, dictionary
 ) -> Iterator[pa.RecordBatch]:
-    """Ids as 32-bit integers; -1-k stands for the document's k-th word that is to be folded."""
+    """A row per slice of documents: their ids as 32-bit integers, and the words to be folded.
+
+    In the ids -1-k stands for the slice's k-th such word.
+    """
     find = vocabulary.splitter()
     # A worker builds the hash table once and keeps it with the broadcast for its next tasks.
     if not hasattr(dictionary, "table"):
         dictionary.table = {w: c for part in dictionary.value for w, c in zip(*(a.to_pylist() for a in part))}
     known = dictionary.table.get
 
-    def packed(pieces: list[str]) -> tuple[bytes, list[str]]:
+    def packed(pieces: list[str], rare: dict[str, int]) -> bytes:
         codes = [known(p) for p in pieces]
-        own: dict[str, int] = {}
         if None in codes:
             for at, code in enumerate(codes):
                 if code is None:
                     raw = pieces[at].encode("utf-8")
-                    if len(raw) > LONG:
+                    # A piece that is a token is that token, whether merges lead to it or not.
+                    if (whole := vocabulary.ranks.get(raw)) is not None:
+                        codes[at] = whole.to_bytes(4, "little")
+                    elif len(raw) > LONG:
                         codes[at] = np.array(merge_with_heap(raw, vocabulary.ranks), "<i4").tobytes()
                     else:
-                        mark = -1 - own.setdefault(pieces[at], len(own))
+                        mark = -1 - rare.setdefault(pieces[at], len(rare))
                         codes[at] = mark.to_bytes(4, "little", signed=True)
-        return b"".join(codes), list(own)
+        return b"".join(codes)
 
     for batch in _sliced(batches):
-        rows = [packed(find(text.as_py() or "")) for text in batch.column("text")]
+        rare: dict[str, int] = {}
+        ids = [packed(find(text.as_py() or ""), rare) for text in batch.column("text")]
+        cuts = pa.array([0, batch.num_rows], pa.int32())
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"),
-                pa.array([r[0] for r in rows], pa.binary()),
-                pa.array([r[1] for r in rows], pa.list_(pa.string())),
+                pa.ListArray.from_arrays(cuts, batch.column("doc_id")),
+                pa.ListArray.from_arrays(cuts, pa.array(ids, pa.binary())),
+                pa.array([list(rare)], pa.list_(pa.string())),
             ],
-            names=["doc_id", "packed", "rare"],
+            names=["doc_ids", "packed", "rare"],
         )
 
 
@@ -288,51 +327,52 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ids of each document, folded words put in."""
-    for batch in _sliced(batches):
-        arrays = []
-        for packed, folded in zip(batch.column("packed"), batch.column("folded")):
-            ids = np.frombuffer(packed.as_buffer(), "<i4")
-            holes = np.flatnonzero(ids < 0).tolist()
-            if holes:
-                words = folded.as_py()
-                tokens = _tokens("".join(words))
-                ends = np.cumsum([0, *map(len, words)]).tolist()
-                parts, at = [], 0
-                for hole in holes:
-                    word = -1 - ids[hole]
-                    parts += [ids[at:hole], tokens[ends[word] : ends[word + 1]]]
-                    at = hole + 1
-                ids = np.concatenate([*parts, ids[at:]])
-            arrays.append(ids)
-        lengths = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-        values = np.concatenate(arrays).astype(np.int32) if arrays else np.empty(0, np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))],
-            names=["doc_id", "ids"],
-        )
-
-
-def _folded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``doc_id, packed, folded``: ids with gaps and the tokens of the words that belong there."""
+    """The ids of each document, folded words put in; a batch per slice."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            words = batch.column("folded")[row].as_py()
+            tokens = _tokens("".join(words))
+            ends = np.cumsum([0, *map(len, words)]).tolist()
+            arrays = []
+            for packed in batch.column("packed")[row].values:
+                ids = np.frombuffer(packed.as_buffer(), "<i4")
+                holes = np.flatnonzero(ids < 0).tolist()
+                if holes:
+                    parts, at = [], 0
+                    for hole in holes:
+                        word = -1 - ids[hole]
+                        parts += [ids[at:hole], tokens[ends[word] : ends[word + 1]]]
+                        at = hole + 1
+                    ids = np.concatenate([*parts, ids[at:]])
+                arrays.append(ids)
+            lengths = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+            values = np.concatenate(arrays).astype(np.int32) if arrays else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_ids")[row].values, pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))],
+                names=["doc_id", "ids"],
+            )
+
+
+def _folded(docs: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, str]:
+    """``doc_ids, packed, rare, folded`` per slice: ids with gaps, and the tokens that belong there; the type of ids."""
     rows = documents(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
-    fold = fold_merges(vocabulary)
-    table = frequent_words(rows, vocabulary, fold)
+    ranks = rank_table(docs.sparkSession, vocabulary)
+    table = frequent_words(rows, vocabulary, ranks)
     # Sent as Arrow arrays: the driver never holds the words as objects.
     parts = [(b.column("word"), b.column("code")) for b in table.to_batches()]
     dictionary = docs.sparkSession.sparkContext.broadcast(parts)
     kind = rows.schema["doc_id"].dataType.simpleString()
     looked_up = rows.mapInArrow(
         lambda batches: _looked_up(batches, vocabulary, dictionary),
-        f"doc_id {kind}, packed binary, rare array<string>",
+        f"doc_ids array<{kind}>, packed array<binary>, rare array<string>",
     )
-    return looked_up.select("doc_id", "packed", F.transform("rare", fold).alias("folded"))
+    return _folded_lists(looked_up, "rare", "folded", vocabulary, ranks).drop("rare"), kind
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``doc_id, ids``: the token ids of each whole text."""
-    folded = _folded(docs, vocabulary)
-    return folded.mapInArrow(_assembled, f"doc_id {folded.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    folded, kind = _folded(docs, vocabulary)
+    return folded.mapInArrow(_assembled, f"doc_id {kind}, ids array<int>")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
@@ -366,8 +406,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``doc_id, ids, decoded, packed``: ``decode(encode(docs))`` with one Python worker less."""
-    folded = _folded(docs, vocabulary)
+    folded, kind = _folded(docs, vocabulary)
     return folded.mapInArrow(
         lambda batches: _decoded(_assembled(batches), vocabulary),
-        f"doc_id {folded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary, packed binary",
+        f"doc_id {kind}, ids array<int>, decoded binary, packed binary",
     )
