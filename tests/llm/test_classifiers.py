@@ -131,3 +131,16 @@ def test_held_out_accuracy_of_the_queries(spark, name, label, fold, least):
     assert found.count() == 1000
     rows = found.filter("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     assert sum(r.predicted == r[label] for r in rows) >= least * len(rows)
+
+
+def test_training_rows_hold_their_bound_when_ids_repeat(spark):
+    from pyspark.sql import functions as F
+
+    from tradewind.llm import labelled
+
+    docs = spark.range(20_000).select((F.col("id") % 20).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labels = spark.range(20).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    for limit in (10, 1500):
+        rows = labelled.training_rows(docs, labels, "toxic", F.lit(True), limit)
+        assert rows.count() == limit
+        assert sorted(rows.collect()) == sorted(labelled.training_rows(docs.repartition(7), labels, "toxic", F.lit(True), limit).collect())

@@ -11,8 +11,13 @@ from tradewind.llm import queries, wordhash
 SF = "/root/testdata/sf0.001"
 
 
+#: Punctuation and blanks beyond ASCII part words; such characters are words of their own.
+SIGNS = r"\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u207f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20"
+SINGLE = r"\u3040-\u30ff\u3400-\u9fff"
+
+
 def tokens(text):
-    return [t for t in re.findall(r"[0-9a-z_\u0080-\U0010ffff]+", (text or "").lower())]
+    return re.findall(rf"[{SINGLE}]|(?:(?![{SIGNS}{SINGLE}])[0-9a-z_\u0080-\U0010ffff])+", (text or "").lower())
 
 
 def slow_tiles(item, text, minimum):
@@ -155,3 +160,52 @@ def test_query(spark):
                 near.append((d, i, p, t))
     want = sorted((d, i) for d, i, p, t in near if slow_tiles(p, t, min(5, len(p))) >= 0.8 * len(p))
     assert got == want and want
+
+
+def test_typographic_punctuation_and_running_chinese(spark):
+    item = "It's a plain item - with quotes, dashes... and \"some\" more words to be found here"
+    curly = "before “It’s a plain item — with quotes, dashes… and «some» more words to be found here” after"
+    chinese, running = "今天天气很好我们去公园散步吧", "他说今天天气很好我们去公园散步吧然后回家"
+    docs = [(1, curly), (2, running), (3, "今天 天气 不 好"), (4, "plain words of no item at all")]
+    items = [(1, item), (2, chinese)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = D.leaked_items(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == brute(docs, items) == [(1, 1), (2, 2)]
+
+
+def test_words_beyond_ascii_equal_a_pattern():
+    rng = random.Random(8)
+    signs = ["a", "Z", "9", "_", "é", "ß", "ž", "“", "—", "…", "\u00a0", "«", "º", "µ", "×", "中", "日", "カ", "。", "，", "ｗ", " ", ".", "\n", "😀", "კ"]
+    for _ in range(300):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 40))).lower() + " "
+        raw = text.encode()
+        starts, ends, _ = wordhash.words(np.frombuffer(raw, np.uint8))
+        assert [raw[s:e].decode() for s, e in zip(starts, ends)] == tokens(text)
+
+
+def test_workers_without_the_package(tmp_path):
+    """The job runs where the workers can't import the package; only the driver has it."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from tradewind.session import local_session
+from tradewind.llm import decontamination, ranked_search, run_detection, html_extraction
+spark = local_session(2, 2, "1g")
+assert spark.range(1).mapInArrow(lambda b: (x for x in b if __import__("importlib").util.find_spec("tradewind") is None), "id long").count() == 1
+text = "one two three four five six seven eight"
+docs = spark.createDataFrame([(1, "x " + text)], "doc_id long, text string")
+items = spark.createDataFrame([(7, text)], "item_id long, text string")
+assert decontamination.leaked_items(docs, items).count() == 1
+assert ranked_search.ranked_search(docs, items).count() == 1
+assert run_detection.run_report(run_detection.periodic_runs(docs)).count() == 1
+pages = spark.createDataFrame([(1, "http://a.b/", "<p>x</p>")], "page_id long, url string, html string")
+assert html_extraction.main_texts(pages).first().text == "x"
+print("all found")
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "all found" in done.stdout, done.stderr[-3000:]

@@ -93,3 +93,20 @@ def test_names_are_integers_and_no_python_runs(spark):
     assert dict(found.dtypes)["name"] == "bigint"
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_columns_with_the_names_of_helpers_stay(spark):
+    from tradewind.llm import decontamination, paragraph_dedup, simhash_neardup
+    from tradewind.llm.shared import unused
+
+    names = ["_dedup_row0", "_neardup_row0", "_leak_row0", "_repeat_row0", "_REPEAT_LINES0"]
+    docs = spark.createDataFrame([(1, "a b c", *range(70, 75))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    items = spark.createDataFrame([], "item_id long, text string")
+    for out in (
+        E.drop_exact_duplicates(docs),
+        simhash_neardup.drop_near_duplicates(docs),
+        decontamination.drop_leaks(docs, items),
+        paragraph_dedup.remove_repeats(docs),
+    ):
+        assert out.columns == docs.columns and tuple(out.first())[2:] == tuple(range(70, 75))
+    assert unused(docs, "dedup_row") == "_dedup_row1" and unused(docs, "repeat_lines") == "_repeat_lines1"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, text_of, with_row_id, written
+from .shared import documents, text_of, unused, with_row_id, written
 from .wordhash import LOWER, runs, words
 
 SEED_WORDS = 5
@@ -94,7 +94,8 @@ class _Seeds:
 
 def _stretches(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     """Of each document the stretches of words that consist of seeds; documents without are left out."""
-    seeds = held.value
+    # Plain arrays are sent: an object of this module could be read only where the module is.
+    seeds = _Seeds(*held.value)
     for batch in batches:
         column = batch.column("text")
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
@@ -232,7 +233,7 @@ def _leaks_of_block(docs: DataFrame, items: DataFrame, seed_words: int, coverage
     # The size of a block is bounded, see BLOCK_SEEDS.
     hashes = items.select(F.explode("seeds").alias("h")).distinct().toArrow().column("h").to_numpy()
     sizes = [r.n for r in items.select(F.least(F.size("item"), F.lit(seed_words)).alias("n")).distinct().collect()]
-    held = spark.sparkContext.broadcast(_Seeds(np.asarray(hashes, np.int64), sorted(sizes)))
+    held = spark.sparkContext.broadcast((np.asarray(hashes, np.int64), sorted(sizes)))
     stretches = written(
         docs.mapInArrow(
             lambda batches: _stretches(batches, held), f"row_id long, doc_id {kinds['doc']}, at int, tokens array<string>"
@@ -312,7 +313,7 @@ def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, coverage: float = COVERAGE
 ) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    key = "_leak_row"
+    key = unused(docs, "leak_row")
     table = written(with_row_id(docs, key), "docs")
     rows = table.select(F.col(key).alias("row_id"), "doc_id", "text")
     gone = _leaks(rows, benchmark, seed_words, coverage).select(F.col("row_id").alias(key)).distinct()

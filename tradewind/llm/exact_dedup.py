@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, text_of, with_row_id, written
+from .shared import documents, text_of, unused, with_row_id, written
 
 #: Characters that equality ignores.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -142,7 +142,7 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that stay, with all their columns."""
-    key = "_dedup_row"
+    key = unused(docs, "dedup_row")
     table = written(with_row_id(docs, key), "docs")
     ided = table.select(F.col(key).alias("row_id"), "doc_id", "text")
     gone = _groups(ided, block_chars, 2, _route).filter("not kept").select(F.col("row_id").alias(key))

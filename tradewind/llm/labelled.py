@@ -15,12 +15,13 @@ def hash_remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int) -> DataFrame:
-    """``doc_id, text, label`` of at most ``limit`` labelled documents.
+    """``doc_id, text, label`` of at most ``limit`` rows of labelled documents.
 
     ``usable`` is a condition on ``doc_id``. Ids are drawn by a hash of the id, so the sample
-    is the same at every partitioning; only they are sorted, texts follow by a join. Labels
-    other than 0 and 1 and labels without an id are ignored; of contradicting labels of one
-    document the larger counts; of repeated documents each row is used.
+    is the same at every partitioning; texts follow by a join, and of the joined rows the first
+    ``limit`` by the same hash stay, however often documents repeat. Labels other than 0 and 1
+    and labels without an id are ignored; of contradicting labels of one document the larger
+    counts; of repeated documents each row is used.
     """
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -30,4 +31,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return documents(docs, "doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "label")
+    rows = documents(docs, "doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "label")
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit)

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, text_of, with_row_id, written
+from .shared import documents, text_of, unused, with_row_id, written
 from .wordhash import BASE, STEP, mixed, runs, words
 
 SHINGLE_WORDS = 5
@@ -540,7 +540,7 @@ def remove_repeats(
     docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, recall: float = RECALL
 ) -> DataFrame:
     """The documents without the lines that repeat an earlier one, with all their columns."""
-    key, gone = "_repeat_row", "_repeat_lines"
+    key, gone = unused(docs, "repeat_row"), unused(docs, "repeat_lines")
     table = written(with_row_id(docs, key), "docs")
     rows = table.select(F.col(key).alias("row_id"), "doc_id", "text")
     lines = (

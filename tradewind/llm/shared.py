@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import itertools
 import uuid
 from collections.abc import Sequence
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,24 +13,12 @@ from pyspark.sql import functions as F
 ROWS_PER_BLOCK, LEAST_BLOCKS = 100_000, 512
 
 
-@cache
-def _local_folder() -> str:
-    path = tempfile.mkdtemp(prefix="tradewind-llm-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which every executor reaches.
 
-    Only a session with a local master may leave the setting out: all its threads share
-    one machine, and the folder goes when the process ends.
+    Where the setting is missing, below the warehouse, which a cluster shares as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = _local_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_llm"
     return f"{base.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
@@ -49,6 +34,12 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame does not have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in itertools.count() if (n := f"_{name}{i}") not in taken)
+
+
 def blocks_for(rows: int) -> int:
     return max(LEAST_BLOCKS, -(-rows // ROWS_PER_BLOCK))
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, with_row_id, written
+from .shared import documents, unused, with_row_id, written
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -287,7 +287,7 @@ def drop_near_duplicates(
     Of equal ids the row read first stays; documents without an id stay only where their
     component has no other.
     """
-    key = "_neardup_row"
+    key = unused(docs, "neardup_row")
     table = written(with_row_id(docs, key), "docs")
     rows = written(fingerprints(table.select(F.col(key).alias("row_id"), "doc_id", "text"), words), "fps")
     found = _row_components(rows, max_bits, leaf)

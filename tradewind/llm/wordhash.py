@@ -1,9 +1,11 @@
 """Words of UTF-8 texts as hashes, many at a time, and hashes of runs of words.
 
-A word is a run of letters, digits, underscores and bytes beyond ASCII; A-Z count as a-z.
-The hash of a word is a polynomial over its bytes modulo 2**64, mixed; that of a run of words
-is a Karp-Rabin polynomial over the words. Equal hashes only ever propose, the operators
-compare words before they decide.
+A word is a run of letters, digits, underscores and characters beyond ASCII; A-Z count as a-z.
+Typographic punctuation and blanks (Latin-1, general, CJK and full-width) part words as those of
+ASCII do, and each Chinese character, kana or full-width sign of U+3400 to U+9FFF and U+3040 to
+U+30FF is a word of its own, as such texts have no blanks. The hash of a word is a polynomial
+over its bytes modulo 2**64, mixed; that of a run of words is a Karp-Rabin polynomial over the
+words. Where equal hashes decide and don't only propose, the operator says so.
 """
 
 from __future__ import annotations
@@ -32,10 +34,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _beyond_ascii(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Takes punctuation beyond ASCII out of ``inside``; tells where one-character words begin."""
+    own = np.zeros(len(data) + 1, bool)
+    if not (data >= 0xC2).any():
+        return own
+    one, two = np.append(data[1:], 0), np.append(data[2:], [0, 0])[: len(data)]
+    # Latin-1 signs but for the ordinals and micro, and the signs of multiplication and division.
+    short = (data == 0xC2) & (one != 0xAA) & (one != 0xB5) & (one != 0xBA)
+    short |= (data == 0xC3) & ((one == 0x97) | (one == 0xB7))
+    # General punctuation, CJK punctuation, full-width punctuation.
+    long = (data == 0xE2) & ((one == 0x80) | (one == 0x81)) | (data == 0xE3) & (one == 0x80)
+    long |= (data == 0xEF) & (one == 0xBC) & ((two <= 0x8F) | (two >= 0x9A) & (two <= 0xA0))
+    for at, size in ((np.flatnonzero(short), 2), (np.flatnonzero(long), 3)):
+        for k in range(size):
+            inside[np.minimum(at + k, len(data) - 1)] = False
+    single = (data >= 0xE4) & (data <= 0xE9) | (data == 0xE3) & ((one >= 0x81) & (one <= 0x83) | (one >= 0x90))
+    at = np.flatnonzero(single)
+    own[at] = True
+    own[np.minimum(at + 3, len(data))] = True
+    return own
+
+
 def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = IS_WORD[data]
-    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    begin = _beyond_ascii(data, inside)
+    here, before = np.append(inside, False), np.concatenate([[False], inside])
+    starts = np.flatnonzero(here & (~before | begin))
+    ends = np.flatnonzero(before & (~here | begin))
     if not len(starts):
         return starts, ends, np.empty(0, np.uint64)
     sizes = ends - starts
