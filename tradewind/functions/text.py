@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from .unicode import nfc
 
 NBSP = "\u00a0"
 # Everything that counts as whitespace at the ends of a text.
@@ -82,8 +83,8 @@ def truncate(col: Column, n: int) -> Column:
 # --- addresses -----------------------------------------------------------
 
 def normalize_address(col: Column) -> Column:
-    """Special spaces become spaces, the full-width number sign becomes ``#``, ends trimmed."""
-    spaced = F.translate(F.coalesce(col, F.lit("")), "\u00a0\u202f\u2007\uff03", "   #")
+    """Composed letters; special spaces become spaces, the full-width number sign ``#``; ends trimmed."""
+    spaced = F.translate(nfc(F.coalesce(col, F.lit(""))), "\u00a0\u202f\u2007\uff03", "   #")
     return strip(spaced)
 
 
@@ -171,7 +172,7 @@ def unknown_store_name(store_id: Column) -> Column:
 
 def fix_store_name_typos(col: Column, typos: Sequence[tuple[str, str]] = V.STORE_NAME_TYPOS) -> Column:
     return reduce(
-        lambda c, t: F.replace(c, F.lit(t[0]), F.lit(t[1])), typos, F.coalesce(col, F.lit(""))
+        lambda c, t: F.replace(c, F.lit(t[0]), F.lit(t[1])), typos, nfc(F.coalesce(col, F.lit("")))
     )
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
+from ..functions.unicode import nfc
 from ..operators import documents as O
 from .catalog import query
 from .driver_tables import table, waybill_documents
@@ -21,6 +24,25 @@ def _(spark, sf):
     return O.document_lines(table(spark, sf, "documents"))
 
 
+@query(
+    "composed_texts",
+    """SELECT doc_id, md5(nfc_normalize(text)) AS composed, length(nfc_normalize(text)) AS n_points,
+      contains(text, 'é') OR contains(text, 'ü') OR contains(text, 'ñ') OR contains(text, 'è') AS marked FROM documents""",
+)
+def _(spark, sf):
+    """Whole texts whose letters were written with combining marks, composed again."""
+    apart = F.col("text")
+    for letter in "éèêëáàâäíìîïóòôöúùûüñçÉÈÊÁÀÄÍÓÖÚÜÑÇ":
+        apart = F.replace(apart, F.lit(letter), F.lit(unicodedata.normalize("NFD", letter)))
+    docs = table(spark, sf, "documents").select("doc_id", apart.alias("text"))
+    return docs.select("doc_id", nfc(F.col("text")).alias("text")).select(
+        "doc_id",
+        F.md5(F.col("text").cast("binary")).alias("composed"),
+        F.length("text").cast("long").alias("n_points"),
+        F.col("text").rlike("[éüñè]").alias("marked"),
+    )
+
+
 @query(
     "text_quality",
     """WITH t AS (SELECT doc_id, text, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS INTEGER) AS n FROM documents)

@@ -9,7 +9,7 @@ from ..operators import ingest as I
 from ..operators import stitching as ST
 from ..operators.documents import extract_documents
 from ..session import shared_folder
-from ..sources.usage_log import usage_by_user_model, usage_costs
+from ..sources.usage_log import read_usage_errors, read_usage_log, usage_by_user_model, usage_costs
 from ..sources.waybills import bad_lines, good_lines, parse_waybills, read_waybill_records, stream_waybill_xml
 from ..streaming import waybill_stream as WS
 from . import sql as S
@@ -488,6 +488,47 @@ def _(spark, sf):
     return usage_by_user_model(_usage(spark, sf))
 
 
+def _usage_lines(spark, sf):
+    """The usage log as a folder of JSON lines, every fiftieth of them cut short."""
+    usage = _usage(spark, sf).select(
+        "ts", "user_id", F.concat(F.lit("s"), "event_id").alias("session_id"), "model",
+        "input_tokens", "output_tokens", "cache_creation_input_tokens",
+    )
+    record = F.to_json(F.struct(*usage.columns))
+    broken = F.substring("session_id", 2, 20).cast("long") % 50 == 0
+    folder = f"{shared_folder(spark, 'usage-log')}/in"
+    usage.select(F.when(broken, F.substring(record, F.lit(1), F.length(record) - 9)).otherwise(record)).write.text(folder)
+    return folder
+
+
+@query(
+    "usage_log_lines",
+    f"""{_USAGE} SELECT 's' || u.event_id AS session_id, u.user_id, u.model, u.i AS input_tokens, u.o AS output_tokens,
+      u.c AS cache_creation_input_tokens, u.i + coalesce(u.o, 0) AS tokens_used,
+      c.cost AS cache_creation_cost_usd_est FROM u JOIN costs c USING (event_id) WHERE event_id % 50 <> 0""",
+)
+def _(spark, sf):
+    columns = [
+        "session_id", "user_id", "model", "input_tokens", "output_tokens", "cache_creation_input_tokens",
+        "tokens_used", "cache_creation_cost_usd_est",
+    ]
+    return usage_costs(read_usage_log(spark, _usage_lines(spark, sf))).select(*columns)
+
+
+@query(
+    "usage_log_errors",
+    f"""{_USAGE} SELECT left(l, length(l) - 9) AS line FROM (SELECT '{{"ts":"' || strftime(ts, '%Y-%m-%d %H:%M:%S')
+        || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(strftime(ts, '%f'), '0') END
+        || '","user_id":' || user_id || ',"session_id":"s' || event_id || '","model":"' || event_type || '","input_tokens":'
+        || CAST(floor(value * 100) AS BIGINT)
+        || CASE WHEN event_type <> 'error' THEN ',"output_tokens":' || (props->>'$.k') ELSE '' END
+        || ',"cache_creation_input_tokens":' || CAST(props->>'$.k' AS BIGINT) * 1000 || '}}' AS l
+      FROM events WHERE event_id % 50 = 0)""",
+)
+def _(spark, sf):
+    return read_usage_errors(spark, _usage_lines(spark, sf))
+
+
 # --- stitching -----------------------------------------------------------
 
 _STITCH = f"""WITH o AS (SELECT *, o_orderstatus = 'O' AS apx, o_orderpriority AS y FROM orders),

@@ -10,8 +10,22 @@ from ..functions.money import exact_sum, round_exact
 from ..schema import table_schema
 
 
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the log and their fields; ``broken`` holds a line that is no record of this kind."""
+    schema = table_schema("usage_log").add("broken", "string")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema, options).alias("r")).select("r.*")
+
+
 def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(table_schema("usage_log")).json(path)
+    """The records of the log; lines that can't be read are told by :func:`read_usage_errors`."""
+    return _parsed(spark, path).filter("broken IS NULL").drop("broken")
+
+
+def read_usage_errors(spark: SparkSession, path: str) -> DataFrame:
+    """``line``: what can't be read, whole."""
+    return _parsed(spark, path).filter("broken IS NOT NULL").select(F.col("broken").alias("line"))
 
 
 def cache_write_cost(tokens: Column, usd_per_million: float = V.CACHE_WRITE_USD_PER_MILLION) -> Column:
