@@ -50,7 +50,9 @@ def _near_matches(names: DataFrame, stores: DataFrame, threshold: float) -> Data
     """Best store per distinct name signature with a character ratio in [threshold, 1).
 
     Candidates share one of their rarest characters and have lengths that allow the ratio;
-    a pair that shares several is taken at the first of them only.
+    a pair that shares several is taken at the first of them only. Marks carry their places:
+    where the first shared marks stand at p and q, no more than the marks behind them can be
+    shared as well, so most pairs go before any arrays are compared.
     """
     marks = occurrences(F.split("sig", "")).alias("marks")
     left, right = names.select("sig", marks), stores.select("sig", marks)
@@ -59,16 +61,18 @@ def _near_matches(names: DataFrame, stores: DataFrame, threshold: float) -> Data
     )
     wanted = _ranked_marks(left, frequency).withColumn("prefix", _prefix(threshold))
     known = _ranked_marks(right, frequency).withColumn("prefix", _prefix(threshold)).join(stores, "sig")
-    keyed = wanted.withColumn("key", F.explode("prefix"))
+    keyed = wanted.select(
+        "sig", "marks", "prefix", F.size("marks").alias("la"), F.posexplode("prefix").alias("p", "key")
+    )
     other = known.select(
         F.col("marks").alias("store_marks"), F.col("prefix").alias("store_prefix"), "store_id", "store_name",
-        F.explode("prefix").alias("key"),
-    )
-    la, lb = F.size("marks"), F.size("store_marks")
-    reach = 2.0 * F.least(la, lb) >= threshold * (la + lb) - 1e-9
-    pairs = keyed.join(other, "key").filter(
-        reach & (F.get(F.array_intersect("prefix", "store_prefix"), F.lit(0)) == F.col("key"))
+        F.size("marks").alias("lb"), F.posexplode("prefix").alias("q", "store_key"),
     )
+    la, lb = F.col("la"), F.col("lb")
+    reach = 2.0 * F.least(la - F.col("p"), lb - F.col("q")) >= threshold * (la + lb) - 1e-9
+    # The bounds belong to the join, so that rows beyond them are never made.
+    met = keyed.join(other, (F.col("key") == F.col("store_key")) & reach)
+    pairs = met.filter(F.get(F.array_intersect("prefix", "store_prefix"), F.lit(0)) == F.col("key"))
     score = F.lit(2.0) * F.size(F.array_intersect("marks", "store_marks")) / (la + lb)
     return (
         pairs.withColumn("score", score)
