@@ -247,3 +247,35 @@ def test_invoice_lists(tables):
     assert (bad.n_negative, bad.sum_negative, bad.n_noted_invoices) == (5, -2103.0, 0)
     sample = R.returns_line_sample(load_star(*tables), START, END, 3)
     assert rows(sample, "invoice_id", "parent_invoice_is_return") == [(1, False), (1, False), (2, True)]
+
+
+def test_report_and_parity_read_lines_once(spark, tables, tmp_path):
+    names = ("invoices", "items", "stores", "products")
+    for name, table in zip(names, tables):
+        table.write.parquet(f"{tmp_path}/{name}")
+    stored = load_star(*[spark.read.parquet(f"{tmp_path}/{name}") for name in names])
+
+    def reads(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        relations = [line for line in plan if "Relation" in line]
+        return [sum(column in line for line in relations) for column in ("line_total", "raw_text")]
+
+    assert reads(session_report(stored, START, END, "ფილიალი #2", [1, 2])) == [1, 2]
+    assert reads(parity_check(stored, stored, START, END)) == [2, 2]
+
+
+def test_session_report_without_rows(star):
+    report = session_report(star, date(2020, 1, 1), date(2020, 1, 2), "ფილიალი #2").collect()
+    assert {(r.section, r.rank, r.name, r.metric, r.value) for r in report} == {
+        (section, 1, "all", metric, 0.0)
+        for section in ("kpi", "focus_kpi")
+        for metric in ("total_revenue_gel", "total_returns_gel", "returns_pct", "n_stores")
+    }
+    plain = session_report(star, START, END).collect()
+    assert {r.section for r in plain} == {"kpi", "revenue", "restock", "products"}
+
+
+def test_parity_counts_lines_without_invoice(star):
+    fewer = star._replace(lines=star.lines.filter("invoice_id <> 77"))
+    got = [tuple(r) for r in parity_check(star, fewer, START, END).collect()]
+    assert got == [("line_rows", 8.0, 7.0)]

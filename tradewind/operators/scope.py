@@ -73,17 +73,22 @@ def scope_star(star: Star, allowed: DataFrame | Iterable[int] | None) -> Star:
     return star._replace(invoices=scope_filter(star.invoices, allowed))
 
 
+def named_in(name: Column, prompt: str, keywords: Sequence[str] = V.STORE_KEYWORDS) -> Column:
+    """True where a store name contains a known keyword or ``#code`` that the prompt names."""
+    name = F.coalesce(name, F.lit(""))
+    hits = [F.lower(name).contains(k.lower()) for k in keywords if k in prompt]
+    code = re.search(r"#(\d+)", prompt)
+    if code:
+        hits.append(name.contains("#" + code.group(1)))
+    return reduce(lambda a, b: a | b, hits, F.lit(False))
+
+
 def store_focus(
     df: DataFrame, prompt: str, name_col: str = "store_display_name",
     keywords: Sequence[str] = V.STORE_KEYWORDS,
 ) -> DataFrame:
     """Rows whose store name contains a known keyword or ``#code`` that the prompt names."""
-    name = F.coalesce(F.col(name_col), F.lit(""))
-    hits = [F.lower(name).contains(k.lower()) for k in keywords if k in prompt]
-    code = re.search(r"#(\d+)", prompt)
-    if code:
-        hits.append(name.contains("#" + code.group(1)))
-    return df.filter(reduce(lambda a, b: a | b, hits, F.lit(False)))
+    return df.filter(named_in(F.col(name_col), prompt, keywords))
 
 
 def exclude_unknown_store(stores: DataFrame, placeholder: str = V.UNKNOWN_BUYER) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import text
-from ..functions.money import as_double, exact_sum
-from ..operators.scope import in_period
+from ..functions.money import as_double, exact_sum, pct_or_zero, round_array, round_exact
+from ..operators.scope import in_period, period_mask
 from ..sources.tables import Star
-from .reports import kpi_bundle, returns_vs_sales_by_store, revenue_by_store, store_facts
+from .reports import line_sums, name_stores, store_facts
 
 #: What the sample columns show; counts are always whole.
 SAMPLE_ADDRESSES = 15
@@ -107,26 +107,77 @@ def _long(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs)))
 
 
+def _sum_if(condition: Column, col: str) -> Column:
+    return F.sum(F.when(condition, F.coalesce(col, F.lit(0))).otherwise(0).cast("decimal(28,4)"))
+
+
+PARITY_METRICS = (
+    "invoice_rows",
+    "line_rows",
+    "total_revenue_gel",
+    "total_returns_gel",
+    "returns_pct",
+    "n_stores",
+    "revenue_by_store_sum",
+    "returns_vs_sales_sales",
+    "returns_vs_sales_returns",
+)
+
+
 def parity_metrics(star: Star, start: date, end: date) -> DataFrame:
-    """Row counts, KPIs and report sums of one copy, as (metric, value) rows."""
-    one = F.count(F.lit(1))
-    rows = star.invoices.agg(one.alias("invoice_rows")).withColumn(
-        "line_rows", star.lines.agg(one).scalar()
+    """Row counts, KPIs and report sums of one copy, as (metric, value) rows.
+
+    One pass: invoices and lines are read once each. Lines are summed per invoice, then meet
+    all invoices in a full join, so that lines without an invoice are counted as well; sums
+    per store id get names afterwards.
+    """
+    has_invoice = F.col("n_invoices").isNotNull()
+    counted = F.coalesce("in_scope", F.lit(False))
+    dated = counted & F.col("effective_date").isNotNull()
+    is_return = F.coalesce("parent_invoice_is_return", F.lit(False))
+    invoices = star.invoices.select(
+        "invoice_id",
+        "store_id",
+        "effective_date",
+        "revenue_gel",
+        "parent_invoice_is_return",
+        period_mask(star.invoices, start, end).alias("in_scope"),
+        F.lit(1).alias("n_invoices"),
     )
-    kpi = kpi_bundle(star, start, end)
-    revenue = revenue_by_store(star, start, end).agg(
-        as_double(exact_sum(F.col("revenue_gel"))).alias("revenue_by_store_sum")
+    joined = invoices.join(line_sums(star.lines), "invoice_id", "full")
+    by_id = joined.groupBy("store_id").agg(
+        F.count_if(has_invoice).alias("invoice_rows"),
+        F.coalesce(F.sum("n_lines"), F.lit(0)).alias("line_rows"),
+        F.count_if(counted).alias("n"),
+        exact_sum(F.when(counted, F.col("revenue_gel"))).alias("revenue"),
+        exact_sum(F.when(dated, F.col("revenue_gel"))).alias("dated_revenue"),
+        _sum_if(counted & ~is_return, "sale_value").alias("sales"),
+        _sum_if(counted & is_return, "credit_value").alias("returns"),
     )
-    lines = returns_vs_sales_by_store(star, start, end).agg(
-        as_double(exact_sum(F.col("sales_gel"))).alias("returns_vs_sales_sales"),
-        as_double(exact_sum(F.col("returns_gel"))).alias("returns_vs_sales_returns"),
+    sums = ("invoice_rows", "line_rows", "n", "revenue", "dated_revenue", "sales", "returns")
+    by_name = name_stores(by_id, star.stores).groupBy("store_name").agg(*[F.sum(c).alias(c) for c in sums])
+
+    def rounded(col: str) -> Column:
+        return as_double(exact_sum(round_array(as_double(F.col(col)), 2)))
+
+    total = by_name.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("invoice_rows", "line_rows")],
+        F.count_if(F.col("n") > 0).alias("n_stores"),
+        F.coalesce(as_double(F.sum("revenue")), F.lit(0.0)).alias("all_revenue"),
+        F.coalesce(as_double(F.sum("returns")), F.lit(0.0)).alias("all_returns"),
+        rounded("dated_revenue").alias("revenue_by_store_sum"),
+        rounded("sales").alias("returns_vs_sales_sales"),
+        F.greatest(rounded("returns"), F.lit(0.0)).alias("returns_vs_sales_returns"),
     )
-    out = _long(rows, ["invoice_rows", "line_rows"])
-    out = out.unionByName(
-        _long(kpi, ["total_revenue_gel", "total_returns_gel", "returns_pct", "n_stores"])
+    revenue, returns = F.col("all_revenue"), F.col("all_returns")
+    figures = total.withColumns(
+        {
+            "total_revenue_gel": round_exact(revenue, 2),
+            "total_returns_gel": round_exact(returns, 2),
+            "returns_pct": round_exact(pct_or_zero(returns, revenue), 2),
+        }
     )
-    out = out.unionByName(_long(revenue, ["revenue_by_store_sum"]))
-    return out.unionByName(_long(lines, ["returns_vs_sales_sales", "returns_vs_sales_returns"]))
+    return _long(figures, PARITY_METRICS)
 
 
 COUNT_METRICS = ("invoice_rows", "line_rows", "n_stores")
