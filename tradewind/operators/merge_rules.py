@@ -56,43 +56,80 @@ def canonical_name(label: Column, rules: Sequence[Rule] = V.MERGE_RULES) -> Colu
     return out
 
 
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct stretches of the given lengths, of texts at least as long."""
+
+    def of_size(n: int) -> Column:
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
+        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.flatten(F.array(*[of_size(n) for n in sizes])))
+
+
+def _gram_index(labels: DataFrame, rules: DataFrame, col: str) -> DataFrame:
+    """Each rule filed under the one of its grams that the fewest labels hold.
+
+    All parts of a rule count, as a label must hold each of them. A part of fewer than
+    ``GRAM`` characters is a gram itself; a rule of empty parts is filed under '', which
+    every label holds.
+    """
+
+    def part_grams(part: str) -> Column:
+        text = F.coalesce(F.col(part), F.lit(""))
+        short = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
+        return F.when(F.length(text) < GRAM, short).otherwise(_grams(text, [GRAM]))
+
+    grams = F.array_distinct(F.flatten(F.array(*[part_grams(p) for p in ("m1", "m2", "m3")])))
+    none = F.size(grams) == 0
+    per_rule = rules.select("*", F.explode(F.when(none, F.array(F.lit(""))).otherwise(grams)).alias("gram"))
+    # Only grams of rules are counted; equal grams are summed before they are shuffled.
+    held = labels.select(F.explode(_grams(F.col(col), range(1, GRAM + 1))).alias("gram"))
+    counts = (
+        held.join(per_rule.select("gram").distinct(), "gram", "left_semi")
+        .groupBy("gram")
+        .agg(F.count(F.lit(1)).alias("n_labels"))
+    )
+    rarity = F.struct(F.coalesce("n_labels", F.lit(0)).alias("n"), F.col("gram"))
+    filed = per_rule.select("id", "gram").join(counts, "gram", "left").groupBy("id").agg(F.min(rarity).alias("r"))
+    return rules.join(filed.select("id", F.col("r.gram").alias("gram")), "id")
+
+
+def rule_candidates(labels: DataFrame, rules: DataFrame, col: str = "norm_label") -> DataFrame:
+    """Labels with the rules that may match them: each rule meets only labels that hold its
+    rarest gram, so rules with a common beginning do not meet each other's labels.
+
+    The join is an equi join on the gram; adaptive execution splits a gram that many labels
+    hold. A rule whose parts are all empty meets every label. Ids are the key of the rule table.
+    """
+    distinct = labels.select(F.col(col)).filter(F.col(col).isNotNull()).distinct()
+    every = F.concat(F.array(F.lit("")), _grams(F.col(col), range(1, GRAM + 1)))
+    held = distinct.select(col, F.explode(every).alias("gram"))
+    return held.join(_gram_index(distinct, rules, col), "gram")
+
+
 def canonical_by_table(labels: DataFrame, rules: DataFrame, col: str = "norm_label") -> DataFrame:
     """The same result from a rule table of any size: (label, canonical).
 
-    Candidates come from an equi join on the first characters of part 1, so no
-    label meets a rule it has no text in common with. A rule with an empty part 1
-    meets every label, as in ``canonical_name``.
+    Candidates come from an index of rules by their rarest gram, see ``rule_candidates``.
+    A rule with an empty part 1 tests its other parts, as in ``canonical_name``.
     """
-    distinct = labels.select(F.col(col)).distinct()
-    keyed = rules.withColumn("gram", F.substring("m1", 1, GRAM)).withColumn(
-        "rank",
-        F.struct(
-            "priority",
-            F.length("m1") + F.length(F.coalesce("m2", F.lit(""))) + F.length(F.coalesce("m3", F.lit(""))),
-            "id",
-        ),
-    )
-    starts = F.sequence(F.lit(1), F.greatest(F.length(col), F.lit(1)))
-    grams = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.array(*[F.substring(F.col(col), i, F.lit(n)) for n in range(1, GRAM + 1)]),
-        )
-    )
-    every = F.concat(F.array(F.lit("")), F.coalesce(grams, F.array().cast("array<string>")))
-    candidates = distinct.select(col, F.explode(F.array_distinct(every)).alias("gram"))
     label = F.col(col)
 
     def has(part: str) -> Column:
         return F.col(part).isNull() | label.contains(F.col(part))
 
+    rank = F.struct(
+        "priority",
+        F.length("m1") + F.length(F.coalesce("m2", F.lit(""))) + F.length(F.coalesce("m3", F.lit(""))),
+        "id",
+    )
     best = (
-        candidates.join(keyed, "gram")
+        rule_candidates(labels, rules, col)
         .filter(label.contains(F.col("m1")) & has("m2") & has("m3"))
         .groupBy(col)
-        .agg(F.max_by("canonical_name", "rank").alias("canonical"))
+        .agg(F.max_by("canonical_name", rank).alias("canonical"))
     )
-    return distinct.join(best, col, "left")
+    return labels.select(col).distinct().join(best, col, "left")
 
 
 def tag_labels(

@@ -510,3 +510,39 @@ def _(spark, sf):
     )
     M.replace_merge_rules(spark, path)
     return M.replace_merge_rules(spark, path, rules)
+
+
+_SEGMENT_OF_RULE = "['auto', 'building', 'furni', 'mach', 'hold'][s_nationkey % 5 + 1]"
+
+
+@query(
+    "canonical_labels_by_rule_index",
+    f"""WITH labels AS (SELECT DISTINCT 'goods of store ' || c_custkey || ' ' || lower(c_mktsegment) AS norm_label FROM customer),
+    rules AS (SELECT s_suppkey AS id, CAST(s_nationkey % 3 AS BIGINT) AS priority, 'supplier ' || s_suppkey AS canonical,
+      'goods of store ' || s_suppkey AS m1,
+      CASE WHEN s_suppkey % 2 = 0 THEN {_SEGMENT_OF_RULE} END AS m2 FROM supplier),
+    best AS (SELECT norm_label, canonical, row_number() OVER (PARTITION BY norm_label
+        ORDER BY priority DESC, length(m1) + length(coalesce(m2, '')) DESC, id DESC) AS rn
+      FROM labels JOIN rules ON contains(norm_label, m1) AND (m2 IS NULL OR contains(norm_label, m2)))
+    SELECT l.norm_label, canonical FROM labels l LEFT JOIN best b ON b.norm_label = l.norm_label AND rn = 1""",
+)
+def _(spark, sf):
+    """A rule per supplier, all with one common beginning, over a label per store."""
+    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    labels = c.select(
+        F.concat(F.lit("goods of store "), "c_custkey", F.lit(" "), F.lower("c_mktsegment")).alias("norm_label")
+    )
+    segment = F.element_at(
+        F.array(*[F.lit(x) for x in ("auto", "building", "furni", "mach", "hold")]), F.col("s_nationkey") % 5 + 1
+    )
+    none = F.lit(None).cast("string")
+    rules = s.select(
+        F.col("s_suppkey").alias("id"),
+        (F.col("s_nationkey") % 3).alias("priority"),
+        F.concat(F.lit("supplier "), "s_suppkey").alias("canonical_name"),
+        F.concat(F.lit("goods of store "), "s_suppkey").alias("m1"),
+        F.when(F.col("s_suppkey") % 2 == 0, segment).alias("m2"),
+        none.alias("m3"),
+        none.alias("notes"),
+    )
+    return M.canonical_by_table(labels, rules)
