@@ -347,3 +347,53 @@ def stitch_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         "line_total",
     )
     return stores, invoices, items
+
+
+def scattered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A waybill page per document in one of six layouts, none with its fields at the usual place.
+
+    Between them the layouts need every fallback for names and addresses: names around or far
+    above their label or without one, addresses above, below or across broken captions, under
+    an id label, or anywhere. The document's whole text stands below the item caption.
+    """
+    key, n, source = F.col("doc_id").cast("string"), F.col("n_chars").cast("string"), F.col("source")
+    label = F.lit("მყიდველის (მიმღების) დასახელება")
+    done, start = F.lit("ტრანსპორტირების დასრულების ადგილი"), F.lit("ტრანსპორტირების დაწყების ადგილი")
+    seller = F.lit("შპს ელთი დისტრიბუცია")
+
+    def say(*parts: Column | str) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    # A caption's value runs on over the next line.
+    flat = say("ბინა ", key)
+    pages = (
+        (
+            label, F.lit("სახელი"), say("შპს მაღაზია ", source), say("ბათუმი #", key), F.lit("111"), start,
+            say("გორი, ქუჩა ", n), F.lit("12345678"), done, F.lit("შემდეგი"),
+        ),
+        (
+            F.lit("სათაური"), seller, say("შპს სმარტ ", source), say("სენაკი, ქუჩა ", key), start,
+            F.lit("ტრანსპორტირების"), say("დასრულების ადგილი: ფოთი, ქუჩა ", n), flat,
+        ),
+        (
+            start, say("| 12, თბილისი, სადღაც #", key), say("სს ბაზარი ", source), F.lit("\n".join("x" * 31)),
+            label, seller, F.lit("ტრანსპორტირების დასრუულების"), F.lit("ადგილი"), say("ზესტაფონი, ქუჩა ", n),
+        ),
+        (
+            say("გამყიდველის დასახელება თბილისი #", key), start,
+            say("შპს გამყიდველი 200200200 სს ზღაპარი ", source), label,
+            F.lit("საიდენტიფიკაციო / პირადი ნომერი"), F.lit("400 111 222"), say("ნაკვეთი ", n),
+        ),
+        (
+            say("| 7 ოპერაციის ქუთაისი, ქუჩა 1 #", key, " ", start), F.lit("x"), done,
+            F.lit("ოპერაციის შინაარსი"), say("ქუთაისი, გამზირი ", n),
+        ),
+        (say("შპს ერთი შპს ორი ", source), say(done, ": ბათუმი, ქუჩა 1"), label, say(done, ": თბილისი, ქუჩა ", n), flat),
+    )
+    layout = F.col("doc_id") % len(pages)
+    page = F.concat_ws("\n", *pages[0])
+    for i, lines in enumerate(pages[1:], start=1):
+        page = F.when(layout == i, F.concat_ws("\n", *lines)).otherwise(page)
+    whole = F.concat_ws("\n", page, F.lit("სასაქონლო ზედნადების ცხრილი"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", whole.alias("text"))
+    return docs.repartition("doc_id")

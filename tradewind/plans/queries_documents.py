@@ -7,10 +7,11 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
+from ..functions import text
 from ..functions.unicode import nfc
 from ..operators import documents as O
 from .catalog import query
-from .driver_tables import table, waybill_documents
+from .driver_tables import scattered_documents, table, waybill_documents
 from .queries_loading import _DOCS
 
 
@@ -105,6 +106,49 @@ def _(spark, sf):
     )
 
 
+@query(
+    "document_fallbacks",
+    """SELECT doc_id,
+      CASE doc_id % 6 WHEN 0 THEN 'შპს მაღაზია ' || source WHEN 1 THEN 'შპს სმარტ ' || source WHEN 2 THEN 'სს ბაზარი ' || source
+        WHEN 3 THEN 'სს ზღაპარი ' || source WHEN 5 THEN 'შპს ორი ' || source END AS buyer_name,
+      CASE doc_id % 6 WHEN 0 THEN 'ბათუმი #' || doc_id WHEN 1 THEN 'სენაკი, ქუჩა ' || doc_id WHEN 2 THEN 'თბილისი, სადღაც #' || doc_id
+        WHEN 3 THEN 'თბილისი #' || doc_id WHEN 4 THEN 'ქუთაისი, ქუჩა 1 #' || doc_id END AS origin,
+      CASE doc_id % 6 WHEN 0 THEN 'გორი, ქუჩა ' WHEN 1 THEN 'ფოთი, ქუჩა ' WHEN 2 THEN 'ზესტაფონი, ქუჩა ' WHEN 3 THEN 'ნაკვეთი '
+        WHEN 4 THEN 'ქუთაისი, გამზირი ' ELSE 'თბილისი, ქუჩა ' END || n_chars
+        || CASE WHEN doc_id % 6 IN (1, 5) THEN ' ბინა ' || doc_id ELSE '' END AS destination
+    FROM documents""",
+)
+def _(spark, sf):
+    """Pages whose names and addresses only the fallbacks find, every fallback by many pages."""
+    lined = scattered_documents(spark, sf).withColumn("lines", D.clean_lines(F.col("text")))
+    lines = F.col("lines")
+    return lined.select(
+        "doc_id",
+        D.buyer_name(lines).alias("buyer_name"),
+        D.origin_address(lines).alias("origin"),
+        D.destination_address(F.col("text"), lines).alias("destination"),
+    )
+
+
+@query(
+    "document_name_by_header",
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'around' WHEN 1 THEN 'header' WHEN 2 THEN 'header' WHEN 3 THEN 'above'
+      WHEN 5 THEN 'above' ELSE 'none' END AS found FROM documents""",
+)
+def _(spark, sf):
+    """Which step of the cascade named the buyer: the line above, the window around, the header."""
+    lined = scattered_documents(spark, sf).withColumn("lines", D.clean_lines(F.col("text")))
+    lines = F.col("lines")
+    return lined.select(
+        "doc_id",
+        F.when(text.blank_to_null(D.buyer_name_above_label(lines)).isNotNull(), "above")
+        .when(D.buyer_name_near_label(lines).isNotNull(), "around")
+        .when(D.buyer_name_in_header(lines).isNotNull(), "header")
+        .otherwise("none")
+        .alias("found"),
+    )
+
+
 @query(
     "document_regions",
     """SELECT doc_id, ' (მიმღების) დასახელება' || chr(10) || 'საიდენტიფიკაციო / პირადი ნომერი' || chr(10) || '400111222' || chr(10)
