@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import dates
 from ..functions.text import let
+from ..sources.stored_days import PARTS, first_day, grain_of, parts_of_period
 from ..sources.tables import Star
 
 
 def filter_by_date_range(df: DataFrame, col: str, start: date, end: date) -> DataFrame:
-    """Inclusive day filter; a frame without the column is returned unchanged."""
-    return df.filter(dates.on_days(F.col(col), start, end)) if col in df.columns else df
+    """Inclusive day filter; a frame without the column is returned unchanged.
+
+    A frame stored by day or month is filtered on that as well, so that others are not read.
+    """
+    if col not in df.columns:
+        return df
+    kept = df.filter(dates.on_days(F.col(col), start, end))
+    parts = parts_of_period(df, start, end) if col == "effective_date" else None
+    return kept if parts is None else kept.filter(parts)
 
 
 def period_mask(df: DataFrame, start: date, end: date) -> Column:
@@ -31,7 +39,25 @@ def period_mask(df: DataFrame, start: date, end: date) -> Column:
 
 
 def in_period(df: DataFrame, start: date, end: date) -> DataFrame:
-    return df.filter(period_mask(df, start, end))
+    """Rows of ``period_mask``; of a frame stored by day, other days are not read."""
+    kept = df.filter(period_mask(df, start, end))
+    parts = parts_of_period(df, start, end)
+    # Rows without an effective date are stored together and may count by their creation.
+    return kept if parts is None else kept.filter(parts | F.col(PARTS[grain_of(df)]).isNull())
+
+
+def on_listed_days(df: DataFrame, days: DataFrame, day: str = "day") -> DataFrame:
+    """Rows of the days in a frame, rows without a date left out.
+
+    A frame stored by day reads only those days: the list becomes a partition filter when
+    the query runs.
+    """
+    grain = grain_of(df)
+    listed = days.select(F.to_date(day).alias("listed_day")).distinct()
+    same = F.to_date("effective_date") == F.col("listed_day")
+    if grain:
+        same &= F.col(PARTS[grain]) == first_day(F.col("listed_day"), grain)
+    return df.join(listed, same, "left_semi")
 
 
 def user_scope(users: DataFrame, user_stores: DataFrame, username: str) -> DataFrame | None:

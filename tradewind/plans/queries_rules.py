@@ -9,8 +9,9 @@ from ..functions.matching import char_ratio, token_jaccard, waybill_keys
 from ..functions.returns import is_return_document, not_return_by_phrases
 from ..operators import entities as E
 from ..operators import merge_rules as M
-from ..operators.scope import filter_by_date_range, in_period
+from ..operators.scope import filter_by_date_range, in_period, on_listed_days
 from ..session import shared_folder
+from ..sources.stored_days import store_by_day
 from ..sources.tables import enrich_stores, load_frames, load_invoices
 from . import sql as S
 from .catalog import query
@@ -107,6 +108,40 @@ def _(spark, sf):
     return filter_by_date_range(table(spark, sf, "events"), "ts", start, end).select("event_id", "user_id", "value")
 
 
+@query(
+    "stored_invoices_of_period",
+    f"""SELECT o_orderkey AS invoice_id, CAST(o_orderdate AS DATE) AS effective_date, o_totalprice AS revenue_gel, {_DISPLAY} AS store_name
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+    WHERE o_orderdate >= DATE '{START}' AND o_orderdate < DATE '{END}' + INTERVAL 1 DAY""",
+)
+def _(spark, sf):
+    """Invoices parsed once and stored by month, then those of a period."""
+    folder = shared_folder(spark, "invoices-by-day")
+    loaded = load_invoices(raw_invoices(spark, sf), raw_stores(spark, sf))
+    stored = store_by_day(loaded, f"{folder}/invoices", "invoice_id", grain="month", work=folder)
+    return in_period(stored, START, END).select("invoice_id", "effective_date", "revenue_gel", "store_name")
+
+
+@query(
+    "stored_lines_of_listed_days",
+    f"""SELECT CAST(o_orderdate AS DATE) AS effective_date, count(*) AS n_lines, CAST({S.dec('l_extendedprice')} AS DOUBLE) AS amount
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    WHERE CAST(o_orderdate AS DATE) IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_totalprice > 400000) GROUP BY 1""",
+)
+def _(spark, sf):
+    """Lines stored by month, summed for the days that had a very large invoice."""
+    folder = shared_folder(spark, "lines-by-day")
+    _, lines = load_frames(
+        raw_invoices(spark, sf), raw_items(spark, sf), raw_stores(spark, sf), raw_products(spark, sf)
+    )
+    stored = store_by_day(lines, f"{folder}/lines", "invoice_id", "line_id", grain="month", work=folder)
+    large = table(spark, sf, "orders").filter(F.col("o_totalprice") > 400000)
+    listed = on_listed_days(stored, large.select(F.col("o_orderdate").alias("day")))
+    return listed.groupBy("effective_date").agg(
+        F.count(F.lit(1)).alias("n_lines"), money.as_double(money.exact_sum(F.col("line_total"))).alias("amount")
+    )
+
+
 @query("is_return_document", f"SELECT o_orderkey AS id, {_RETURN} AS is_return FROM orders")
 def _(spark, sf):
     return raw_invoices(spark, sf).select(
