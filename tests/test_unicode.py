@@ -2,7 +2,7 @@ import random
 import unicodedata
 
 from tradewind.functions.text import fix_store_name_typos, normalize_address
-from tradewind.functions.unicode import MARKS, nfc
+from tradewind.functions.unicode import MARKS, _paired, nfc
 
 
 def test_nfc_equals_the_standard(evaluate):
@@ -31,3 +31,12 @@ def test_null_and_use_in_names_and_addresses(evaluate):
     assert evaluate(nfc, [None]) == [None]
     assert evaluate(normalize_address, ["Rue de l'École ＃5 "]) == ["Rue de l'École #5"]
     assert evaluate(fix_store_name_typos, ["Café"]) == ["Café"]
+
+
+def test_a_letter_with_one_mark_is_read_by_its_place(evaluate):
+    chars = [chr(p) for p in range(0xC0, 0x2000)]
+    parts = [(unicodedata.normalize("NFC", d[:-1]) + d[-1], c) for c in chars for d in [unicodedata.normalize("NFD", c)]]
+    pairs = [(p, c) for p, c in parts if len(p) == 2 and p[1] in MARKS and unicodedata.normalize("NFC", c) == c]
+    assert len(pairs) > 700
+    assert evaluate(_paired, [p for p, _ in pairs]) == [c for _, c in pairs]
+    assert evaluate(_paired, ["xა", "qu", "é", "", "é̂", "q́", "\U0001f600́"]) == [""] * 7

@@ -4,7 +4,8 @@ Covers the marks of U+0300 to U+036F and every letter that takes them (Latin, Gr
 and all characters that have one other canonical form. Tables come from the Unicode data of the
 driver's Python. A text without marks is one look; in others only a letter and its marks are
 taken apart: the letter is decomposed, marks are sorted by their class, and each mark that no
-other of its class stands before is composed with the letter if there is such a letter.
+other of its class stands before is composed with the letter if there is such a letter. A letter
+with a single mark is looked up by place first; only the others take that longer way.
 """
 
 from __future__ import annotations
@@ -45,6 +46,30 @@ def _tables() -> tuple[str, str, str, str]:
     return "".join(old), "".join(new), "".join(pairs), "".join(parts) + _START
 
 
+@cache
+def _grid() -> tuple[str, str, str, int]:
+    """Compositions of a letter and one mark as lists to be read by place: the row of a letter by
+    its code point, the column of a mark, the composed letters row by row, and the row length."""
+    pairs = _tables()[2].split(_START)[1:]
+    letters = {letter: row for row, letter in enumerate(dict.fromkeys(p[0] for p in pairs), start=1)}
+    marks = {mark: column for column, mark in enumerate(dict.fromkeys(p[1] for p in pairs))}
+    cells = [""] * ((len(letters) + 1) * (len(marks) + 1))
+    for letter, mark, whole in pairs:
+        cells[letters[letter] * (len(marks) + 1) + marks[mark]] = whole
+    rows = [str(letters.get(chr(point), 0)) for point in range(max(map(ord, letters)) + 1)]
+    columns = [str(marks.get(mark, len(marks))) for mark in MARKS]
+    return ",".join(rows), ",".join(columns), ",".join(cells), len(marks) + 1
+
+
+def _paired(cluster: Column) -> Column:
+    """The composed letter for a letter and one mark that compose at once, else ''."""
+    rows, columns, cells, width = _grid()
+    # Lists of literals are made once per query, a look-up costs the same at every place.
+    row = F.get(F.split(F.lit(rows), ",").cast("array<int>"), F.ascii(cluster))
+    column = F.get(F.split(F.lit(columns), ",").cast("array<int>"), F.ascii(F.substring(cluster, 2, 1)) - F.lit(FIRST_MARK))
+    return F.when(F.char_length(cluster) == 2, F.coalesce(F.get(F.split(F.lit(cells), ","), row * width + column), F.lit(""))).otherwise(F.lit(""))
+
+
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -94,7 +119,11 @@ def nfc(col: Column) -> Column:
     def whole(text: Column) -> Column:
         each = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         marked = F.transform(
-            each, lambda c: F.when(c.rlike(rf"^[^{_CLASS}][{_CLASS}]"), _composed(c)).otherwise(c)
+            each,
+            lambda c: F.when(
+                c.rlike(rf"^[^{_CLASS}][{_CLASS}]"),
+                _let(_paired(c), lambda whole: F.when(whole == "", _composed(c)).otherwise(whole)),
+            ).otherwise(c),
         )
         return F.when(text.rlike(f"[{_CLASS}]"), F.array_join(marked, "")).otherwise(text)
 
