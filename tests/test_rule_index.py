@@ -57,3 +57,19 @@ def test_common_beginning_does_not_multiply_candidates(spark):
     assert n <= candidates < 10 * n
     got = M.canonical_by_table(labels, rules)
     assert got.filter("canonical IS NULL").isEmpty() and got.count() == n
+
+
+def test_numbered_rules_meet_labels_of_their_number_only_and_nothing_is_broadcast(spark):
+    """Rules that end in a number: three characters of it are held by many labels, the whole by few."""
+    n = 4_000
+    ids = spark.range(1, n + 1)
+    none = F.lit(None).cast("string")
+    text = F.concat(F.lit("goods of store "), F.col("id") + 1_000_000)
+    rules = ids.select(
+        "id", F.lit(1).alias("priority"), F.concat(F.lit("r"), "id").alias("canonical_name"),
+        text.alias("m1"), none.alias("m2"), none.alias("m3"), none.alias("notes"),
+    )
+    labels = ids.select(F.concat(text, F.lit(" end")).alias("norm_label"))
+    found = M.rule_candidates(labels, rules)
+    assert found.count() == n
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -14,7 +14,8 @@ from ..schema import table_schema
 
 Rule = tuple[int, str, str, str | None, str | None]
 
-GRAM = 3
+#: Lengths of grams: a part is filed under stretches of the greatest length that it holds.
+GRAMS = (1, 2, 3, 6, 12, 24)
 
 
 def merge_rules_table(spark: SparkSession, rules: Sequence[Rule] = V.MERGE_RULES) -> DataFrame:
@@ -69,29 +70,34 @@ def _grams(text: Column, sizes: Sequence[int]) -> Column:
 def _gram_index(labels: DataFrame, rules: DataFrame, col: str) -> DataFrame:
     """Each rule filed under the one of its grams that the fewest labels hold.
 
-    All parts of a rule count, as a label must hold each of them. A part of fewer than
-    ``GRAM`` characters is a gram itself; a rule of empty parts is filed under '', which
-    every label holds.
+    All parts of a rule count, as a label must hold each of them. A part has grams of the
+    greatest length in ``GRAMS`` that it reaches, since a longer gram is never held by more
+    labels than a shorter one in it; a rule of empty parts is filed under '', which every label
+    holds. Grams grow with labels and rules and by more than file sizes tell, so the joins here
+    are never broadcast.
     """
 
     def part_grams(part: str) -> Column:
         text = F.coalesce(F.col(part), F.lit(""))
-        short = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
-        return F.when(F.length(text) < GRAM, short).otherwise(_grams(text, [GRAM]))
+        found = F.when(F.length(text) < GRAMS[0], F.array().cast("array<string>"))
+        for size, longer in zip(GRAMS, GRAMS[1:]):
+            found = found.when(F.length(text) < longer, _grams(text, [size]))
+        return found.otherwise(_grams(text, GRAMS[-1:]))
 
     grams = F.array_distinct(F.flatten(F.array(*[part_grams(p) for p in ("m1", "m2", "m3")])))
     none = F.size(grams) == 0
     per_rule = rules.select("*", F.explode(F.when(none, F.array(F.lit(""))).otherwise(grams)).alias("gram"))
-    # Only grams of rules are counted; equal grams are summed before they are shuffled.
-    held = labels.select(F.explode(_grams(F.col(col), range(1, GRAM + 1))).alias("gram"))
+    # Equal grams are summed before they are shuffled.
+    held = labels.select(F.explode(_grams(F.col(col), GRAMS)).alias("gram"))
     counts = (
-        held.join(per_rule.select("gram").distinct(), "gram", "left_semi")
-        .groupBy("gram")
+        held.groupBy("gram")
         .agg(F.count(F.lit(1)).alias("n_labels"))
+        .join(per_rule.select("gram").distinct().hint("merge"), "gram", "left_semi")
     )
     rarity = F.struct(F.coalesce("n_labels", F.lit(0)).alias("n"), F.col("gram"))
-    filed = per_rule.select("id", "gram").join(counts, "gram", "left").groupBy("id").agg(F.min(rarity).alias("r"))
-    return rules.join(filed.select("id", F.col("r.gram").alias("gram")), "id")
+    with_counts = per_rule.select("id", "gram").join(counts.hint("merge"), "gram", "left")
+    filed = with_counts.groupBy("id").agg(F.min(rarity).alias("r"))
+    return rules.join(filed.select("id", F.col("r.gram").alias("gram")).hint("merge"), "id")
 
 
 def rule_candidates(labels: DataFrame, rules: DataFrame, col: str = "norm_label") -> DataFrame:
@@ -102,9 +108,10 @@ def rule_candidates(labels: DataFrame, rules: DataFrame, col: str = "norm_label"
     hold. A rule whose parts are all empty meets every label. Ids are the key of the rule table.
     """
     distinct = labels.select(F.col(col)).filter(F.col(col).isNotNull()).distinct()
-    every = F.concat(F.array(F.lit("")), _grams(F.col(col), range(1, GRAM + 1)))
+    every = F.concat(F.array(F.lit("")), _grams(F.col(col), GRAMS))
     held = distinct.select(col, F.explode(every).alias("gram"))
-    return held.join(_gram_index(distinct, rules, col), "gram")
+    # By the size of the label file alone, all grams of all labels might be broadcast.
+    return held.hint("merge").join(_gram_index(distinct, rules, col), "gram")
 
 
 def canonical_by_table(labels: DataFrame, rules: DataFrame, col: str = "norm_label") -> DataFrame:
