@@ -85,3 +85,21 @@ def test_default_rules_prefer_french_toast(spark):
     df = spark.createDataFrame([(1, "ფრანგული ტოსტის პური"), (2, "| 3 | სენდვიჩ ტოსტი 47036"), (3, "კულიჩი  47ო")], "i int, raw string")
     got = [r.canonical for r in M.tag_labels(df, "raw").orderBy("i").collect()]
     assert got == ["ფრანგული ტოსტის პური", "სენდვიჩ ტოსტი (470გრ პური)", "კულიჩი (470გრ)"]
+
+
+def test_pairs_added_in_the_same_pass(spark):
+    base = spark.createDataFrame([(1, 1), (1, 1), (7, 2), (2, None)], "user_id long, store_id long")
+    sold = spark.createDataFrame([(1, 1), (7, 9), (3, 3), (3, 3)], "user_id long, store_id long")
+    once = A.replace_user_stores(base, 7, [3, 5, 5], also=sold)
+    twice = A.add_pairs(A.replace_user_stores(base, 7, [3, 5, 5]), sold)
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    assert once.count() == 6
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_removed_pairs_are_hashed_and_repeated_pairs_stay(spark):
+    base = spark.createDataFrame([(1, 1), (1, 1), (2, 2), (3, None)], "user_id long, store_id long")
+    gone = spark.createDataFrame([(2, 2), (2, 2), (3, None)], "user_id long, store_id long")
+    left = A.remove_pairs(base, gone)
+    assert sorted((r.user_id, r.store_id or 0) for r in left.collect()) == [(1, 1), (1, 1), (3, 0)]
+    assert "ShuffledHashJoin" in left._jdf.queryExecution().executedPlan().toString()

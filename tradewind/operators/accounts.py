@@ -44,12 +44,20 @@ def remove_user(current: DataFrame, user_id: int) -> DataFrame:
     return current.filter(F.col("user_id") != user_id)
 
 
-def replace_user_stores(current: DataFrame, user_id: int, store_ids: Iterable[int]) -> DataFrame:
-    return add_pairs(remove_user(current, user_id), _pairs(current, user_id, store_ids))
+def replace_user_stores(
+    current: DataFrame, user_id: int, store_ids: Iterable[int], also: DataFrame | None = None
+) -> DataFrame:
+    """The user's pairs replaced; pairs of ``also`` are added in the same pass over all pairs."""
+    new = _pairs(current, user_id, store_ids)
+    if also is not None:
+        new = new.unionByName(also.select("user_id", "store_id"))
+    return add_pairs(remove_user(current, user_id), new)
 
 
 def remove_pairs(current: DataFrame, gone: DataFrame) -> DataFrame:
-    return current.join(gone.select("user_id", "store_id"), ["user_id", "store_id"], "left_anti")
+    """Pairs that are not in ``gone``, which is hashed part by part: the many pairs are not sorted."""
+    keys = ["user_id", "store_id"]
+    return current.join(gone.select(*keys).distinct().hint("shuffle_hash"), keys, "left_anti")
 
 
 def default_assignment(stores: DataFrame, user_id: int, n: int = 8) -> DataFrame:

@@ -348,7 +348,8 @@ def _(spark, sf):
 
 def _pairs(spark, sf):
     """(user, store) pairs: a supplier serves the customers of its nation."""
-    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    # A customer has a pair for each supplier of its nation: customers are dealt to all cores first.
+    c, s = table(spark, sf, "customer").repartition("c_custkey"), table(spark, sf, "supplier")
     return c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select(
         F.col("s_suppkey").alias("user_id"), F.col("c_custkey").alias("store_id")
     )
@@ -367,7 +368,7 @@ def _(spark, sf):
     sold = table(spark, sf, "lineitem").join(
         table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     ).select(F.col("l_suppkey").alias("user_id"), F.col("o_custkey").alias("store_id"))
-    return A.add_pairs(A.replace_user_stores(_pairs(spark, sf), 7, [3, 5, 5]), sold)
+    return A.replace_user_stores(_pairs(spark, sf), 7, [3, 5, 5], also=sold)
 
 
 @query(
