@@ -96,3 +96,14 @@ def test_waybill_keys(spark):
         df = spark.createDataFrame([(number, found)], "n string, f string")
         got = df.select(matching.waybill_keys(F.col("n"), F.col("f"))).first()[0]
         assert set(got) == want
+
+
+def test_parts_of_one_file_are_dealt_before_names_are_compared(spark, tmp_path):
+    from tradewind.plans import catalog
+
+    rows = [(i, f"large ring {i}", "Brand#7", "SMALL", 1, 9.0) for i in range(50)]
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = catalog.load_all()[0]["name_similarity"](spark, str(tmp_path))
+    assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() == 50
