@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradewind.functions import documents as D
+from tradewind.functions import text as T
 from tradewind.operators import documents as O
 
 LABEL = "მყიდველის (მიმღების) დასახელება"
@@ -172,3 +173,11 @@ def test_whole_texts_are_read(spark):
     text = "x" * 1_000_000 + "\n" + "\n".join(f"ნივთი{i} {i} 2" for i in range(500))
     docs = spark.createDataFrame([(1, text.replace("ნივთი", "რძე"))], "doc_id long, text string")
     assert O.extract_line_items(docs).count() == 500
+
+
+def test_values_are_made_once(spark):
+    """The unloading place and the captions are looked for once, though several steps read them."""
+    docs = spark.createDataFrame([("a", ["a"])], "text string, lines array<string>")
+    found = docs.select(D.destination_address(F.col("text"), F.col("lines")).alias("x"), T.find(F.col("text"), "(y+)").alias("y"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("დასრ)") == 1 and plan.count("y+") == 1

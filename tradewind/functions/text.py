@@ -39,7 +39,7 @@ def sub(col: Column, pattern: str, replacement: str) -> Column:
 
 def find(col: Column, pattern: str, group: int = 1) -> Column:
     """First match of a group, NULL when nothing (or nothing but '') matches."""
-    return F.nullif(F.regexp_extract(col, rx(pattern), group), F.lit(""))
+    return blank_to_null(F.regexp_extract(col, rx(pattern), group))
 
 
 def strip(col: Column) -> Column:
@@ -66,7 +66,8 @@ def contains_all(col: Column, words: Sequence[str]) -> Column:
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.nullif(col, F.lit(""))
+    """NULL for '', with the value made once: ``nullif`` makes it for the test and for the result."""
+    return let(col, lambda v: F.when(v != "", v))
 
 
 def apply_fixes(col: Column, fixes: Sequence[tuple[str, str]]) -> Column:
@@ -187,9 +188,13 @@ def clean_store_name(col: Column) -> Column:
     s = sub(s, V.NAME_SELLER_NOISE, " ")
     s = strip_chars(sub(s, r"\s+", " "), V.NAME_STRIP_CHARS)
     s = squeeze(apply_fixes(squeeze(s), V.STORE_NAME_FIXES))
-    has_form = s.contains(V.LEGAL_FORM_LTD) | s.contains(V.LEGAL_FORM_JSC)
-    no_paren = strip_chars(sub(s, V.NAME_TRAILING_PAREN, ""), V.NAME_STRIP_CHARS)
-    return blank_to_null(F.when(has_form, no_paren).otherwise(s))
+
+    def without_paren(name: Column) -> Column:
+        has_form = name.contains(V.LEGAL_FORM_LTD) | name.contains(V.LEGAL_FORM_JSC)
+        no_paren = strip_chars(sub(name, V.NAME_TRAILING_PAREN, ""), V.NAME_STRIP_CHARS)
+        return F.when(has_form, no_paren).otherwise(name)
+
+    return blank_to_null(let(s, without_paren))
 
 
 def fix_address_ocr(col: Column) -> Column:
