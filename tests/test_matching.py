@@ -107,3 +107,26 @@ def test_parts_of_one_file_are_dealt_before_names_are_compared(spark, tmp_path):
     df = catalog.load_all()[0]["name_similarity"](spark, str(tmp_path))
     assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
     assert df.count() == 50
+
+
+def test_names_are_taken_apart_once_each_with_a_work_folder(spark, tmp_path):
+    rng = random.Random(11)
+    stores = list(enumerate(random_names(40, 5), start=1))
+    names = [scan(s, rng) for _, s in stores * 3]
+    # Every store comes again under larger ids, one of them without an id.
+    copies = stores + [(i + 100, s) for i, s in stores] + [(None, "ხხხ")]
+    args = (
+        spark.createDataFrame([(n,) for n in [*names, "", "ხხხ"] * 3], "name string"),
+        spark.createDataFrame(copies, "id long, name string"),
+    )
+    planned, kept = fuzzy_match_stores(*args), fuzzy_match_stores(*args, work=str(tmp_path))
+    assert sorted(map(str, planned.collect())) == sorted(map(str, kept.collect()))
+    by_name = {r.name: r for r in kept.collect()}
+    assert by_name["ხხხ"].matched_store_id is None
+    for name in {n for n in names if n}:
+        assert (by_name[name].matched_store_id, by_name[name].matched_store_name) == brute(name, stores)[:2]
+    folders = {p.name.rsplit("-", 1)[0]: spark.read.parquet(str(p)) for p in tmp_path.iterdir()}
+    assert folders["wanted-names"].count() == len({*names, "ხხხ"} - {""})
+    assert folders["known-stores"].count() == len({s for _, s in copies})
+    # The inputs are not read again, so nothing runs on each of their rows.
+    assert "LogicalRDD" not in kept._jdf.queryExecution().optimizedPlan().toString()

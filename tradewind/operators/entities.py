@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import text
 from ..functions.matching import chars, occurrences, token_set
+from ..session import kept_in
 from .keys import assign_ids, hash_block, next_id, order_block
 
 _TOKEN_SEP = "\u0001"
@@ -87,23 +88,30 @@ def fuzzy_match_stores(
     stores: DataFrame,
     threshold: float = V.FUZZY_THRESHOLD,
     token_weight: float = V.TOKEN_WEIGHT,
+    work: str | None = None,
 ) -> DataFrame:
     """Best store per distinct name: (name, matched_store_id, matched_store_name, score).
 
     The score is the larger of the character ratio and ``token_weight`` times the
     token overlap; the smallest id wins ties; scores below the threshold give no
     match and score 0. Exact: with a threshold of at least ``token_weight`` a token
-    match needs equal token sets, and the character join loses no pair.
+    match needs equal token sets, and the character join loses no pair. Names are taken
+    apart once each, not once per row; with a ``work`` folder the distinct names and stores
+    are written there first, as several steps read them and filters on their characters
+    would else run on every row of the inputs.
     """
     if threshold < token_weight:
         raise ValueError("threshold below token_weight: token overlap could not be blocked exactly")
     wanted = _keyed(
         names.select(F.col("name").alias("wanted")).filter(F.col("wanted") != "").distinct(), "wanted"
     )
-    known = _keyed(
-        stores.filter(F.col("name").isNotNull()).select(F.col("id").alias("store_id"), F.col("name").alias("store_name")),
-        "store_name",
+    wanted = kept_in(work, "wanted-names", wanted)
+    # The first id of a name; a store without an id comes before all others.
+    first_id = F.when(~F.bool_or(F.col("id").isNull()), F.min("id"))
+    by_name = stores.filter(F.col("name").isNotNull()).groupBy(F.col("name").alias("store_name")).agg(
+        first_id.alias("store_id")
     )
+    known = kept_in(work, "known-stores", _keyed(by_name, "store_name"))
 
     def first_store(key: str) -> DataFrame:
         return known.groupBy(key).agg(F.min(F.struct("store_id", "store_name")).alias("s")).select(

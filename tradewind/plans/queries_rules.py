@@ -410,7 +410,7 @@ def _(spark, sf):
     stores = table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), F.concat(F.lit("Ltd "), "p_brand", F.lit(" "), "p_name").alias("name")
     )
-    return E.fuzzy_match_stores(_scanned_names(spark, sf), stores)
+    return E.fuzzy_match_stores(_scanned_names(spark, sf), stores, work=shared_folder(spark, "fuzzy"))
 
 
 @query(
