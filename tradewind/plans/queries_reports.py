@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.scope import exclude_unknown_store, scope_filter, store_focus, store_search
+from ..session import with_smaller_partitions
 from ..sources.tables import load_invoices, load_line_items, load_star
 from . import planning as P
 from . import reports as R
@@ -421,6 +422,7 @@ def _report_sql() -> str:
 
 @query("session_report", _report_sql())
 def _(spark, sf):
+    spark = with_smaller_partitions(spark)
     return session_report(star(spark, sf), *PERIOD, "როგორია #12?", _nation_scope(spark, sf))
 
 

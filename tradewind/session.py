@@ -31,6 +31,24 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
+def with_smaller_partitions(spark: SparkSession, size: str = "16m") -> SparkSession:
+    """A session with the caller's settings whose shuffled partitions are cut at ``size``.
+
+    Sums and sorts of a task take about twenty times the compressed bytes that it reads, so
+    partitions merged up to Spark's default of 64 MB cost a task more than a gigabyte. A size
+    that the caller has set is kept, and the caller's own session stays as it is.
+    """
+    key, given = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.getAll
+    if key in given:
+        return spark
+    session = spark.newSession()
+    for name, value in given.items():
+        if session.conf.isModifiable(name) and session.conf.get(name, None) != value:
+            session.conf.set(name, value)
+    session.conf.set(key, size)
+    return session
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor reaches.
 
