@@ -29,7 +29,7 @@ def test_a_size_of_the_caller_is_kept(spark):
         spark.conf.unset(SIZE)
 
 
-@pytest.mark.parametrize("name", ["session_report"])
+@pytest.mark.parametrize("name", ["session_report", "import_stores", "import_invoices", "import_items", "import_counts"])
 def test_queries_keep_partitions_small(spark, name):
     df = catalog.load_all()[0][name](spark, SF)
     assert df.sparkSession.conf.get(SIZE) == "16m"

@@ -8,7 +8,7 @@ from ..operators import accounts as A
 from ..operators import ingest as I
 from ..operators import stitching as ST
 from ..operators.documents import extract_documents
-from ..session import shared_folder
+from ..session import shared_folder, with_smaller_partitions
 from ..sources.usage_log import read_usage_errors, read_usage_log, usage_by_user_model, usage_costs
 from ..sources.waybills import bad_lines, good_lines, parse_waybills, read_waybill_records, stream_waybill_xml
 from ..streaming import waybill_stream as WS
@@ -196,6 +196,7 @@ def _(spark, sf):
 
 def _import(spark, sf):
     """Import all lines into tables that already know some stores and invoices."""
+    spark = with_smaller_partitions(spark)
     known_stores = table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name")
     )
