@@ -1,6 +1,11 @@
+import pytest
+from pyspark.sql import functions as F
+
 from tradewind.operators import accounts as A
 from tradewind.operators import merge_rules as M
 from tradewind.operators.entities import fill_store_addresses, store_address_status
+from tradewind.plans import catalog
+from tradewind.plans.driver_tables import SCHEMAS
 
 
 def pairs(df):
@@ -103,3 +108,48 @@ def test_removed_pairs_are_hashed_and_repeated_pairs_stay(spark):
     left = A.remove_pairs(base, gone)
     assert sorted((r.user_id, r.store_id or 0) for r in left.collect()) == [(1, 1), (1, 1), (3, 0)]
     assert "ShuffledHashJoin" in left._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffles(df):
+    return [line.strip() for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def served(spark, parts):
+    """Pairs of 40 stores with the users of their group, dealt by store before they become many."""
+    stores = spark.range(40).select(F.col("id").alias("store_id"), (F.col("id") % 3).alias("g")).repartition(parts, "store_id")
+    users = spark.range(90).select(F.col("id").alias("user_id"), (F.col("id") % 3).alias("h"))
+    return stores.join(F.broadcast(users), F.col("g") == F.col("h")).select("user_id", "store_id")
+
+
+def test_pairs_that_are_dealt_by_store_are_added_to_where_they_are(spark):
+    sold = spark.createDataFrame([(1, 1), (7, 9), (3, 77), (3, 77), (5, None)], "user_id long, store_id long")
+    got = A.replace_user_stores(served(spark, 5), 7, [3, 5, 5], also=sold, parts=5)
+    # Stores before they become pairs, and the new pairs; never all pairs.
+    assert len(shuffles(got)) == 2 and not any("user_id" in x for x in shuffles(got))
+    want = A.replace_user_stores(served(spark, 5), 7, [3, 5, 5], also=sold)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.count() == 40 * 30 - 13 + 5
+
+
+@pytest.fixture
+def small_tables(spark, tmp_path):
+    """Tables in which keys repeat or are null, and suppliers sell to customers of other nations."""
+    rows = {
+        "customer": [(i if i != 5 else None, f"c{i}", i % 3 if i != 8 else None, 0.0, "x") for i in range(1, 31)] + [(4, "c4", 1, 0.0, "x")],
+        "supplier": [(i if i != 6 else None, f"s{i}", i % 3, 0.0) for i in range(1, 13)] + [(9, "s9", 0, 0.0), (11, "s11", 2, 0.0)],
+        "orders": [(i, i % 33 if i % 7 else None, "O", 1.0, None, "p") for i in range(60)],
+        "lineitem": [(i % 70, 1, i % 14 or None, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", None) for i in range(300)],
+    }
+    for name, data in rows.items():
+        spark.createDataFrame(data, SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    pairs = [(s[0], c[0]) for c in rows["customer"] for s in rows["supplier"] if c[2] is not None and c[2] == s[2]]
+    sold = {(line[2], o[1]) for line in rows["lineitem"] for o in rows["orders"] if line[0] == o[0]}
+    return str(tmp_path), pairs, sold
+
+
+def test_queries_of_pairs_shuffle_no_pairs_of_a_nation(spark, small_tables):
+    folder, pairs, sold = small_tables
+    assigned = catalog.load_all()[0]["assign_stores"](spark, folder)
+    kept = [p for p in pairs if p[0] is not None and p[0] != 7]
+    assert sorted(map(str, map(tuple, assigned.collect()))) == sorted(map(str, {*kept, *sold, (7, 3), (7, 5)}))
+    assert not any("user_id" in x or "s_suppkey" in x or "c_nationkey" in x for x in shuffles(assigned))

@@ -30,10 +30,19 @@ def _pairs(current: DataFrame, user_id: int, store_ids: Iterable[int]) -> DataFr
     return current.sparkSession.createDataFrame(rows, "user_id long, store_id long")
 
 
-def add_pairs(current: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert or ignore (user, store) pairs."""
-    keys = ["user_id", "store_id"]
-    return current.select(*keys).unionByName(new.select(*keys)).dropDuplicates(keys)
+def _dealt(pairs: DataFrame, parts: int | None) -> DataFrame:
+    """Pairs dealt by store over ``parts`` partitions; those that are dealt so already are not moved."""
+    keys = pairs.select("user_id", "store_id")
+    return keys if parts is None else keys.repartition(parts, "store_id")
+
+
+def add_pairs(current: DataFrame, new: DataFrame, parts: int | None = None) -> DataFrame:
+    """Insert or ignore (user, store) pairs.
+
+    With ``parts`` both are dealt by store over so many partitions, so that many pairs which
+    were made store by store stay where they are and only the others are shuffled.
+    """
+    return _dealt(current, parts).unionByName(_dealt(new, parts)).dropDuplicates(["user_id", "store_id"])
 
 
 def assign_store(current: DataFrame, user_id: int, store_id: int) -> DataFrame:
@@ -45,13 +54,16 @@ def remove_user(current: DataFrame, user_id: int) -> DataFrame:
 
 
 def replace_user_stores(
-    current: DataFrame, user_id: int, store_ids: Iterable[int], also: DataFrame | None = None
+    current: DataFrame, user_id: int, store_ids: Iterable[int], also: DataFrame | None = None, parts: int | None = None
 ) -> DataFrame:
-    """The user's pairs replaced; pairs of ``also`` are added in the same pass over all pairs."""
+    """The user's pairs replaced; pairs of ``also`` are added in the same pass over all pairs.
+
+    ``parts`` as in :func:`add_pairs`.
+    """
     new = _pairs(current, user_id, store_ids)
     if also is not None:
         new = new.unionByName(also.select("user_id", "store_id"))
-    return add_pairs(remove_user(current, user_id), new)
+    return add_pairs(remove_user(current, user_id), new, parts)
 
 
 def remove_pairs(current: DataFrame, gone: DataFrame) -> DataFrame:

@@ -347,11 +347,26 @@ def _(spark, sf):
 
 # --- accounts ------------------------------------------------------------
 
-def _pairs(spark, sf):
-    """(user, store) pairs: a supplier serves the customers of its nation."""
-    # A customer has a pair for each supplier of its nation: customers are dealt to all cores first.
-    c, s = table(spark, sf, "customer").repartition("c_custkey"), table(spark, sf, "supplier")
-    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select(
+#: Pairs of one partition: about what a task can keep in memory to tell repeated ones.
+PAIRS_A_PART = 1_000_000
+
+
+def _pair_parts(spark, sf):
+    """How many partitions the pairs need, by their number: it grows with the square of the tables."""
+    c = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("c"))
+    s = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("s"))
+    pairs = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).agg(F.sum(F.col("c") * F.col("s"))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS_A_PART))
+
+
+def _pairs(spark, sf, parts):
+    """(user, store) pairs: a supplier serves the customers of its nation.
+
+    Customers are dealt over the partitions before they become many pairs, each of which stays
+    in its customer's. Suppliers are broadcast: where pairs can be listed at all, they are few.
+    """
+    c, s = table(spark, sf, "customer").repartition(parts, "c_custkey"), table(spark, sf, "supplier")
+    return c.join(F.broadcast(s), F.col("c_nationkey") == F.col("s_nationkey")).select(
         F.col("s_suppkey").alias("user_id"), F.col("c_custkey").alias("store_id")
     )
 
@@ -369,7 +384,8 @@ def _(spark, sf):
     sold = table(spark, sf, "lineitem").join(
         table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     ).select(F.col("l_suppkey").alias("user_id"), F.col("o_custkey").alias("store_id"))
-    return A.replace_user_stores(_pairs(spark, sf), 7, [3, 5, 5], also=sold)
+    parts = _pair_parts(spark, sf)
+    return A.replace_user_stores(_pairs(spark, sf, parts), 7, [3, 5, 5], also=sold, parts=parts)
 
 
 @query(
@@ -381,7 +397,8 @@ def _(spark, sf):
     sold = table(spark, sf, "lineitem").join(
         table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     ).select(F.col("l_suppkey").alias("user_id"), F.col("o_custkey").alias("store_id"))
-    return A.remove_pairs(A.remove_user(_pairs(spark, sf), 9), sold)
+    parts = _pair_parts(spark, sf)
+    return A.remove_pairs(A.remove_user(_pairs(spark, sf, parts), 9), sold)
 
 
 @query("default_assignment", "SELECT 4::BIGINT AS user_id, c_custkey AS store_id FROM customer ORDER BY c_custkey LIMIT 8")
