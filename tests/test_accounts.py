@@ -6,6 +6,7 @@ from tradewind.operators import merge_rules as M
 from tradewind.operators.entities import fill_store_addresses, store_address_status
 from tradewind.plans import catalog
 from tradewind.plans.driver_tables import SCHEMAS
+from tradewind.session import with_joins_of_dealt_sides
 
 
 def pairs(df):
@@ -153,3 +154,24 @@ def test_queries_of_pairs_shuffle_no_pairs_of_a_nation(spark, small_tables):
     kept = [p for p in pairs if p[0] is not None and p[0] != 7]
     assert sorted(map(str, map(tuple, assigned.collect()))) == sorted(map(str, {*kept, *sold, (7, 3), (7, 5)}))
     assert not any("user_id" in x or "s_suppkey" in x or "c_nationkey" in x for x in shuffles(assigned))
+
+
+def test_removed_pairs_leave_the_others_where_they_are(spark, small_tables):
+    folder, pairs, sold = small_tables
+    left = catalog.load_all()[0]["remove_pairs"](spark, folder)
+    gone = {p for p in sold if None not in p}
+    want = [p for p in pairs if p[0] is not None and p[0] != 9 and p not in gone]
+    assert len(want) > len(set(want))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, want))
+    assert not any("user_id" in x or "s_suppkey" in x for x in shuffles(left))
+    # The session of the caller is left as it is.
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_pairs_are_removed_where_they_are_dealt_by_store(spark):
+    here = with_joins_of_dealt_sides(spark)
+    gone = here.createDataFrame([(0, 0), (0, 0), (3, 0), (1, 0), (8, None)], "user_id long, store_id long")
+    left = A.remove_pairs(served(here, 5), gone, 5)
+    assert len(shuffles(left)) == 2 and left.count() == 40 * 30 - 2
+    # Pairs that are dealt otherwise are shuffled, with the same result.
+    assert A.remove_pairs(served(spark, 3), gone, 5).exceptAll(left).count() == 0

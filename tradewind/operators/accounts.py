@@ -66,10 +66,14 @@ def replace_user_stores(
     return add_pairs(remove_user(current, user_id), new, parts)
 
 
-def remove_pairs(current: DataFrame, gone: DataFrame) -> DataFrame:
-    """Pairs that are not in ``gone``, which is hashed part by part: the many pairs are not sorted."""
+def remove_pairs(current: DataFrame, gone: DataFrame, parts: int | None = None) -> DataFrame:
+    """Pairs that are not in ``gone``, which is hashed part by part: the many pairs are not sorted.
+
+    Where the pairs are dealt by store over ``parts`` partitions, in a session of
+    :func:`~tradewind.session.with_joins_of_dealt_sides`, only ``gone`` is shuffled.
+    """
     keys = ["user_id", "store_id"]
-    return current.join(gone.select(*keys).distinct().hint("shuffle_hash"), keys, "left_anti")
+    return current.join(_dealt(gone, parts).distinct().hint("shuffle_hash"), keys, "left_anti")
 
 
 def default_assignment(stores: DataFrame, user_id: int, n: int = 8) -> DataFrame:

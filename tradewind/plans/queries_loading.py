@@ -8,7 +8,7 @@ from ..operators import accounts as A
 from ..operators import ingest as I
 from ..operators import stitching as ST
 from ..operators.documents import extract_documents
-from ..session import shared_folder, with_smaller_partitions
+from ..session import shared_folder, with_joins_of_dealt_sides, with_smaller_partitions
 from ..sources.usage_log import read_usage_errors, read_usage_log, usage_by_user_model, usage_costs
 from ..sources.waybills import bad_lines, good_lines, parse_waybills, read_waybill_records, stream_waybill_xml
 from ..streaming import waybill_stream as WS
@@ -394,11 +394,12 @@ def _(spark, sf):
       SELECT l_suppkey, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)""",
 )
 def _(spark, sf):
+    spark = with_joins_of_dealt_sides(spark)
     sold = table(spark, sf, "lineitem").join(
         table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     ).select(F.col("l_suppkey").alias("user_id"), F.col("o_custkey").alias("store_id"))
     parts = _pair_parts(spark, sf)
-    return A.remove_pairs(A.remove_user(_pairs(spark, sf, parts), 9), sold)
+    return A.remove_pairs(A.remove_user(_pairs(spark, sf, parts), 9), sold, parts)
 
 
 @query("default_assignment", "SELECT 4::BIGINT AS user_id, c_custkey AS store_id FROM customer ORDER BY c_custkey LIMIT 8")

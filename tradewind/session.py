@@ -38,14 +38,27 @@ def with_smaller_partitions(spark: SparkSession, size: str = "16m") -> SparkSess
     partitions merged up to Spark's default of 64 MB cost a task more than a gigabyte. A size
     that the caller has set is kept, and the caller's own session stays as it is.
     """
-    key, given = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.getAll
+    return _session_with(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+
+
+def with_joins_of_dealt_sides(spark: SparkSession) -> SparkSession:
+    """A session with the caller's settings whose joins on several keys take sides as they are dealt.
+
+    Two sides that are dealt alike by one of the keys meet without another shuffle; by default
+    Spark deals both anew by all keys. Only for sides that one key spreads evenly.
+    """
+    return _session_with(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def _session_with(spark: SparkSession, key: str, wanted: str) -> SparkSession:
+    given = spark.conf.getAll
     if key in given:
         return spark
     session = spark.newSession()
     for name, value in given.items():
         if session.conf.isModifiable(name) and session.conf.get(name, None) != value:
             session.conf.set(name, value)
-    session.conf.set(key, size)
+    session.conf.set(key, wanted)
     return session
 
 
